@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +50,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     low = edges.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), "low")
     moved = edges.join(low, F.col("a") == F.col("node")).filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
     return moved.unionByName(low.select(F.col("node").alias("a"), F.col("low").alias("b"))).distinct()
+
+
+def lowest_linked(hit: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and column of a link matrix the smallest id in its connected component."""
+    low_l, low_r = left.copy(), (left if same else right).copy()
+    top = np.iinfo(np.int64).max
+    rows, columns = np.nonzero(hit)
+    while True:
+        before = low_l.copy(), low_r.copy()
+        new = np.full(len(low_r), top)
+        np.minimum.at(new, columns, low_l[rows])
+        low_r = np.minimum(low_r, new)
+        new = np.full(len(low_l), top)
+        np.minimum.at(new, rows, low_r[columns])
+        low_l = np.minimum(low_l, new)
+        if same:
+            low_l = low_r = np.minimum(low_l, low_r)
+        if (low_l == before[0]).all() and (low_r == before[1]).all():
+            return low_l, low_r
