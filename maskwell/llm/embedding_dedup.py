@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwell.llm.common import materialize, small_batches
-from maskwell.llm.components import components
+from maskwell.llm.components import components, lowest_linked
 from maskwell.shipping import group_arrow, map_arrow
 
 THRESHOLD = 0.98
@@ -208,25 +208,6 @@ def link_blocks(blocks: DataFrame, pairs: DataFrame, threshold: float) -> DataFr
     return map_arrow(both, compare, "id long, links long, low long")
 
 
-def lowest_linked(hit: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """For each row and column of a link matrix the smallest id in its connected component."""
-    low_l, low_r = left.copy(), (left if same else right).copy()
-    top = np.iinfo(np.int64).max
-    rows, columns = np.nonzero(hit)
-    while True:
-        before = low_l.copy(), low_r.copy()
-        new = np.full(len(low_r), top)
-        np.minimum.at(new, columns, low_l[rows])
-        low_r = np.minimum(low_r, new)
-        new = np.full(len(low_l), top)
-        np.minimum.at(new, rows, low_r[columns])
-        low_l = np.minimum(low_l, new)
-        if same:
-            low_l = low_r = np.minimum(low_l, low_r)
-        if (low_l == before[0]).all() and (low_r == before[1]).all():
-            return low_l, low_r
-
-
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, dimensions: int = DIMENSIONS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of ``vectors`` (vec_id, label, embedding).
 

@@ -18,9 +18,14 @@ BUCKETS = 1 << 14
 #: The target model is fitted on about so many labelled rows at most, those with the smallest hashes.
 TARGET_ROWS = 20_000
 SEED = 11
-#: Added to a log weight for each n-gram, for the target sample's error in the share of a language or topic, which
-#: every n-gram of a text repeats; and once, in the expected number of target-like rows, for that of the noise.
-ALLOWANCE, ONCE = 0.03, 3.0
+#: Added once to a log weight, in the expected number of target-like rows, for the spread of the noise.
+ONCE = 3.0
+
+
+def allowance(n_target: int, share: float = 0.1) -> float:
+    """Added to a log weight for each n-gram: one and a half times the relative sampling error that the target has in a topic or language with
+    this share of it, because all n-grams of a text repeat that error."""
+    return 1.5 / math.sqrt(max(1.0, share * n_target))
 
 
 def buckets_of(data: np.ndarray, offsets: np.ndarray, n: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +65,7 @@ def log_ratios(counts: list, n: int = BUCKETS) -> np.ndarray:
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def score(docs: DataFrame, ratios: np.ndarray, seed: int = SEED) -> DataFrame:
+def score(docs: DataFrame, ratios: np.ndarray, extra: float, seed: int = SEED) -> DataFrame:
     """doc_id, text_hash, n_ngrams, log_weight (sum over the text's n-grams) and gumbel_key (that with the allowance and
     Gumbel noise) of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
@@ -73,7 +78,7 @@ def score(docs: DataFrame, ratios: np.ndarray, seed: int = SEED) -> DataFrame:
             weight = np.bincount(row, table[bucket], minlength=rows.num_rows)
             ids = rows.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             u = unit_interval(hash_keys(ids, seed))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(n.astype(np.int64)), pa.array(weight), pa.array(weight + ALLOWANCE * n - np.log(-np.log(u)))], ["doc_id", "text_hash", "n_ngrams", "log_weight", "gumbel_key"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(n.astype(np.int64)), pa.array(weight), pa.array(weight + extra * n - np.log(-np.log(u)))], ["doc_id", "text_hash", "n_ngrams", "log_weight", "gumbel_key"])
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     return map_arrow(named, run, "doc_id long, text_hash long, n_ngrams long, log_weight double, gumbel_key double")
@@ -121,11 +126,12 @@ def resample(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS,
     share = (n_good or 0) / n_all if n_all else 0.0
     marked = docs.select("doc_id", "text").join(F.broadcast(first), F.col("doc_id") == F.col("_label_id"), "left")
     counts = count_ngrams(marked.select("text", F.col("_label_id").isNotNull().alias("is_target")), buckets).collect()
-    scores = materialize(score(docs, log_ratios(counts, buckets), seed), "importance")
+    extra = allowance(min(target_rows, good.count()))
+    scores = materialize(score(docs, log_ratios(counts, buckets), extra, seed), "importance")
     if k is None:
         if not share:
             return scores.withColumn("kept", F.lit(True))
-        likely = F.col("log_weight") + F.col("n_ngrams") * F.lit(ALLOWANCE) + F.lit(ONCE)
+        likely = F.col("log_weight") + F.col("n_ngrams") * F.lit(extra) + F.lit(ONCE)
         expected = scores.agg(F.sum(F.least(F.lit(1.0), F.lit(share) * F.exp(F.least(likely, F.lit(50.0)))))).first()[0]
         k = math.ceil(expected or 0)
     limit = kth_largest(scores, "gumbel_key", k)
