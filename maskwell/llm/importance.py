@@ -140,8 +140,8 @@ def resample(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS,
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`resample` keeps, with all their columns."""
-    kept = resample(docs, labels).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_t")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t")), "left_semi")
+    kept = resample(docs, labels).filter("kept").select(F.col("doc_id").alias("__mw_id"), F.col("text_hash").alias("__mw_hash")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__mw_id")) & (F.xxhash64("text") == F.col("__mw_hash")), "left_semi")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

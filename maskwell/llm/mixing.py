@@ -167,21 +167,21 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """
     rows, slots = plan_mix(docs, seed)
     pieces = block_pieces(rows).join(slots.select("source_index", "block", "copy"), ["source_index", "block"])
-    spans = pieces.groupBy("source_index", "begin", "doc_id", "text_hash").agg(F.collect_list(F.struct("copy", "word", "n")).alias("_spans"))
-    ids = [F.col("doc_id").alias("_id"), F.col("text_hash").alias("_t")]
-    spans = spans.select(*ids, "source_index", "begin", "_spans")
+    spans = pieces.groupBy("source_index", "begin", "doc_id", "text_hash").agg(F.collect_list(F.struct("copy", "word", "n")).alias("__mw_spans"))
+    ids = [F.col("doc_id").alias("__mw_id"), F.col("text_hash").alias("__mw_t")]
+    spans = spans.select(*ids, "source_index", "begin", "__mw_spans")
     return _cut_out(docs, spans)
 
 
 def _cut_out(docs: DataFrame, spans: DataFrame) -> DataFrame:
     from pyspark.sql.window import Window
 
-    one = Window.partitionBy("_id", "_t").orderBy("source_index", "begin")
-    spans = spans.withColumn("_rn", F.row_number().over(one)).select("_id", "_t", "_rn", "_spans")
+    one = Window.partitionBy("__mw_id", "__mw_t").orderBy("source_index", "begin")
+    spans = spans.withColumn("__mw_rn", F.row_number().over(one)).select("__mw_id", "__mw_t", "__mw_rn", "__mw_spans")
     text_hash = F.xxhash64("text")
-    numbered = docs.withColumn("_h", text_hash).withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy("source")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_t")) & (F.col("_k") == F.col("_rn"))
-    joined = numbered.join(spans, same).drop("_id", "_t", "_rn", "_h", "_k")
+    numbered = docs.withColumn("__mw_h", text_hash).withColumn("__mw_k", F.row_number().over(Window.partitionBy("doc_id", "__mw_h").orderBy("source")))
+    same = F.col("doc_id").eqNullSafe(F.col("__mw_id")) & (F.col("__mw_h") == F.col("__mw_t")) & (F.col("__mw_k") == F.col("__mw_rn"))
+    joined = numbered.join(spans, same).drop("__mw_id", "__mw_t", "__mw_rn", "__mw_h", "__mw_k")
     names = docs.columns
     text_at = names.index("text")
     chars_at = names.index("n_chars") if "n_chars" in names else None
@@ -212,4 +212,4 @@ def _cut_out(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 arrays[chars_at] = pa.array([len(t) for t in texts], rows.schema.field(chars_at).type)
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return map_arrow(joined.select(*names, "_spans"), run, schema)
+    return map_arrow(joined.select(*names, "__mw_spans"), run, schema)

@@ -246,8 +246,8 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
     reps = able.groupBy("low", "high", "n_grams").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by("bands", "doc_id").alias("bands"))
     reps = materialize(reps, "representatives")
     first = materialize(first_meetings(meetings(reps)), "meetings")
-    wanted = first.select(F.col("rep").alias("_rep")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("_rep"), "left_semi")
+    wanted = first.select(F.col("rep").alias("__mw_rep")).distinct()
+    texts = docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("__mw_rep"), "left_semi")
     # The documents with a doc_id more than once are rare; one text of each stands for it.
     sets = gram_sets(texts, n).groupBy("rep").agg(F.min("grams").alias("grams")) if _repeats(able) else gram_sets(texts, n)
     links = materialize(verified_links(first.join(sets, "rep"), threshold), "links")
@@ -274,11 +274,11 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     Of rows that repeat a doc_id, the first by text hash stays.
     """
     judged = materialize(similar_documents(docs), "join_verdicts")
-    counted = judged.filter("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows"))
-    stay = docs.join(counted, F.col("doc_id") == F.col("_id"))
+    counted = judged.filter("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__mw_id")).agg(F.count(F.lit(1)).alias("__mw_rows"))
+    stay = docs.join(counted, F.col("doc_id") == F.col("__mw_id"))
     names = docs.columns
-    single = stay.filter("_rows = 1").select(*names)
-    repeated = stay.filter("_rows > 1").select(*names).dropDuplicates(["doc_id"])
+    single = stay.filter("__mw_rows = 1").select(*names)
+    repeated = stay.filter("__mw_rows > 1").select(*names).dropDuplicates(["doc_id"])
     return single.unionByName(repeated).unionByName(docs.filter("doc_id IS NULL"))
 
 

@@ -109,8 +109,8 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
 
 def filter_documents(docs: DataFrame, host: str = "source") -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps, with all their columns."""
-    kept = judge(docs, host).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_t")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t"))
+    kept = judge(docs, host).filter("kept").select(F.col("doc_id").alias("__mw_id"), F.col("text_hash").alias("__mw_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__mw_id")) & (F.xxhash64("text") == F.col("__mw_hash"))
     return docs.join(kept, same, "left_semi")
 
 
