@@ -200,7 +200,8 @@ def exchange(classes: np.ndarray, after: np.ndarray, before: np.ndarray, loops:
         o, i = out[:free], into[:free]
         gain += _xlogx(own + o + i + loop) + _xlogx(own) - _xlogx(own + o) - _xlogx(own + i)
         n_out, n_in = out.sum() + loop, into.sum() + loop
-        total_out, total_in = rows.sum(axis=1), columns.sum(axis=1)
+        # What the neighbours' classes lost to this unit comes back to them wherever it goes.
+        total_out, total_in = rows.sum(axis=1) + i, columns.sum(axis=1) + o
         gain -= _xlogx(total_out + n_out) - _xlogx(total_out) + _xlogx(total_in + n_in) - _xlogx(total_in)
         c = int(gain.argmax())
         if gain[c] <= gain[a] + 1e-9:
