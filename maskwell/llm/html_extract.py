@@ -31,10 +31,13 @@ NEVER = frozenset("head nav footer aside form button select option datalist labe
 #: Class, id or role words that name something other than an article.
 NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertorial|sponsor(?:ed|s)?|promos?|promotions?|banners?|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modals?|overlays?"
-    r"|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|side|widgets?|rail|footers?|foot|masthead|topbar|toolbar|headers?|site-header|page-header|comments?|commentlist|replies|respond|disqus|discussion"
+    r"|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|side|widgets?|rail|footers?|foot|masthead|topbar|toolbar|comments?|commentlist|replies|respond|disqus|discussion"
     r"|share|sharing|social|related|recommended|recommendations|newsletter|subscribe|subscription|signup|login|search|pagination|pager|copyright|legal|disclaimer|skip|complementary|contentinfo|hidden)(?=$|[\s_-])",
     re.I,
 )
+#: Names of a page's own header, and beginnings of names that describe a page's layout instead of an element's role.
+HEADER_NAMES = frozenset("header headers site-header page-header main-header global-header top-header siteheader pageheader".split())
+LAYOUT = ("has-", "with-", "no-", "without-", "layout-", "theme-", "is-")
 _CLOSES_P = BLOCK - {"html", "body", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary", "figcaption"}
 _IMPLIED = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 _SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "tbody": {"table"}}
@@ -42,11 +45,14 @@ _PUNCT = re.compile(r"[.,;:!?、。，！？…]")
 
 
 class _Node:
-    __slots__ = ("name", "parent", "path", "depth", "out", "link", "body")
+    """An element with the number of its tag path; ``paths`` numbers the page's paths, so a deep page costs no long names."""
+
+    __slots__ = ("name", "parent", "path", "paths", "depth", "out", "link")
 
     def __init__(self, name: str, parent: _Node | None, label: str, out: bool, link: bool):
         self.name, self.parent, self.out, self.link = name, parent, out, link
-        self.path = (parent.path + "/" if parent else "") + label
+        self.paths: dict[tuple[int, str], int] = parent.paths if parent else {}
+        self.path = self.paths.setdefault((parent.path if parent else -1, label), len(self.paths))
         self.depth = parent.depth + 1 if parent else 0
 
 
@@ -64,8 +70,10 @@ def _left_out(name: str, attrs: str, parent: _Node) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if key in ("class", "id", "role") and name not in ("html", "body", "article", "main") and NAMED.search(value):
-            return True
+        if key in ("class", "id", "role") and name not in ("html", "body", "article", "main"):
+            for word in value.lower().split():
+                if word in HEADER_NAMES or not word.startswith(LAYOUT) and NAMED.search(word):
+                    return True
     return False
 
 
@@ -206,7 +214,7 @@ def extract(page: str | None) -> str:
     found = [x for x in read_blocks(page) if not x[0].out]
     if not found:
         return ""
-    paths: dict[str, list[float]] = {}
+    paths: dict[int, list[float]] = {}
     for node, text, links in found:
         p = paths.setdefault(node.path, [0, 0, 0, 0])
         p[0] += 1
