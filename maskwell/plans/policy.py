@@ -190,9 +190,9 @@ class Policy:
 
 
 def syntax_available() -> bool:
-    import importlib.util
+    from maskwell.functions.syntax import available
 
-    return importlib.util.find_spec("tree_sitter") is not None
+    return available()
 
 
 def pattern_of(rule: Rule) -> re.Pattern:

@@ -85,6 +85,29 @@ def test_metadata_struct(spark):
     assert out[0]["cwd"] == "/home/<USER>/x" and out[0]["git"]["remote"] == "<EMAIL>" and out[0]["host_slug"] is None and out[1] is None
 
 
+def test_sql_functions_and_nested_values(spark, texts):
+    from maskwell.operators import sql
+
+    names = sql.register(spark, STANDARD)
+    assert "mw_mask" in names
+    out = spark.sql("SELECT mw_mask('a@b.org') AS t, size(mw_matches('a@b.org 10.0.0.1')) AS n, mw_json('{\"a@b.org\": [\"a@b.org\"]}') AS j").first()
+    assert out["t"] == "<EMAIL>" and out["n"] == 2 and out["j"] == '{"a@b.org":["\\u003cEMAIL\\u003e"]}'
+    df = spark.createDataFrame([((1.5, ["a@b.org", None], {"a@b.org": "10.0.0.1"}),), (None,)], "v struct<x:double,y:array<string>,z:map<string,string>>")
+    rows = [r["v"] for r in df.select(sql.mask_nested(spark, STANDARD, F.col("v"), df.schema["v"].dataType).alias("v")).collect()]
+    assert tuple(rows[0]) == (1.5, ["<EMAIL>", None], {"a@b.org": "<IP_ADDRESS>"}) and rows[1] is None
+
+
+def test_fixture_cases(spark):
+    from maskwell.errors import ActionableError
+    from maskwell.sources.fixtures import load_cases
+
+    pytest.importorskip("yaml")
+    df = load_cases(spark, "cases:\n- {name: a, input: a@b.org, rule: email, expect: match, reason: r, source: s}\n")
+    assert df.first()["level"] == "standard"
+    with pytest.raises(ActionableError):
+        load_cases(spark, "- {name: a, input: x, rule: email, expect: match, level: none}\n")
+
+
 def test_sessions_share_names(spark):
     rows = [("s", 2, "```go\nbeta(alpha)\n```"), ("s", 1, "```go\nalpha()\n```"), ("t", 1, "```go\nzeta()\n```"), (None, 1, None)]
     df = spark.createDataFrame(rows, "s string, n int, text string")
