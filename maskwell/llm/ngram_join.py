@@ -21,6 +21,8 @@ RECALL = 0.9999
 MOST_HASHES = 96
 #: Members of a bucket that meet in one step; a larger bucket is cut into chunks and every pair of chunks meets.
 CHUNK = 256
+#: Size of the filter that stands for the ids of documents with candidates (8 MB).
+FILTER_BITS = 26
 _U = np.uint64
 
 
@@ -152,10 +154,12 @@ def meetings(reps: DataFrame, chunk: int = CHUNK) -> DataFrame:
     A bucket of at most ``chunk`` members is one meeting. A larger one is cut by a hash of the members into chunks, and each
     pair of chunks (i <= j) is a meeting, so no task ever holds more than about two chunks of a bucket and no pair is left out.
     """
-    members = reps.select("rep", "bands", "copies", F.posexplode("bands").alias("band", "key"))
+    members = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     crowded = members.groupBy("key", "band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     crowded = materialize(crowded.select(F.col("key").alias("_k"), F.col("band").alias("_b"), "m"), "buckets")
     met = members.join(crowded, (F.col("key") == F.col("_k")) & (F.col("band") == F.col("_b"))).drop("_k", "_b")
+    # Most documents meet nobody, so their bands stay behind until it is known who does.
+    met = materialize(met, "members").join(reps.select("rep", "bands", "copies"), "rep")
     n = F.ceil(F.col("m") / F.lit(chunk)).cast("int")
     met = met.withColumn("_n", n).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int"))
     alone = met.filter("_n = 1").withColumn("other", F.lit(0))
@@ -246,8 +250,7 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
     reps = able.groupBy("low", "high", "n_grams").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by("bands", "doc_id").alias("bands"))
     reps = materialize(reps, "representatives")
     first = materialize(first_meetings(meetings(reps)), "meetings")
-    wanted = first.select(F.col("rep").alias("__mw_rep")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("__mw_rep"), "left_semi")
+    texts = only_ids(docs.select("doc_id", "text"), first.select("rep"))
     # The documents with a doc_id more than once are rare; one text of each stands for it.
     sets = gram_sets(texts, n).groupBy("rep").agg(F.min("grams").alias("grams")) if _repeats(able) else gram_sets(texts, n)
     links = materialize(verified_links(first.join(sets, "rep"), threshold), "links")
@@ -263,6 +266,20 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
     return out.select("doc_id", class_id.alias("class_id"), n_links.alias("n_links"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
 
 
+def only_ids(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``docs`` whose doc_id may be in ``ids`` (rep): a filter of ``1 << bits`` bits, so of a fixed size, is broadcast in place of
+    the ids, and no text is shuffled. It lets some other rows pass, which a join on the id then leaves out."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    maps = ids.select(at(F.col("rep").cast("long")).alias("h")).groupBy(F.shiftright("h", 15).alias("_part"))
+    maps = maps.agg(F.bitmap_construct_agg(F.col("h").bitwiseAND(F.lit(32767))).alias("_bits"))
+    h = at(F.col("doc_id").cast("long"))
+    place = h.bitwiseAND(F.lit(32767))
+    byte = F.conv(F.hex(F.expr("substring(_bits, CAST((_at div 8) + 1 AS int), 1)")), 16, 10).cast("int")
+    marked = docs.withColumn("_at", place).join(F.broadcast(maps), F.shiftright(h, 15) == F.col("_part"))
+    hit = F.expr("shiftright(_byte, CAST(_at % 8 AS int)) & 1") == 1
+    return marked.withColumn("_byte", byte).filter(hit).select(*docs.columns)
+
+
 def _repeats(able: DataFrame) -> bool:
     rows, ids = able.agg(F.count("doc_id"), F.sum(F.lit(0))).first()[0], able.select("doc_id").distinct().count()
     return rows != ids

@@ -333,6 +333,14 @@ def test_join_filter_keeps_one_of_each_class(spark):
     assert ngram_join.filter_documents(docs.limit(0)).count() == 0
 
 
+def test_id_filter_passes_all_wanted_and_few_others(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    ids = spark.createDataFrame([(i,) for i in range(0, 20_000, 100)], "rep long")
+    out = {r["doc_id"] for r in rows_of(ngram_join.only_ids(docs, ids))}
+    assert out >= set(range(0, 20_000, 100)) and len(out) <= 205
+    assert ngram_join.only_ids(docs, ids.limit(0)).count() == 0
+
+
 def test_bands_reach_the_recall():
     bands, rows = ngram_join.choose_bands(0.8, 0.9999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= ngram_join.MOST_HASHES
@@ -430,6 +438,8 @@ def test_main_text_of_a_page():
     assert html_extract.extract(None) == html_extract.extract("") == html_extract.extract("<nav>x</nav>") == ""
     assert html_extract.extract("<div><p>Plain, text</p>tail &am") == "Plain, text\ntail &am"
     assert html_extract.extract("just < words & more") == "just < words & more"
+    assert html_extract.extract('<div class="page has-sidebar"><div class="entry-header"><h1>Head</h1></div><p>Text, of it.</p><div id="sidebar">Bar, side.</div></div>') == "Head\nText, of it."
+    assert html_extract.extract('<div class="site-header">Site, name.</div><div class="post"><p>Text, of it.</p></div><section id="comments"><p>Nice, one.</p></section>') == "Text, of it."
     deep = "<div>" * 3000 + "deep, text" + "</div>" * 10
     assert html_extract.extract(deep) == "deep, text"
 
