@@ -20,10 +20,12 @@ from maskwell.shipping import map_arrow
 WORD_UNITS, SHAPE_UNITS = 14336, 2048
 CLASSES = 64
 ROUNDS = 6
+#: Clustering ends when a round raises the likelihood by less than this share.
+SETTLED = 1e-3
 DELTA = 0.1
 TRANSITION_PRIOR = 2.0
-#: Words of the vocabulary that a task holds at once while texts are scored.
-SHARD_WORDS = 250_000
+#: Words of the vocabulary that a task holds at once while texts are scored, and training tokens per such shard.
+SHARD_WORDS, SHARD_TOKENS = 250_000, 8_000_000
 LEAST_SHARDS = 16
 _MERGE_AT = 1 << 21
 
@@ -195,7 +197,10 @@ def exchange(classes: np.ndarray, after: np.ndarray, before: np.ndarray, loops:
         matrix[a, a] -= loop
         np.maximum(matrix, 0, out=matrix)
         rows, columns = matrix[:free], matrix[:, :free].T
-        gain = (_xlogx(rows + out) - _xlogx(rows)).sum(axis=1) + (_xlogx(columns + into) - _xlogx(columns)).sum(axis=1)
+        # Most units meet few classes; only those cells change.
+        x, y = np.flatnonzero(out), np.flatnonzero(into)
+        after_it, before_it = rows[:, x], columns[:, y]
+        gain = (_xlogx(after_it + out[x]) - _xlogx(after_it)).sum(axis=1) + (_xlogx(before_it + into[y]) - _xlogx(before_it)).sum(axis=1)
         own = np.diagonal(matrix)[:free]
         o, i = out[:free], into[:free]
         gain += _xlogx(own + o + i + loop) + _xlogx(own) - _xlogx(own + o) - _xlogx(own + i)
@@ -230,10 +235,10 @@ def cluster(pairs: DataFrame, units: Units, order: np.ndarray, n_classes: int =
         after = class_contexts(by_before, "before", "after", classes)
         matrix = np.zeros((n_classes + 1, n_classes + 1))
         np.add.at(matrix, classes, after)
-        value = likelihood(matrix)
+        value, before_it = likelihood(matrix), best_value
         if value > best_value:
             best, best_matrix, best_value = classes, matrix, value
-        if turn == rounds:
+        if turn == rounds or turn > 2 and value - before_it < SETTLED * abs(value):
             break
         before = class_contexts(by_after, "after", "before", classes)
         movable = order if turn == 0 else order[(np.arange(len(order)) + turn) % 2 == 0]
@@ -300,7 +305,7 @@ def score_texts(docs: DataFrame, model: ClassModel, words: DataFrame) -> DataFra
     first and then streams those rows, answering with a partial sum for each text. A word occurs once in a run's row, so no word is hot.
     """
     spark = docs.sparkSession
-    n_shards = max(LEAST_SHARDS, -(-model.n_types // SHARD_WORDS))
+    n_shards = max(LEAST_SHARDS, -(-model.n_types // SHARD_WORDS), -(-model.n_tokens // SHARD_TOKENS))
     shared = spark.sparkContext.broadcast(model)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
