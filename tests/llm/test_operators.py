@@ -370,8 +370,8 @@ def test_languages_are_told_apart_on_held_out_texts(spark):
 
 
 def test_kneser_ney_sums_to_one():
-    model = language_id.KneserNey(["abracadabra abra cadabra", "banana"], order=3, floor=1e-9)
-    alphabet = "abrcdn "
+    model = language_id.KneserNey(["abracadabra abra cadabra", "banana"], order=3, floor=1 / 7)
+    alphabet = "abrcdn "  # all codes that occur: with the uniform floor over them each context has a distribution
     for context in ("ab", "an", "zz"):
         codes = [np.asarray([ord(c) for c in context + x], np.uint64) for x in alphabet]
         keys = [np.asarray([language_id.grams(c, n)[-1] for c in codes]) for n in (1, 2, 3)]
