@@ -9,22 +9,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwell.llm.common import materialize
+from maskwell.llm.common import materialize, small_batches
 from maskwell.llm.language_id import fold
 from maskwell.llm.textvec import blocks, find_words, hash_words, lower_ascii, mix
 from maskwell.shipping import map_arrow
 
-#: Every word belongs to a unit: the most frequent words to one of their own, all others to that of their shape (the hash of
-#: their last three bytes). Exchange clustering moves units between classes, so each word has a class, and what is
-#: gathered on the driver has the fixed size units x classes.
+#: Every word of the training texts is a unit of the exchange. The most frequent ones move one after the other on the driver; all others
+#: move in their shard's task, and the driver holds one byte, the class, for each. A word that no training text has gets the class
+#: that words seen once have most often under its shape (the hash of its last three bytes).
 WORD_UNITS, SHAPE_UNITS = 14336, 2048
 CLASSES = 64
-ROUNDS = 6
-#: Clustering ends when a round raises the likelihood by less than this share.
+#: Measured turns at most: head and tail move by turns, after their first turn half of them at a time.
+ROUNDS = 10
+#: Clustering ends when two turns of the head and two of the tail together raise the likelihood by less than this share.
 SETTLED = 1e-3
+#: Training tokens per shard of the context counts.
+CONTEXT_TOKENS = 1_000_000
 DELTA = 0.1
 TRANSITION_PRIOR = 2.0
-#: Words of the vocabulary that a task holds at once while texts are scored, and training tokens per such shard.
+#: Words of the vocabulary that a task holds at once while texts are coded, and training tokens per such shard.
 SHARD_WORDS, SHARD_TOKENS = 250_000, 8_000_000
 LEAST_SHARDS = 16
 _MERGE_AT = 1 << 21
@@ -101,7 +104,7 @@ def _first(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 class Units:
-    """Which unit a word belongs to: its own if it is in the lexicon, else that of its shape."""
+    """Numbers of frequent words, of shapes (for words that are in no training text) and of the end; those of all other words follow."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray):
         order = np.argsort(words)
@@ -130,40 +133,251 @@ def with_ends(values: np.ndarray, row: np.ndarray, n_rows: int, end: int) -> tup
     return before, out, np.repeat(np.arange(n_rows), count + 1)
 
 
-def unit_pairs(train: DataFrame, units: Units) -> DataFrame:
-    """before, after, n: adjoining units in all training texts."""
-    shared = train.sparkSession.sparkContext.broadcast(units)
+def numbered(words: DataFrame, units: Units, n_shards: int) -> DataFrame:
+    """word, shape, n, shard and id of each word outside the lexicon. The k-th word of shard s has the id units.size + k * n_shards + s."""
+    first = units.size
+    frequent = words.sparkSession.createDataFrame([(int(w),) for w in units.words.view(np.int64)], "word long")
+    tail = words.join(F.broadcast(frequent), "word", "left_anti").withColumn("shard", F.pmod("word", F.lit(n_shards)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u, counts = shared.value, _Counts()
-        for rows, data, offsets in blocks(batches):
+        of, seen = -1, 0
+        for batch in batches:
+            shard = batch.column(3).to_numpy().astype(np.int64)
+            some, begin, count = np.unique(shard, return_index=True, return_counts=True)
+            # Rows come by shard; only the first shard of a batch may have begun before.
+            order = np.argsort(begin)
+            local = np.empty(len(shard), np.int64)
+            for s, b, n in zip(some[order], begin[order], count[order], strict=True):
+                seen = seen if s == of else 0
+                local[b : b + n] = seen + np.arange(n)
+                of, seen = s, seen + n
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first + local * n_shards + shard)], ["word", "shape", "n", "shard", "id"])
+
+    ordered = tail.select("word", "shape", "n", "shard").repartition("shard").sortWithinPartitions("shard", "word")
+    return map_arrow(ordered, run, "word long, shape int, n long, shard int, id long")
+
+
+def _ends(begin: np.ndarray, n: int) -> np.ndarray:
+    """Where each of the runs that begin at ``begin`` ends, the last one at ``n``."""
+    return np.append(begin[1:], n)[: len(begin)]
+
+
+def _records(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)], [name for name, _ in fields])
+
+
+def _array(batch: pa.RecordBatch, column: str, i: int, kind: type) -> np.ndarray:
+    return np.frombuffer(batch.column(column)[i].as_buffer(), kind)
+
+
+_SENT = "kind int, shard int, key long, start long, words binary, ids binary, counts binary, docs binary, nulls binary, learned binary, lengths binary, codes binary, base binary, known binary"
+_CODED = "key long, docs binary, nulls binary, learned binary, lengths binary, ids binary, base binary, known binary"
+
+
+def encode(docs: DataFrame, units: Units, words: DataFrame, n_shards: int) -> DataFrame:
+    """The texts of ``docs`` (doc_id, text, learned) as ids, in rows of many texts, with the sum of log10(count + 0.1) and the known words of each.
+
+    Each run of texts sends one row of its distinct rare words to each shard of the vocabulary, whose task loads its part of
+    ``words`` first and answers with ids and counts. A word occurs once in a run's row, so no word is hot.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(units)
+    blank = (None,) * 7
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        u, key = shared.value, TaskContext.get().partitionId() << 40
+        for batch, data, offsets in blocks(batches):
+            n = batch.num_rows
             word, shape, row = tokens(data, offsets)
-            before, after, _ = with_ends(u.find(word, shape)[0], row, rows.num_rows, u.end)
-            counts.add(before * u.size + after)
-        yield from _pieces(*counts.total(), names=["pair", "n"])
+            unit, own, count = u.find(word, shape)
+            base = np.bincount(row, np.where(own, np.log10(count + DELTA), 0.0), minlength=n)
+            known = np.bincount(row, own, minlength=n).astype(np.int64)
+            codes, out = unit.astype(np.int32), []
+            rare = np.flatnonzero(~own)
+            if len(rare):
+                distinct, first, where = np.unique(word[rare].view(np.int64), return_index=True, return_inverse=True)
+                shard = distinct % n_shards
+                order = np.argsort(shard, kind="stable")
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                codes[rare] = -1 - place[where]
+                some, begin = np.unique(shard[order], return_index=True)
+                for s, b, e in zip(some, begin, _ends(begin, len(order)), strict=True):
+                    at = order[b:e]
+                    out.append((2, int(s), key, int(b), distinct[at].tobytes(), unit[rare[first[at]]].astype(np.int32).tobytes(), None, *blank))
+            ids = batch.column(0)
+            learned = np.asarray(batch.column(2).fill_null(False).to_pylist(), np.uint8)
+            nulls = np.asarray(ids.is_null().to_pylist(), np.uint8)
+            lengths = np.bincount(row, minlength=n).astype(np.int64)
+            own_row = (0, 0, key, 0, None, None, None, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), nulls.tobytes(), learned.tobytes(), lengths.tobytes(), codes.tobytes(), base.tobytes(), known.tobytes())
+            yield _records(_SENT, [own_row, *out])
+            key += 1
 
-    out = map_arrow(train.select("text"), run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    size = units.size
-    return out.select(F.expr(f"CAST(pair div {size} AS int)").alias("before"), F.expr(f"CAST(pair % {size} AS int)").alias("after"), "n")
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, n, shard, ids = (batch.column(i).to_numpy() for i in range(4))
+            order = np.argsort(shard, kind="stable")
+            some, begin = np.unique(shard[order], return_index=True)
+            rows = []
+            for s, b, e in zip(some, begin, _ends(begin, len(order)), strict=True):
+                at = order[b:e]
+                rows.append((1, int(s), 0, 0, word[at].tobytes(), ids[at].astype(np.int32).tobytes(), n[at].astype(np.int64).tobytes(), *blank))
+            yield _records(_SENT, rows)
 
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, table, parts = -1, None, []
+        for batch in batches:
+            out = []
+            kind, shard, key, start = (batch.column(c).to_numpy() for c in ("kind", "shard", "key", "start"))
+            for i in range(batch.num_rows):
+                if shard[i] != of:
+                    of, parts, table = shard[i], [], None
+                have, ids = _array(batch, "words", i, np.int64), _array(batch, "ids", i, np.int32)
+                if kind[i] == 1:
+                    parts.append((have, ids, _array(batch, "counts", i, np.int64)))
+                    continue
+                if table is None:
+                    columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 3
+                    order = np.argsort(columns[0])
+                    table = [c[order] for c in columns]
+                n = np.zeros(len(have), np.int64)
+                if len(table[0]):
+                    at = np.minimum(np.searchsorted(table[0], have), len(table[0]) - 1)
+                    found = table[0][at] == have
+                    ids, n = np.where(found, table[1][at], ids), np.where(found, table[2][at], 0)
+                out.append((2, 0, int(key[i]), int(start[i]), None, ids.astype(np.int32).tobytes(), n.tobytes(), *blank))
+            if out:
+                yield _records(_SENT, out)
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, parts = None, []
 
-def class_contexts(pairs: DataFrame, side: str, other: str, classes: np.ndarray) -> np.ndarray:
-    """For each unit on ``side`` how often each class stands on the ``other`` side: units x classes."""
-    n_classes, n_units = int(classes.max()) + 1, len(classes)
-    shared = pairs.sparkSession.sparkContext.broadcast(classes)
+        def done() -> pa.RecordBatch:
+            codes = np.frombuffer(row["codes"], np.int32).copy()
+            base, known, lengths = np.frombuffer(row["base"]).copy(), np.frombuffer(row["known"], np.int64).copy(), np.frombuffer(row["lengths"], np.int64)
+            rare = np.flatnonzero(codes < 0)
+            if len(rare):
+                parts.sort(key=lambda x: x[0])
+                ids, n = (np.concatenate([np.frombuffer(p[c], k) for p in parts]) for c, k in ((1, np.int32), (2, np.int64)))
+                at = -1 - codes[rare]
+                codes[rare] = ids[at]
+                of = np.repeat(np.arange(len(lengths)), lengths)[rare]
+                base += np.bincount(of, np.log10(n[at] + DELTA), minlength=len(lengths))
+                known += np.bincount(of, n[at] > 0, minlength=len(lengths)).astype(np.int64)
+            return _records(_CODED, [(row["key"], row["docs"], row["nulls"], row["learned"], row["lengths"], codes.tobytes(), base.tobytes(), known.tobytes())])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["kind"] == 0:
+                    if row is not None:
+                        yield done()
+                    row, parts = r, []
+                else:
+                    parts.append((r["start"], r["ids"], r["counts"]))
+        if row is not None:
+            yield done()
+
+    with small_batches(docs.sparkSession, 2000):
+        sent = materialize(map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "learned"), send, _SENT), "sent_words")
+    rare = materialize(map_arrow(words.select("word", "n", "shard", "id"), load, _SENT), "words_by_shard")
+    with small_batches(docs.sparkSession, 64):
+        both = rare.unionByName(sent.filter("kind = 2")).repartition("shard").sortWithinPartitions("shard", "kind")
+        answers = map_arrow(both, answer, _SENT)
+        whole = answers.unionByName(sent.filter("kind = 0")).repartition("key").sortWithinPartitions("key", "kind")
+        return materialize(map_arrow(whole, assemble, _CODED), "coded_texts")
+
+
+def coded_rows(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(batch, row in it, before, after, text) of the adjoining ids of each row of coded texts."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            lengths = _array(batch, "lengths", i, np.int64)
+            yield batch, i, *with_ends(_array(batch, "ids", i, np.int32), np.repeat(np.arange(len(lengths)), lengths), len(lengths), end)
+
+
+_PART = "shard int, side int, words binary, others binary, counts binary"
+_CONTEXTS = "shard int, words0 binary, others0 binary, counts0 binary, words1 binary, others1 binary, counts1 binary"
+
+
+def contexts(coded: DataFrame, units: Units, size: int, n_parts: int) -> DataFrame:
+    """For each shard of the words how often each id follows (0) and precedes (1) each of its words in training texts. A
+    rare word is in one shard as a whole; the pairs of a frequent one are dealt by the other word."""
+    first, end = units.size, units.end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, counts = shared.value, _Counts()
+        counts = _Counts()
+        for batch, i, before, after, text in coded_rows(batches, end):
+            wanted = _array(batch, "learned", i, np.uint8).astype(bool)[text]
+            counts.add(before[wanted] * size + after[wanted])
+        keys, n = counts.total()
+        before, after = keys // size, keys % size
+        for side, (word, other) in enumerate(((before, after), (after, before))):
+            shard = np.where(word < first, other, word - first) % n_parts
+            order = np.argsort(shard, kind="stable")
+            some, begin = np.unique(shard[order], return_index=True)
+            for s, b, e in zip(some, begin, _ends(begin, len(order)), strict=True):
+                at = order[b:e]
+                yield _records(_PART, [(int(s), side, word[at].astype(np.int32).tobytes(), other[at].astype(np.int32).tobytes(), n[at].astype(np.int64).tobytes())])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, parts = -1, (_Counts(), _Counts())
+
+        def done() -> pa.RecordBatch:
+            row: list = [of]
+            for p in parts:
+                keys, n = p.total()
+                # What came from one task alone is still in the order of its pairs.
+                order = np.argsort(keys, kind="stable")
+                keys, n = keys[order], n[order]
+                row += [(keys // size).astype(np.int32).tobytes(), (keys % size).astype(np.int32).tobytes(), n.astype(np.int64).tobytes()]
+            return _records(_CONTEXTS, [tuple(row)])
+
         for batch in batches:
-            key = batch.column(0).to_numpy().astype(np.int64) * n_classes + of[batch.column(1).to_numpy()]
-            distinct, where = np.unique(key, return_inverse=True)
-            counts.add(distinct, np.bincount(where, batch.column(2).to_numpy()).astype(np.int64))
-        yield from _pieces(*counts.total(), names=["at", "n"])
+            for i in range(batch.num_rows):
+                shard, side = batch.column("shard")[i].as_py(), batch.column("side")[i].as_py()
+                if shard != of:
+                    if of >= 0:
+                        yield done()
+                    of, parts = shard, (_Counts(), _Counts())
+                parts[side].add(_array(batch, "words", i, np.int32).astype(np.int64) * size + _array(batch, "others", i, np.int32), _array(batch, "counts", i, np.int64))
+        if of >= 0:
+            yield done()
+
+    with small_batches(coded.sparkSession, 16):
+        pairs = map_arrow(coded.select("learned", "lengths", "ids"), run, _PART)
+        return materialize(map_arrow(pairs.repartition("shard").sortWithinPartitions("shard"), gather, _CONTEXTS), "contexts")
+
+
+def class_contexts(pairs: DataFrame, units: Units, classes: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often each class follows and precedes each frequent word (units x classes), and the class bigrams of all tokens."""
+    shared, width = pairs.sparkSession.sparkContext.broadcast(classes), units.size * n_classes
+    first = units.size
 
-    found = map_arrow(pairs.select(side, other, "n"), run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(n_units * n_classes)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, out = shared.value, np.zeros(2 * width + n_classes * n_classes)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for side in (0, 1):
+                    word, other, n = (_array(batch, f"{c}{side}", i, k) for c, k in (("words", np.int32), ("others", np.int32), ("counts", np.int64)))
+                    met = of[other].astype(np.int64)
+                    # Words ascend, so the frequent ones come first.
+                    head = int(np.searchsorted(word, first))
+                    out[side * width : (side + 1) * width] += np.bincount(word[:head].astype(np.int64) * n_classes + met[:head], n[:head], minlength=width)
+                    if side == 0:
+                        out[2 * width :] += np.bincount(of[word].astype(np.int64) * n_classes + met, n, minlength=n_classes * n_classes)
+        some = np.flatnonzero(out)
+        yield from _pieces(some, out[some].astype(np.int64), names=["at", "n"])
+
+    with small_batches(pairs.sparkSession, 1):
+        counted = materialize(map_arrow(pairs, run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")), "class_contexts")
+    found = counted.toArrow()
+    out = np.zeros(2 * width + n_classes * n_classes)
     out[found.column("at").to_numpy()] = found.column("n").to_numpy()
-    return out.reshape(n_units, n_classes)
+    shared.unpersist()
+    return out[:width].reshape(-1, n_classes), out[width : 2 * width].reshape(-1, n_classes), out[2 * width :].reshape(n_classes, n_classes)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -175,15 +389,18 @@ def likelihood(matrix: np.ndarray) -> float:
     return float(_xlogx(matrix).sum() - _xlogx(matrix.sum(axis=0)).sum() - _xlogx(matrix.sum(axis=1)).sum())
 
 
-def exchange(classes: np.ndarray, after: np.ndarray, before: np.ndarray, loops: np.ndarray, movable: np.ndarray) -> np.ndarray:
+def exchange(classes: np.ndarray, after: np.ndarray, before: np.ndarray, loops: np.ndarray, movable: np.ndarray, matrix: np.ndarray | None = None) -> np.ndarray:
     """One pass of exchanges: each movable unit, in the given order, goes to the class where the likelihood becomes largest.
 
     ``after[u, c]`` and ``before[u, c]`` count the classes that follow and precede unit u; ``loops[u]`` how often u follows itself. The
-    last class belongs to the end of text alone. The class matrix follows each move.
+    last class belongs to the end of text alone. The class matrix, by default that of these units alone, follows each move.
     """
     classes, k = classes.copy(), after.shape[1]
-    matrix = np.zeros((k, k))
-    np.add.at(matrix, classes, after)
+    if matrix is None:
+        matrix = np.zeros((k, k))
+        np.add.at(matrix, classes, after)
+    else:
+        matrix = matrix.copy()
     free = k - 1
     for u in movable:
         out, into, loop = after[u].copy(), before[u].copy(), loops[u]
@@ -218,187 +435,195 @@ def exchange(classes: np.ndarray, after: np.ndarray, before: np.ndarray, loops:
     return classes
 
 
-def cluster(pairs: DataFrame, units: Units, order: np.ndarray, n_classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each unit, class transition counts). The most frequent units found the classes, all others begin in the last
-    one; each round gathers the context counts of all units under the present classes, then exchanges. Neighbours that move in one
-    round don't see each other's moves, so after the first round every other unit moves at a time, and the best classes seen are kept."""
-    by_before = materialize(pairs.repartition("before"), "pairs_by_before")
-    by_after = materialize(pairs.repartition("after"), "pairs_by_after")
-    loops = np.zeros(units.size)
-    for r in by_before.filter("before = after").collect():
-        loops[r["before"]] = r["n"]
-    classes = np.full(units.size, n_classes - 1)
+def relocate(own: np.ndarray, after: tuple[np.ndarray, np.ndarray], before: tuple[np.ndarray, np.ndarray], matrix: np.ndarray) -> np.ndarray:
+    """The class of each word where the likelihood becomes largest if it alone moves.
+
+    ``after`` and ``before`` hold word * classes + class, ascending, and how often that class follows or precedes the word. Words that
+    stand beside members of their own class are rated as if those stayed where they are.
+    """
+    k, free = len(matrix), len(matrix) - 1
+    gain = np.zeros((len(own), free))
+    each = np.arange(len(own))
+    for (at, n), cells in ((after, matrix[:free]), (before, matrix[:, :free].T)):
+        # Small counts, by far the most, are looked up.
+        table = np.stack([_xlogx(cells.T + c) - _xlogx(cells.T) for c in range(33)])
+        word, met = at // k, at % k
+        for begin in range(0, len(at), 50_000):
+            w, x, c = word[begin : begin + 50_000], met[begin : begin + 50_000], n[begin : begin + 50_000]
+            change = table[np.minimum(c, 32).astype(np.int64), x]
+            big = np.flatnonzero(c > 32)
+            if len(big):
+                cell = cells.T[x[big]]
+                change[big] = _xlogx(cell + c[big, None]) - _xlogx(cell)
+            have = cells[own[w], x]
+            change[np.arange(len(w)), own[w]] = _xlogx(have) - _xlogx(np.maximum(have - c, 0))
+            some, first = np.unique(w, return_index=True)
+            gain[some] += np.add.reduceat(change, first, axis=0)
+        total, size = cells.sum(axis=1), np.bincount(word, n, minlength=len(own))
+        change = _xlogx(total + size[:, None]) - _xlogx(total)
+        change[each, own] = _xlogx(total[own]) - _xlogx(np.maximum(total[own] - size, 0))
+        gain -= change
+    best = gain.argmax(axis=1)
+    return np.where(gain[each, best] > gain[each, own] + 1e-9, best, own)
+
+
+def move_tail(pairs: DataFrame, units: Units, classes: np.ndarray, matrix: np.ndarray, n_parts: int, half: int | None) -> np.ndarray:
+    """The classes after one turn of all rare words, or of every other one."""
+    shared, first, k, size = pairs.sparkSession.sparkContext.broadcast((classes, matrix)), units.size, len(matrix), len(classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, cells = shared.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard = batch.column("shard")[i].as_py()
+                own = of[first + shard :: n_parts].astype(np.int64)
+                sides = []
+                for side in (0, 1):
+                    word, other, n = (_array(batch, f"{c}{side}", i, t) for c, t in (("words", np.int32), ("others", np.int32), ("counts", np.int64)))
+                    tail = int(np.searchsorted(word, first))
+                    key, where = np.unique((word[tail:].astype(np.int64) - first) // n_parts * k + of[other[tail:]], return_inverse=True)
+                    sides.append((key, np.bincount(where, n[tail:], minlength=len(key))))
+                new = relocate(np.maximum(own, 0), *sides, cells)
+                moves = own >= 0
+                if half is not None:
+                    moves &= (np.arange(len(own)) + half) % 2 == 0
+                yield _records("shard int, classes binary", [(shard, np.where(moves, new, own).astype(np.int8).tobytes())])
+
+    with small_batches(pairs.sparkSession, 1):
+        found = map_arrow(pairs, run, "shard int, classes binary").toArrow()
+    out = classes.copy()
+    for r in range(found.num_rows):
+        out[first + found.column("shard")[r].as_py() : size : n_parts] = np.frombuffer(found.column("classes")[r].as_buffer(), np.int8)
+    shared.unpersist()
+    return out
+
+
+def cluster(pairs: DataFrame, units: Units, classes: np.ndarray, order: np.ndarray, n_parts: int, n_classes: int = CLASSES, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each id, class transition counts), from ``classes`` where -1 is no word. The most frequent words found the classes, all others
+    begin in the last one. By turns the frequent and the rare words move, each time on counts under the present classes. Rare words that move
+    in one turn don't see each other's moves, so after the first turns every other word moves at a time, and the best classes seen are kept."""
+    rounds = ROUNDS if rounds is None else rounds
+    classes = classes.copy()
     classes[order[: n_classes - 1]] = np.arange(min(n_classes - 1, len(order)))
     classes[units.end] = n_classes
-    best, best_matrix, best_value = classes, np.zeros((n_classes + 1, n_classes + 1)), -np.inf
+    loops = np.zeros(units.size)
+
+    def own_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                word, other, n = (_array(batch, f"{c}0", i, t) for c, t in (("words", np.int32), ("others", np.int32), ("counts", np.int64)))
+                same = (word == other) & (word < units.size)
+                yield from _pieces(word[same].astype(np.int64), n[same], names=["at", "n"])
+
+    with small_batches(pairs.sparkSession, 1):
+        for r in map_arrow(pairs, own_pairs, "at long, n long").collect():
+            loops[r["at"]] += r["n"]
+    has_tail = len(classes) > units.size
+    best, best_matrix, values = classes, np.zeros((n_classes + 1, n_classes + 1)), []
     for turn in range(rounds + 1):
-        after = class_contexts(by_before, "before", "after", classes)
-        matrix = np.zeros((n_classes + 1, n_classes + 1))
-        np.add.at(matrix, classes, after)
-        value, before_it = likelihood(matrix), best_value
-        if value > best_value:
-            best, best_matrix, best_value = classes, matrix, value
-        if turn == rounds or turn > 2 and value - before_it < SETTLED * abs(value):
+        after, before, matrix = class_contexts(pairs, units, classes, n_classes + 1)
+        value = likelihood(matrix)
+        if not values or value > max(values):
+            best, best_matrix = classes, matrix
+        values.append(value)
+        if turn == rounds or turn > 4 and max(values) - max(values[:-4]) < SETTLED * abs(value):
             break
-        before = class_contexts(by_after, "after", "before", classes)
-        movable = order if turn == 0 else order[(np.arange(len(order)) + turn) % 2 == 0]
-        classes = exchange(classes, after, before, loops, movable)
+        of_head = turn % 2 == 0 or not has_tail
+        half = None if turn < 2 else turn // 2
+        if of_head:
+            movable = order if half is None else order[(np.arange(len(order)) + half) % 2 == 0]
+            moved = exchange(classes[: units.size].astype(np.int64), after, before, loops, movable, matrix)
+            classes = np.concatenate([moved.astype(np.int8), classes[units.size :]])
+        else:
+            classes = move_tail(pairs, units, classes, matrix, n_parts, half)
     return best, best_matrix
 
 
 class ClassModel:
-    """What scoring needs besides the counts of rare words."""
+    """What scoring needs besides the coded texts; ``kinds`` are the distinct words of each class."""
 
-    def __init__(self, units: Units, classes: np.ndarray, matrix: np.ndarray, types: np.ndarray, n_ends: int, n_tokens: int, n_types: int):
+    def __init__(self, units: Units, classes: np.ndarray, matrix: np.ndarray, kinds: np.ndarray, n_ends: int, n_tokens: int, n_types: int):
         self.units, self.classes = units, classes
         self.n_ends, self.n_tokens, self.n_types = n_ends, n_tokens, n_types
         k = len(matrix)
         into = matrix.sum(axis=0)
         share = (into + 1) / (into.sum() + k)
         self.transition = np.log10((matrix + TRANSITION_PRIOR * share) / (matrix.sum(axis=1, keepdims=True) + TRANSITION_PRIOR))
-        kinds = np.bincount(classes[: units.end], types[: units.end], minlength=k)
         self.emission_total = np.log10(into + DELTA * (kinds + 1))
         # The end is the only member of its class and is certain in it; the term that all tokens share is taken out again.
         self.emission_total[k - 1] = np.log10(n_ends + DELTA)
 
 
-def train_model(train: DataFrame) -> tuple[ClassModel, DataFrame]:
-    """The model of all rows' texts and the vocabulary table."""
+def shape_classes(words: DataFrame, classes: np.ndarray, n_classes: int) -> np.ndarray:
+    """For each shape the class that most of its words seen once have; for a shape without any, that of most such words."""
+    shared = words.sparkSession.sparkContext.broadcast(classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(SHAPE_UNITS * n_classes, np.int64)
+        for batch in batches:
+            shape, ids = batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy()
+            out += np.bincount(shape * n_classes + shared.value[ids], minlength=len(out))
+        some = np.flatnonzero(out)
+        yield from _pieces(some, out[some], names=["at", "n"])
+
+    found = map_arrow(words.filter("n = 1").select("shape", "id"), run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SHAPE_UNITS * n_classes)
+    out[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    out = out.reshape(SHAPE_UNITS, n_classes)
+    return np.where(out.any(axis=1), out.argmax(axis=1), out.sum(axis=0).argmax()).astype(np.int8)
+
+
+def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame, DataFrame, DataFrame]:
+    """(model of the texts of ``docs`` (doc_id, text, learned) that are learned, vocabulary, rare words with their ids, coded texts of all rows)."""
+    train = docs.filter("learned")
     words = materialize(vocabulary(train), "vocabulary")
     n_ends = train.count()
-    total, kinds = words.agg(F.sum("n"), F.count("n")).first()
+    total, n_types = words.agg(F.sum("n"), F.count("n")).first()
+    total = int(total or 0)
     top = words.orderBy(F.desc("n"), "word").limit(WORD_UNITS).toArrow()
-    frequent, counts = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    units = Units(frequent, counts)
-    types = np.ones(units.size)
-    weight = np.zeros(units.size)
-    weight[: units.n_words] = counts
-    types[units.n_words :] = 0
-    for r in words.groupBy("shape").agg(F.count("n").alias("kinds"), F.sum("n").alias("n")).collect():
-        types[units.n_words + r["shape"]] += r["kinds"]
-        weight[units.n_words + r["shape"]] += r["n"]
-    if units.n_words:
-        shape_of = top.column("shape").to_numpy()
-        np.subtract.at(types, units.n_words + shape_of, 1)
-        np.subtract.at(weight, units.n_words + shape_of, counts)
-    order = np.argsort(-weight[: units.end], kind="stable")
-    classes, matrix = cluster(unit_pairs(train, units), units, order)
-    return ClassModel(units, classes, matrix, types, n_ends, int(total or 0) + n_ends, int(kinds) + (n_ends > 0)), words
-
-
-_ROW = "kind int, shard int, key long, doc_id long, n_tokens long, n_known long, shared double, own double, words binary, counts binary, rows binary"
-_NAMES = [x.split()[0] for x in _ROW.split(", ")]
-
-
-def _rows(kind: int, shard, key, doc_id=None, n_tokens=None, n_known=None, shared=None, own=None, words=None, counts=None, rows=None) -> pa.RecordBatch:
-    n = len(shard)
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary())
-    values = (np.full(n, kind), shard, key, doc_id, n_tokens, n_known, shared, own, words, counts, rows)
-    return pa.RecordBatch.from_arrays([pa.nulls(n, t) if v is None else (v.cast(t) if isinstance(v, pa.Array) else pa.array(v, t)) for v, t in zip(values, kinds, strict=True)], _NAMES)
-
-
-def score_texts(docs: DataFrame, model: ClassModel, words: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score and score of each row.
-
-    The counts of frequent words travel with the model. Those of all others are joined by shards of the vocabulary: each run of texts sends
-    one row of its distinct rare words, and where they stand, to each shard; a shard's task loads its part of the vocabulary
-    first and then streams those rows, answering with a partial sum for each text. A word occurs once in a run's row, so no word is hot.
-    """
-    spark = docs.sparkSession
-    n_shards = max(LEAST_SHARDS, -(-model.n_types // SHARD_WORDS), -(-model.n_tokens // SHARD_TOKENS))
-    shared = spark.sparkContext.broadcast(model)
+    units = Units(top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy())
+    n_shards = max(LEAST_SHARDS, -(-n_types // SHARD_WORDS), -(-total // SHARD_TOKENS))
+    n_parts = max(LEAST_SHARDS, -(-total // CONTEXT_TOKENS))
+    rare = materialize(numbered(words, units, n_shards), "rare_words")
+    sizes = {r["shard"]: r["n"] for r in rare.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
+    classes = np.full(units.size + max(sizes.values(), default=0) * n_shards, -1, np.int8)
+    classes[: units.size] = CLASSES - 1
+    for s, n in sizes.items():
+        classes[units.size + s :: n_shards][:n] = CLASSES - 1
+    coded = encode(docs, units, rare, n_shards)
+    classes, matrix = cluster(contexts(coded, units, len(classes), n_parts), units, classes, np.arange(units.n_words), n_parts)
+    words_of = np.concatenate([classes[: units.n_words], classes[units.size :]])
+    kinds = np.asarray([np.count_nonzero(words_of == c) for c in range(len(matrix))])
+    classes[units.n_words : units.end] = shape_classes(rare, classes, len(matrix))
+    return ClassModel(units, classes, matrix, kinds, n_ends, total + n_ends, int(n_types) + (n_ends > 0)), words, rare, coded
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
+def train_model(train: DataFrame) -> tuple[ClassModel, DataFrame]:
+    """The model of all rows' texts and the vocabulary table."""
+    return fit(train.select("doc_id", "text", F.lit(True).alias("learned")))[:2]
+
+
+def score_texts(coded: DataFrame, model: ClassModel) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score and score of each coded text."""
+    shared = coded.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        key = TaskContext.get().partitionId() << 40
-        for batch, data, offsets in blocks(batches):
-            n = batch.num_rows
-            word, shape, row = tokens(data, offsets)
-            unit, own, count = m.units.find(word, shape)
-            before, after, owner = with_ends(unit, row, n, m.units.end)
+        for batch, i, before, after, text in coded_rows(batches, m.units.end):
+            docs, nulls = _array(batch, "docs", i, np.int64), _array(batch, "nulls", i, np.uint8)
+            n = len(docs)
             a, b = m.classes[before], m.classes[after]
-            fit = np.bincount(owner, m.transition[a, b] - m.emission_total[b], minlength=n)
-            base = np.bincount(row, np.where(own, np.log10(count + DELTA), 0.0), minlength=n) + np.log10(m.n_ends + DELTA)
-            known = np.bincount(row, own, minlength=n).astype(np.int64) + (m.n_ends > 0)
-            keys = np.arange(key, key + n)
-            yield _rows(0, keys % n_shards, keys, batch.column(0), np.bincount(owner, minlength=n), known, base, fit)
-            rare = np.flatnonzero(~own)
-            if len(rare):
-                order = rare[np.argsort(word[rare], kind="stable")]
-                distinct, first, count = np.unique(word[order], return_index=True, return_counts=True)
-                shard = (distinct % np.uint64(n_shards)).astype(np.int64)
-                place = row[order].astype(np.uint32)
-                blob: tuple[list, list, list] = [], [], []
-                some = np.unique(shard)
-                for s in some:
-                    at = np.flatnonzero(shard == s)
-                    inside = np.repeat(first[at], count[at]) + _steps(count[at])
-                    for where, values in zip(blob, (distinct[at], count[at].astype(np.uint32), place[inside]), strict=True):
-                        where.append(values.tobytes())
-                yield _rows(2, some, np.full(len(some), key), words=blob[0], counts=blob[1], rows=blob[2])
-            key += n
-
-    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            word, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            shard = (word % np.uint64(n_shards)).astype(np.int64)
-            order = np.lexsort((word, shard))
-            some, first = np.unique(shard[order], return_index=True)
-            ends = [*first[1:], len(order)]
-            cut = [order[b:e] for b, e in zip(first, ends, strict=True)]
-            yield _rows(1, some, np.zeros(len(some)), words=[word[c].tobytes() for c in cut], counts=[n[c].astype(np.int64).tobytes() for c in cut])
+            own = np.bincount(text, m.transition[a, b] - m.emission_total[b], minlength=n)
+            base = _array(batch, "base", i, np.float64) + np.log10(m.n_ends + DELTA)
+            known = _array(batch, "known", i, np.int64) + (m.n_ends > 0)
+            values = (pa.array(docs, pa.int64(), mask=nulls.astype(bool)), np.bincount(text, minlength=n), known, base, own)
+            yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in values], ["doc_id", "n_tokens", "n_known", "shared", "own"])
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, table, parts, unknown = -1, None, [], np.log10(DELTA)
-        for batch in batches:
-            done = batch.filter(pa.array(batch.column("kind").to_numpy() == 0))
-            if done.num_rows:
-                yield pa.RecordBatch.from_arrays([done.column(c) for c in _NAMES[2:8]], _NAMES[2:8])
-            out = []
-            kind, shard, key = (batch.column(c).to_numpy() for c in ("kind", "shard", "key"))
-            for i in np.flatnonzero(kind > 0):
-                if shard[i] != of:
-                    of, parts, table = shard[i], [], None
-                have = np.frombuffer(batch.column("words")[i].as_buffer(), np.uint64)
-                if kind[i] == 1:
-                    parts.append((have, np.frombuffer(batch.column("counts")[i].as_buffer(), np.int64)))
-                    continue
-                if table is None:
-                    keys = np.concatenate([k for k, _ in parts]) if parts else np.zeros(0, np.uint64)
-                    order = np.argsort(keys)
-                    table = keys[order], np.concatenate([c for _, c in parts])[order] if parts else np.zeros(0, np.int64)
-                times = np.frombuffer(batch.column("counts")[i].as_buffer(), np.uint32)
-                place = np.frombuffer(batch.column("rows")[i].as_buffer(), np.uint32).astype(np.int64)
-                if len(table[0]):
-                    at = np.minimum(np.searchsorted(table[0], have), len(table[0]) - 1)
-                    n = np.where(table[0][at] == have, table[1][at], 0)
-                else:
-                    n = np.zeros(len(have), np.int64)
-                value = np.repeat(np.where(n > 0, np.log10(n + DELTA), unknown), times)
-                rows, where = np.unique(place, return_inverse=True)
-                out.append((key[i] + rows, np.bincount(where, np.repeat(n > 0, times)).astype(np.int64), np.bincount(where, value)))
-            if out:
-                keys, known, base = (np.concatenate(x) for x in zip(*out, strict=True))
-                zero = np.zeros(len(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.nulls(len(keys), pa.int64()), pa.array(zero.astype(np.int64)), pa.array(known), pa.array(base), pa.array(zero)], _NAMES[2:8])
-
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rare = map_arrow(words.select("word", "n"), load, _ROW)
-    both = rare.unionByName(map_arrow(named, send, _ROW)).repartition("shard").sortWithinPartitions("shard", "kind")
-    sums = map_arrow(both, answer, "key long, doc_id long, n_tokens long, n_known long, shared double, own double")
-    out = sums.groupBy("key").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "shared", "own")])
     total = float(np.log10(model.n_tokens + DELTA * (model.n_types + 1)))
+    out = map_arrow(coded, run, "doc_id long, n_tokens long, n_known long, shared double, own double")
     return out.select("doc_id", "n_tokens", "n_known", (F.col("shared") - F.col("n_tokens") * F.lit(total)).alias("base_score"), (F.col("shared") + F.col("own")).alias("score"))
 
 
-def _steps(counts: np.ndarray) -> np.ndarray:
-    """0..counts[0]-1, 0..counts[1]-1, and so on."""
-    ends = np.cumsum(counts)
-    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - counts, counts)
-
-
 def class_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
     """Scores of all rows of ``docs`` (doc_id, text) by a model of those whose fold is not 0.
 
@@ -407,8 +632,8 @@ def class_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
     classes' shares. Every word of every training text is counted, and the vocabulary never leaves the executors. A null or empty text is one end. Repeated rows
     are scored each. With no training rows every word is unknown. An empty table gives an empty result.
     """
-    model, words = train_model(docs.filter(fold(F.col("doc_id"), folds) != 0))
-    out = score_texts(docs, model, words)
+    model, _, _, coded = fit(docs.select("doc_id", "text", (fold(F.col("doc_id"), folds) != 0).alias("learned")))
+    out = score_texts(coded, model)
     return out.select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -160,6 +160,37 @@ def test_class_model_is_a_distribution_and_beats_the_base(spark):
     assert own.all() and (total[: k - 1] <= 1 + 1e-9).all()
 
 
+def test_rare_words_are_classed_one_by_one(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(class_lm, "WORD_UNITS", 40)
+    rng = random.Random(3)
+    first, second = ([f"{c}{i}xyz" for i in range(60)] for c in "ab")
+    filler = [f"f{i}" for i in range(40)]
+    docs = [(i, " ".join(f"{rng.choice(filler)} {rng.choice(first)} {rng.choice(second)}" for _ in range(20)), True) for i in range(100)]
+    model, vocabulary, rare, _ = class_lm.fit(spark.createDataFrame(docs, "doc_id long, text string, learned boolean"))
+    hashes = {}
+    for w in {w for _, text, _ in docs for w in text.split()}:
+        data = np.frombuffer(w.encode(), np.uint8)
+        hashes[w] = int(class_lm.tokens(data, np.asarray([0, len(data)]))[0].view(np.int64)[0])
+    ids = {r["word"]: r["id"] for r in rows_of(rare)}
+    assert len(ids) == vocabulary.count() - 40 and len(set(ids.values())) == len(ids)
+    unit, own, _ = model.units.find(np.asarray(list(hashes.values()), np.int64).view(np.uint64), np.zeros(len(hashes), np.int64))
+    of = {w: model.classes[u if o else ids[h]] for (w, h), u, o in zip(hashes.items(), unit, own, strict=True)}
+    # All end alike, but most of those that precede and most of those that follow have one class each, and not the same.
+    (a, n_a), (b, n_b) = (Counter(of[w] for w in group if hashes.get(w) in ids).most_common(1)[0] for group in (first, second))
+    assert min(of.values()) >= 0 and a != b and min(n_a, n_b) > sum(h in ids for h in hashes.values()) / 4
+    count, k = Counter(), len(model.transition)
+    for _, text, _ in docs:
+        classes = [k - 1, *(of[w] for w in text.split()), k - 1]
+        count.update(zip(classes, classes[1:], strict=False))
+    matrix = np.zeros((k, k))
+    for at, n in count.items():
+        matrix[at] = n
+    share = (matrix.sum(axis=0) + 1) / (matrix.sum() + k)
+    assert np.allclose(model.transition, np.log10((matrix + class_lm.TRANSITION_PRIOR * share) / (matrix.sum(axis=1, keepdims=True) + class_lm.TRANSITION_PRIOR)))
+
+
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(4)
     n, k = 40, 5
