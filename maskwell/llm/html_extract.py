@@ -207,7 +207,8 @@ def extract(page: str | None) -> str:
     2. The ratios are fused with each other and with the share of text outside links, smoothed over
        the page order of the paths, and held against a share of the page's standard deviation.
     3. Selected paths vote, by their text, for the elements above their blocks. The lowest element that holds
-       nearly all of the votes is the article; its blocks are the result except those left out by name and lists of links.
+       nearly all of the votes is the article; its blocks, except those left out by name and lists that are links as a whole, and all
+       selected blocks outside it are the result.
     """
     if not page:
         return ""
@@ -243,7 +244,13 @@ def extract(page: str | None) -> str:
     for up in _up(article):
         if up.name in ("article", "main"):
             article = up
-    kept = [text for node, text, links in found if not (links * 2 > len(text) and node.name in ("li", "ul", "ol")) and any(up is article for up in _up(node))]
+    kept = []
+    for node, text, links in found:
+        _, n, _, linked = paths[node.path]
+        link_list = node.name in ("li", "ul", "ol") and links * 2 > len(text) and linked * 2 > n
+        selected = score[node.path] >= limit and links * 2 <= len(text)
+        if selected or not link_list and any(up is article for up in _up(node)):
+            kept.append(text)
     return "\n".join(kept)
 
 

@@ -475,6 +475,14 @@ def test_main_text_of_a_page():
     assert html_extract.extract(deep) == "deep, text"
 
 
+def test_selected_text_outside_the_article_is_kept():
+    body = "".join(f"<p>Sentence {i}, of the body, with marks, and more.</p>" for i in range(40))
+    lead = "The lead, a longer one, of marks, and words, and more, and more, for a selected path."
+    page = f'<div class=post><p class=lead>{lead}</p><div class=body>{body}<ul><li><a href="x">A link</a></li><li>An item of the list that is text, and longer.</li></ul></div></div>'
+    out = html_extract.extract(page).split("\n")
+    assert out[0] == lead and len(out) == 43 and out[-2] == "A link"
+
+
 def test_pages_keep_their_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (2, None, None, ""), (None, "v", "<p>Hi.</p>" * 3, "")], "page_id long, url string, html string, text string")
     out = rows_of(html_extract.extract_pages(pages))
