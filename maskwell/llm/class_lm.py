@@ -1,4 +1,9 @@
-"""Brown class-based n-gram scoring: exchange clustering, class transitions, word emissions."""
+"""Brown class-based n-gram scoring: exchange clustering, class transitions, word emissions.
+
+The texts are read once: each run of texts sends its distinct words to the shards of the vocabulary, a shard sums and numbers them, and the
+numbers go back, so that texts become arrays of ids. Every word of the training texts is a unit of the exchange. Clustering and scoring then
+only read the ids. What a task holds is one shard, one run of texts and the class of each id, one byte a word.
+"""
 
 from __future__ import annotations
 
@@ -9,30 +14,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwell.llm.common import materialize, small_batches
+from maskwell.llm.common import discard, materialize, small_batches
 from maskwell.llm.language_id import fold
 from maskwell.llm.textvec import blocks, find_words, hash_words, lower_ascii, mix
 from maskwell.shipping import map_arrow
 
-#: Every word of the training texts is a unit of the exchange. The most frequent ones move one after the other on the driver; all others
-#: move in their shard's task, and the driver holds one byte, the class, for each. A word that no training text has gets the class
-#: that words seen once have most often under its shape (the hash of its last three bytes).
-WORD_UNITS, SHAPE_UNITS = 14336, 2048
+#: The most frequent words, which move one after the other on the driver; all others move in their shard's task.
+HEAD_WORDS = 4096
+#: A word that no training text has gets the class that words seen once have most often under its shape, the hash of its last three bytes.
+SHAPES = 2048
 CLASSES = 64
-#: Measured turns at most: head and tail move by turns, after their first turn half of them at a time.
-ROUNDS = 10
-#: Clustering ends when two turns of the head and two of the tail together raise the likelihood by less than this share.
+#: Rounds at most, each a turn of the head and one of all other words.
+ROUNDS = 4
+#: Clustering ends when a round raises the likelihood by less than this share.
 SETTLED = 1e-3
-#: Training tokens per shard of the context counts.
-CONTEXT_TOKENS = 1_000_000
 DELTA = 0.1
 TRANSITION_PRIOR = 2.0
-#: Words of the vocabulary that a task holds at once while texts are coded, and training tokens per such shard.
-SHARD_WORDS, SHARD_TOKENS = 250_000, 8_000_000
+#: Text bytes for each shard of the vocabulary, and for each run of texts.
+SHARD_BYTES, RUN_BYTES = 8 << 20, 2 << 20
 LEAST_SHARDS = 16
+#: Head words whose counts are summed in one group.
+HEAD_GROUP = 256
 _MERGE_AT = 1 << 21
 
-
 class _Counts:
     """Counts of integer keys, merged now and then."""
 
@@ -67,59 +71,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     for back in range(1, 4):
         at = end - back
         shape = shape * np.uint64(257) + np.where(at >= start, data[np.maximum(at, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0))
-    return word, (mix(shape) % np.uint64(SHAPE_UNITS)).astype(np.int32), row
-
-
-def _pieces(keys: np.ndarray, *columns: np.ndarray, names: list[str], size: int = 200_000) -> Iterator[pa.RecordBatch]:
-    for begin in range(0, len(keys), size):
-        yield pa.RecordBatch.from_arrays([pa.array(c[begin : begin + size]) for c in (keys, *columns)], names)
-
-
-def vocabulary(train: DataFrame) -> DataFrame:
-    """word (hash), shape and n of all distinct words of all training texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, shapes = _Counts(), []
-        for _, data, offsets in blocks(batches):
-            word, shape, _ = tokens(data, offsets)
-            distinct, first, n = np.unique(word, return_index=True, return_counts=True)
-            counts.add(distinct, n)
-            shapes.append((distinct, shape[first]))
-            if sum(len(x) for x, _ in shapes) > _MERGE_AT:
-                shapes[:] = [_first(shapes)]
-        keys, n = counts.total()
-        have, shape = _first(shapes)
-        order = np.searchsorted(have, keys)
-        yield from _pieces(keys.view(np.int64), shape[order].astype(np.int32) if len(keys) else np.zeros(0, np.int32), n, names=["word", "shape", "n"])
-
-    out = map_arrow(train.select("text"), run, "word long, shape int, n long")
-    return out.groupBy("word", "shape").agg(F.sum("n").alias("n"))
-
-
-def _first(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
-    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_index=True)
-    return keys, np.concatenate([v for _, v in parts])[at]
-
-
-class Units:
-    """Numbers of frequent words, of shapes (for words that are in no training text) and of the end; those of all other words follow."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray):
-        order = np.argsort(words)
-        self.words, self.counts, self.unit = words[order], counts[order], order.astype(np.int32)
-        self.n_words = len(words)
-        self.end = self.n_words + SHAPE_UNITS
-        self.size = self.end + 1
-
-    def find(self, word: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(unit, in lexicon, count in training where it is)."""
-        if not self.n_words:
-            return shape.astype(np.int32), np.zeros(len(word), bool), np.zeros(len(word), np.int64)
-        at = np.minimum(np.searchsorted(self.words, word), self.n_words - 1)
-        own = self.words[at] == word
-        return np.where(own, self.unit[at], self.n_words + shape), own, np.where(own, self.counts[at], 0)
+    return word, (mix(shape) % np.uint64(SHAPES)).astype(np.int16), row
 
 
 def with_ends(values: np.ndarray, row: np.ndarray, n_rows: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,30 +85,6 @@ def with_ends(values: np.ndarray, row: np.ndarray, n_rows: int, end: int) -> tup
     return before, out, np.repeat(np.arange(n_rows), count + 1)
 
 
-def numbered(words: DataFrame, units: Units, n_shards: int) -> DataFrame:
-    """word, shape, n, shard and id of each word outside the lexicon. The k-th word of shard s has the id units.size + k * n_shards + s."""
-    first = units.size
-    frequent = words.sparkSession.createDataFrame([(int(w),) for w in units.words.view(np.int64)], "word long")
-    tail = words.join(F.broadcast(frequent), "word", "left_anti").withColumn("shard", F.pmod("word", F.lit(n_shards)).cast("int"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, seen = -1, 0
-        for batch in batches:
-            shard = batch.column(3).to_numpy().astype(np.int64)
-            some, begin, count = np.unique(shard, return_index=True, return_counts=True)
-            # Rows come by shard; only the first shard of a batch may have begun before.
-            order = np.argsort(begin)
-            local = np.empty(len(shard), np.int64)
-            for s, b, n in zip(some[order], begin[order], count[order], strict=True):
-                seen = seen if s == of else 0
-                local[b : b + n] = seen + np.arange(n)
-                of, seen = s, seen + n
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first + local * n_shards + shard)], ["word", "shape", "n", "shard", "id"])
-
-    ordered = tail.select("word", "shape", "n", "shard").repartition("shard").sortWithinPartitions("shard", "word")
-    return map_arrow(ordered, run, "word long, shape int, n long, shard int, id long")
-
-
 def _ends(begin: np.ndarray, n: int) -> np.ndarray:
     """Where each of the runs that begin at ``begin`` ends, the last one at ``n``."""
     return np.append(begin[1:], n)[: len(begin)]
@@ -172,212 +100,193 @@ def _array(batch: pa.RecordBatch, column: str, i: int, kind: type) -> np.ndarray
     return np.frombuffer(batch.column(column)[i].as_buffer(), kind)
 
 
-_SENT = "kind int, shard int, key long, start long, words binary, ids binary, counts binary, docs binary, nulls binary, learned binary, lengths binary, codes binary, base binary, known binary"
-_CODED = "key long, docs binary, nulls binary, learned binary, lengths binary, ids binary, base binary, known binary"
-
+_SENT = "kind int, shard int, key long, start long, words binary, shapes binary, counts binary, docs binary, nulls binary, learned binary, lengths binary, codes binary"
+_ANSWER = "kind int, shard int, key long, start long, words binary, shapes binary, counts binary"
+_WHOLE = "kind int, key long, start long, words binary, counts binary, docs binary, nulls binary, learned binary, lengths binary, codes binary"
+_CODED = "docs binary, nulls binary, learned binary, lengths binary, ids binary, base binary, known binary"
 
-def encode(docs: DataFrame, units: Units, words: DataFrame, n_shards: int) -> DataFrame:
-    """The texts of ``docs`` (doc_id, text, learned) as ids, in rows of many texts, with the sum of log10(count + 0.1) and the known words of each.
 
-    Each run of texts sends one row of its distinct rare words to each shard of the vocabulary, whose task loads its part of
-    ``words`` first and answers with ids and counts. A word occurs once in a run's row, so no word is hot.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(units)
-    blank = (None,) * 7
+def send(docs: DataFrame, n_shards: int) -> DataFrame:
+    """For each run of ``docs`` (doc_id, text, learned) a row of its texts, whose words are places in its list of distinct words, and a row for each
+    shard with the words of that list that are the shard's and how often learned texts of the run have them. A word is once in
+    a run's list, so no word is hot."""
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        u, key = shared.value, TaskContext.get().partitionId() << 40
-        for batch, data, offsets in blocks(batches):
+        key = TaskContext.get().partitionId() << 40
+        for batch, data, offsets in blocks(batches, limit=RUN_BYTES):
             n = batch.num_rows
             word, shape, row = tokens(data, offsets)
-            unit, own, count = u.find(word, shape)
-            base = np.bincount(row, np.where(own, np.log10(count + DELTA), 0.0), minlength=n)
-            known = np.bincount(row, own, minlength=n).astype(np.int64)
-            codes, out = unit.astype(np.int32), []
-            rare = np.flatnonzero(~own)
-            if len(rare):
-                distinct, first, where = np.unique(word[rare].view(np.int64), return_index=True, return_inverse=True)
-                shard = distinct % n_shards
-                order = np.argsort(shard, kind="stable")
-                place = np.empty(len(order), np.int64)
-                place[order] = np.arange(len(order))
-                codes[rare] = -1 - place[where]
-                some, begin = np.unique(shard[order], return_index=True)
-                for s, b, e in zip(some, begin, _ends(begin, len(order)), strict=True):
-                    at = order[b:e]
-                    out.append((2, int(s), key, int(b), distinct[at].tobytes(), unit[rare[first[at]]].astype(np.int32).tobytes(), None, *blank))
-            ids = batch.column(0)
             learned = np.asarray(batch.column(2).fill_null(False).to_pylist(), np.uint8)
+            distinct, first, where = np.unique(word, return_index=True, return_inverse=True)
+            count = np.bincount(where, learned[row], minlength=len(distinct)).astype(np.int32)
+            shard = (distinct % np.uint64(n_shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            ids = batch.column(0)
             nulls = np.asarray(ids.is_null().to_pylist(), np.uint8)
             lengths = np.bincount(row, minlength=n).astype(np.int64)
-            own_row = (0, 0, key, 0, None, None, None, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), nulls.tobytes(), learned.tobytes(), lengths.tobytes(), codes.tobytes(), base.tobytes(), known.tobytes())
-            yield _records(_SENT, [own_row, *out])
-            key += 1
-
-    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            word, n, shard, ids = (batch.column(i).to_numpy() for i in range(4))
-            order = np.argsort(shard, kind="stable")
+            out = [(0, 0, key, 0, None, None, None, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), nulls.tobytes(), learned.tobytes(), lengths.tobytes(), place[where].tobytes())]
             some, begin = np.unique(shard[order], return_index=True)
-            rows = []
             for s, b, e in zip(some, begin, _ends(begin, len(order)), strict=True):
                 at = order[b:e]
-                rows.append((1, int(s), 0, 0, word[at].tobytes(), ids[at].astype(np.int32).tobytes(), n[at].astype(np.int64).tobytes(), *blank))
-            yield _records(_SENT, rows)
+                out.append((1, int(s), key, int(b), distinct[at].tobytes(), shape[first[at]].tobytes(), count[at].tobytes(), *(None,) * 5))
+            yield _records(_SENT, out)
+            key += 1
+
+    with small_batches(docs.sparkSession, 2000):
+        return materialize(map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "learned"), run, _SENT), "sent_words", "zstd")
+
+
+def number(sent: DataFrame, n_shards: int) -> DataFrame:
+    """Per shard its vocabulary (kind 0: words, shapes and counts of learned words from the most frequent on) and an answer to each list (kind 1: ids
+    in ``words``, counts). The k-th word of shard s has the id k * n_shards + s; a word that no learned text has gets -1 - shape."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, lists = -1, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            words, shapes, counts = (np.concatenate([x[i] for x in lists]) for i in (2, 3, 4))
+            distinct, first, where = np.unique(words, return_index=True, return_inverse=True)
+            n = np.bincount(where, counts, minlength=len(distinct)).astype(np.int64)
+            order = np.argsort(-n, kind="stable")
+            ids = np.empty(len(order), np.int64)
+            ids[order] = np.arange(len(order)) * n_shards + of
+            ids = np.where(n > 0, ids, -1 - shapes[first].astype(np.int64))
+            known = order[: int((n > 0).sum())]
+            yield _records(_ANSWER, [(0, of, 0, 0, distinct[known].tobytes(), shapes[first[known]].tobytes(), n[known].tobytes())])
+            ids, n, begin = ids[where], n[where], 0
+            for key, start, have, *_ in lists:
+                end = begin + len(have)
+                yield _records(_ANSWER, [(1, of, key, start, ids[begin:end].tobytes(), None, n[begin:end].tobytes())])
+                begin = end
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, table, parts = -1, None, []
         for batch in batches:
-            out = []
-            kind, shard, key, start = (batch.column(c).to_numpy() for c in ("kind", "shard", "key", "start"))
+            shard, key, start = (batch.column(c).to_numpy() for c in ("shard", "key", "start"))
             for i in range(batch.num_rows):
                 if shard[i] != of:
-                    of, parts, table = shard[i], [], None
-                have, ids = _array(batch, "words", i, np.int64), _array(batch, "ids", i, np.int32)
-                if kind[i] == 1:
-                    parts.append((have, ids, _array(batch, "counts", i, np.int64)))
-                    continue
-                if table is None:
-                    columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 3
-                    order = np.argsort(columns[0])
-                    table = [c[order] for c in columns]
-                n = np.zeros(len(have), np.int64)
-                if len(table[0]):
-                    at = np.minimum(np.searchsorted(table[0], have), len(table[0]) - 1)
-                    found = table[0][at] == have
-                    ids, n = np.where(found, table[1][at], ids), np.where(found, table[2][at], 0)
-                out.append((2, 0, int(key[i]), int(start[i]), None, ids.astype(np.int32).tobytes(), n.tobytes(), *blank))
-            if out:
-                yield _records(_SENT, out)
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, parts = None, []
+                    if lists:
+                        yield from done()
+                    of, lists = int(shard[i]), []
+                # Copies, as the batch's own memory goes with it.
+                lists.append((int(key[i]), int(start[i]), *(_array(batch, c, i, t).copy() for c, t in (("words", np.uint64), ("shapes", np.int16), ("counts", np.int32)))))
+        if lists:
+            yield from done()
+
+    asked = sent.filter("kind = 1").select("shard", "key", "start", "words", "shapes", "counts").repartition("shard").sortWithinPartitions("shard")
+    with small_batches(sent.sparkSession, 64):
+        return materialize(map_arrow(asked, run, _ANSWER), "vocabulary", "zstd")
+
+
+def assemble(sent: DataFrame, answers: DataFrame) -> DataFrame:
+    """The runs of texts with ids, and for each text the sum of log10(count + 0.1) of its words and how many of them are known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: dict = {}
+        parts: list = []
 
         def done() -> pa.RecordBatch:
-            codes = np.frombuffer(row["codes"], np.int32).copy()
-            base, known, lengths = np.frombuffer(row["base"]).copy(), np.frombuffer(row["known"], np.int64).copy(), np.frombuffer(row["lengths"], np.int64)
-            rare = np.flatnonzero(codes < 0)
-            if len(rare):
-                parts.sort(key=lambda x: x[0])
-                ids, n = (np.concatenate([np.frombuffer(p[c], k) for p in parts]) for c, k in ((1, np.int32), (2, np.int64)))
-                at = -1 - codes[rare]
-                codes[rare] = ids[at]
-                of = np.repeat(np.arange(len(lengths)), lengths)[rare]
-                base += np.bincount(of, np.log10(n[at] + DELTA), minlength=len(lengths))
-                known += np.bincount(of, n[at] > 0, minlength=len(lengths)).astype(np.int64)
-            return _records(_CODED, [(row["key"], row["docs"], row["nulls"], row["learned"], row["lengths"], codes.tobytes(), base.tobytes(), known.tobytes())])
+            parts.sort(key=lambda x: x[0])
+            ids, n = (np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64) for c in (1, 2))
+            codes, lengths = np.frombuffer(texts["codes"], np.int32), np.frombuffer(texts["lengths"], np.int64)
+            of = np.repeat(np.arange(len(lengths)), lengths)
+            base = np.bincount(of, np.log10(n + DELTA)[codes], minlength=len(lengths))
+            known = np.bincount(of, (n > 0)[codes], minlength=len(lengths)).astype(np.int64)
+            return _records(_CODED, [(texts["docs"], texts["nulls"], texts["learned"], texts["lengths"], ids[codes].tobytes(), base.astype(np.float64).tobytes(), known.tobytes())])
 
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["kind"] == 0:
-                    if row is not None:
+            kind, start = batch.column("kind").to_numpy(), batch.column("start").to_numpy()
+            for i in range(batch.num_rows):
+                if kind[i] == 0:
+                    if texts:
                         yield done()
-                    row, parts = r, []
+                    texts, parts = {c: batch.column(c)[i].as_py() for c in ("docs", "nulls", "learned", "lengths", "codes")}, []
                 else:
-                    parts.append((r["start"], r["ids"], r["counts"]))
-        if row is not None:
+                    parts.append((start[i], _array(batch, "words", i, np.int64).copy(), _array(batch, "counts", i, np.int64).copy()))
+        if texts:
             yield done()
 
-    with small_batches(docs.sparkSession, 2000):
-        sent = materialize(map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "learned"), send, _SENT), "sent_words")
-    rare = materialize(map_arrow(words.select("word", "n", "shard", "id"), load, _SENT), "words_by_shard")
-    with small_batches(docs.sparkSession, 64):
-        both = rare.unionByName(sent.filter("kind = 2")).repartition("shard").sortWithinPartitions("shard", "kind")
-        answers = map_arrow(both, answer, _SENT)
-        whole = answers.unionByName(sent.filter("kind = 0")).repartition("key").sortWithinPartitions("key", "kind")
-        return materialize(map_arrow(whole, assemble, _CODED), "coded_texts")
+    none = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
+    own = sent.filter("kind = 0").select("kind", "key", "start", *none("words", "counts"), "docs", "nulls", "learned", "lengths", "codes")
+    back = answers.filter("kind = 1").select("kind", "key", "start", "words", "counts", *none("docs", "nulls", "learned", "lengths", "codes"))
+    with small_batches(sent.sparkSession, 16):
+        whole = own.unionByName(back).repartition("key").sortWithinPartitions("key", "kind")
+        return materialize(map_arrow(whole, run, _CODED), "coded_texts", "zstd")
 
 
-def coded_rows(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(batch, row in it, before, after, text) of the adjoining ids of each row of coded texts."""
+def adjoining(batches: Iterator[pa.RecordBatch], end: int, learned: bool = False) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(batch, row in it, before, after, text) of the adjoining ids of each run of texts, of all texts or of those learned."""
     for batch in batches:
         for i in range(batch.num_rows):
-            lengths = _array(batch, "lengths", i, np.int64)
-            yield batch, i, *with_ends(_array(batch, "ids", i, np.int32), np.repeat(np.arange(len(lengths)), lengths), len(lengths), end)
+            lengths, ids = _array(batch, "lengths", i, np.int64), _array(batch, "ids", i, np.int64)
+            if learned:
+                wanted = _array(batch, "learned", i, np.uint8).astype(bool)
+                ids, lengths = ids[np.repeat(wanted, lengths)], lengths[wanted]
+            yield batch, i, *with_ends(ids, np.repeat(np.arange(len(lengths)), lengths), len(lengths), end)
 
 
-_PART = "shard int, side int, words binary, others binary, counts binary"
-_CONTEXTS = "shard int, words0 binary, others0 binary, counts0 binary, words1 binary, others1 binary, counts1 binary"
+class Head:
+    """The ids that move on the driver, the most frequent first, and where each id stands among them."""
 
+    def __init__(self, ids: np.ndarray):
+        self.ids = ids
+        self.place = np.full(int(ids.max()) + 1 if len(ids) else 0, -1, np.int32)
+        self.place[ids] = np.arange(len(ids), dtype=np.int32)
 
-def contexts(coded: DataFrame, units: Units, size: int, n_parts: int) -> DataFrame:
-    """For each shard of the words how often each id follows (0) and precedes (1) each of its words in training texts. A
-    rare word is in one shard as a whole; the pairs of a frequent one are dealt by the other word."""
-    first, end = units.size, units.end
+    def find(self, ids: np.ndarray) -> np.ndarray:
+        """Places of ids, -1 for those outside the head."""
+        low = (ids >= 0) & (ids < len(self.place))
+        return np.where(low, self.place[np.where(low, ids, 0)] if len(self.place) else -1, -1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _Counts()
-        for batch, i, before, after, text in coded_rows(batches, end):
-            wanted = _array(batch, "learned", i, np.uint8).astype(bool)[text]
-            counts.add(before[wanted] * size + after[wanted])
-        keys, n = counts.total()
-        before, after = keys // size, keys % size
-        for side, (word, other) in enumerate(((before, after), (after, before))):
-            shard = np.where(word < first, other, word - first) % n_parts
-            order = np.argsort(shard, kind="stable")
-            some, begin = np.unique(shard[order], return_index=True)
-            for s, b, e in zip(some, begin, _ends(begin, len(order)), strict=True):
-                at = order[b:e]
-                yield _records(_PART, [(int(s), side, word[at].astype(np.int32).tobytes(), other[at].astype(np.int32).tobytes(), n[at].astype(np.int64).tobytes())])
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, parts = -1, (_Counts(), _Counts())
-
-        def done() -> pa.RecordBatch:
-            row: list = [of]
-            for p in parts:
-                keys, n = p.total()
-                # What came from one task alone is still in the order of its pairs.
-                order = np.argsort(keys, kind="stable")
-                keys, n = keys[order], n[order]
-                row += [(keys // size).astype(np.int32).tobytes(), (keys % size).astype(np.int32).tobytes(), n.astype(np.int64).tobytes()]
-            return _records(_CONTEXTS, [tuple(row)])
+def head_counts(coded: DataFrame, head: Head, classes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How often each class follows and precedes each head word, how often the word follows itself, and the class bigrams of all learned tokens."""
+    shared, h, end = coded.sparkSession.sparkContext.broadcast((head, classes)), len(head.ids), len(classes) - 1
+    # One line of cells: two rows of classes for each head word, then the class bigrams, then the head's own bigrams.
+    n_cells = 2 * k * h + k * k + h
+    group = HEAD_GROUP * 2 * k
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_head, of = shared.value
+        cells = np.zeros(n_cells, np.int64)
+        for _, _, before, after, _ in adjoining(batches, end, True):
+            left, right = of[before].astype(np.int64), of[after].astype(np.int64)
+            one, two = at_head.find(before), at_head.find(after)
+            a, b = one >= 0, two >= 0
+            both = a & (one == two)
+            cells += np.bincount(np.concatenate([one[a] * (2 * k) + right[a], two[b] * (2 * k) + k + left[b], left * k + right + 2 * k * h, one[both] + (2 * k * h + k * k)]), minlength=n_cells)
+        some = np.flatnonzero(cells)
+        number, begin = np.unique(some // group, return_index=True)
+        for g, b, e in zip(number, begin, _ends(begin, len(some)), strict=True):
+            at = some[b:e]
+            yield _records("part int, cells binary, counts binary", [(int(g), (at - g * group).astype(np.int32).tobytes(), cells[at].tobytes())])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, sums = -1, np.zeros(group, np.int64)
         for batch in batches:
+            part = batch.column("part").to_numpy()
             for i in range(batch.num_rows):
-                shard, side = batch.column("shard")[i].as_py(), batch.column("side")[i].as_py()
-                if shard != of:
+                if part[i] != of:
                     if of >= 0:
-                        yield done()
-                    of, parts = shard, (_Counts(), _Counts())
-                parts[side].add(_array(batch, "words", i, np.int32).astype(np.int64) * size + _array(batch, "others", i, np.int32), _array(batch, "counts", i, np.int64))
+                        yield _records("part int, counts binary", [(of, sums.tobytes())])
+                    of, sums = int(part[i]), np.zeros(group, np.int64)
+                sums[_array(batch, "cells", i, np.int32)] += _array(batch, "counts", i, np.int64)
         if of >= 0:
-            yield done()
+            yield _records("part int, counts binary", [(of, sums.tobytes())])
 
     with small_batches(coded.sparkSession, 16):
-        pairs = map_arrow(coded.select("learned", "lengths", "ids"), run, _PART)
-        return materialize(map_arrow(pairs.repartition("shard").sortWithinPartitions("shard"), gather, _CONTEXTS), "contexts")
-
-
-def class_contexts(pairs: DataFrame, units: Units, classes: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How often each class follows and precedes each frequent word (units x classes), and the class bigrams of all tokens."""
-    shared, width = pairs.sparkSession.sparkContext.broadcast(classes), units.size * n_classes
-    first = units.size
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, out = shared.value, np.zeros(2 * width + n_classes * n_classes)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                for side in (0, 1):
-                    word, other, n = (_array(batch, f"{c}{side}", i, k) for c, k in (("words", np.int32), ("others", np.int32), ("counts", np.int64)))
-                    met = of[other].astype(np.int64)
-                    # Words ascend, so the frequent ones come first.
-                    head = int(np.searchsorted(word, first))
-                    out[side * width : (side + 1) * width] += np.bincount(word[:head].astype(np.int64) * n_classes + met[:head], n[:head], minlength=width)
-                    if side == 0:
-                        out[2 * width :] += np.bincount(of[word].astype(np.int64) * n_classes + met, n, minlength=n_classes * n_classes)
-        some = np.flatnonzero(out)
-        yield from _pieces(some, out[some].astype(np.int64), names=["at", "n"])
-
-    with small_batches(pairs.sparkSession, 1):
-        counted = materialize(map_arrow(pairs, run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")), "class_contexts")
-    found = counted.toArrow()
-    out = np.zeros(2 * width + n_classes * n_classes)
-    out[found.column("at").to_numpy()] = found.column("n").to_numpy()
+        sent = map_arrow(coded.select("learned", "lengths", "ids"), run, "part int, cells binary, counts binary")
+        found = map_arrow(sent.repartition("part").sortWithinPartitions("part"), add, "part int, counts binary").toArrow()
+    cells = np.zeros(-(-n_cells // group) * group, np.int64)
+    for i in range(found.num_rows):
+        g = found.column("part")[i].as_py()
+        cells[g * group : (g + 1) * group] = np.frombuffer(found.column("counts")[i].as_buffer(), np.int64)
     shared.unpersist()
-    return out[:width].reshape(-1, n_classes), out[width : 2 * width].reshape(-1, n_classes), out[2 * width :].reshape(n_classes, n_classes)
+    sides = cells[: 2 * k * h].reshape(h, 2, k).astype(np.float64)
+    matrix = cells[2 * k * h : 2 * k * h + k * k].reshape(k, k).astype(np.float64)
+    return sides[:, 0], sides[:, 1], cells[2 * k * h + k * k : n_cells].astype(np.float64), matrix
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -389,8 +298,8 @@ def likelihood(matrix: np.ndarray) -> float:
     return float(_xlogx(matrix).sum() - _xlogx(matrix.sum(axis=0)).sum() - _xlogx(matrix.sum(axis=1)).sum())
 
 
-def exchange(classes: np.ndarray, after: np.ndarray, before: np.ndarray, loops: np.ndarray, movable: np.ndarray, matrix: np.ndarray | None = None) -> np.ndarray:
-    """One pass of exchanges: each movable unit, in the given order, goes to the class where the likelihood becomes largest.
+def exchange(classes: np.ndarray, after: np.ndarray, before: np.ndarray, loops: np.ndarray, movable: np.ndarray, matrix: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(classes, class matrix) after one pass of exchanges: each movable unit, in the given order, goes to the class where the likelihood becomes largest.
 
     ``after[u, c]`` and ``before[u, c]`` count the classes that follow and precede unit u; ``loops[u]`` how often u follows itself. The
     last class belongs to the end of text alone. The class matrix, by default that of these units alone, follows each move.
@@ -432,119 +341,212 @@ def exchange(classes: np.ndarray, after: np.ndarray, before: np.ndarray, loops:
         matrix[c] += out
         matrix[:, c] += into
         matrix[c, c] += loop
-    return classes
+    return classes, matrix
+
+
+_SMALL = 33
+
 
+def _changes(cells: np.ndarray) -> np.ndarray:
+    """[c, x, a]: what c more in cell (a, x) adds to the sum of x log x, for small c; by far the most counts are small."""
+    return np.stack([_xlogx(cells.T + c) - _xlogx(cells.T) for c in range(_SMALL)])
 
-def relocate(own: np.ndarray, after: tuple[np.ndarray, np.ndarray], before: tuple[np.ndarray, np.ndarray], matrix: np.ndarray) -> np.ndarray:
-    """The class of each word where the likelihood becomes largest if it alone moves.
 
-    ``after`` and ``before`` hold word * classes + class, ascending, and how often that class follows or precedes the word. Words that
-    stand beside members of their own class are rated as if those stayed where they are.
+def _sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The sum of the rows of each run; runs are mostly short, so those of one length are added together."""
+    length = _ends(begin, len(values)) - begin
+    out = np.empty((len(begin), values.shape[1]), values.dtype)
+    for m in np.unique(length):
+        of = np.flatnonzero(length == m)
+        total = values[begin[of]]
+        if m <= 8:
+            for j in range(1, int(m)):
+                total += values[begin[of] + j]
+        else:
+            total = np.stack([values[b : b + m].sum(axis=0) for b in begin[of]])
+        out[of] = total
+    return out
+
+
+class Relocation:
+    """Where a word goes if it alone moves, under one class matrix.
+
+    Words that stand beside members of their own class are rated as if those stayed where they are.
     """
-    k, free = len(matrix), len(matrix) - 1
-    gain = np.zeros((len(own), free))
-    each = np.arange(len(own))
-    for (at, n), cells in ((after, matrix[:free]), (before, matrix[:, :free].T)):
-        # Small counts, by far the most, are looked up.
-        table = np.stack([_xlogx(cells.T + c) - _xlogx(cells.T) for c in range(33)])
-        word, met = at // k, at % k
-        for begin in range(0, len(at), 50_000):
-            w, x, c = word[begin : begin + 50_000], met[begin : begin + 50_000], n[begin : begin + 50_000]
-            change = table[np.minimum(c, 32).astype(np.int64), x]
-            big = np.flatnonzero(c > 32)
+
+    def __init__(self, matrix: np.ndarray):
+        self.k, free = len(matrix), len(matrix) - 1
+        self.sides = []
+        for cells in (matrix[:free], matrix[:, :free].T):
+            total = cells.sum(axis=1)
+            self.sides.append((cells, _changes(cells), total, np.stack([_xlogx(total + c) - _xlogx(total) for c in range(_SMALL)])))
+        self._once: np.ndarray | None = None
+
+    def gains(self, own: np.ndarray, after: tuple[np.ndarray, np.ndarray], before: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """[word, class]. ``after`` and ``before`` hold word * classes + class, ascending, and how often that class follows or precedes the word."""
+        out = np.zeros((len(own), self.k - 1))
+        each = np.arange(len(own))
+        for (at, n), (cells, table, total, table_of_total) in zip((after, before), self.sides, strict=True):
+            word, met = at // self.k, at % self.k
+            for b in range(0, len(at), 50_000):
+                w, x, c = word[b : b + 50_000], met[b : b + 50_000], n[b : b + 50_000]
+                change = table[np.minimum(c, _SMALL - 1), x]
+                big = np.flatnonzero(c >= _SMALL)
+                if len(big):
+                    cell = cells.T[x[big]]
+                    change[big] = _xlogx(cell + c[big, None]) - _xlogx(cell)
+                have = cells[own[w], x]
+                change[np.arange(len(w)), own[w]] = _xlogx(have) - _xlogx(np.maximum(have - c, 0))
+                some, first = np.unique(w, return_index=True)
+                out[some] += _sums(change, first)
+            size = np.bincount(word, n, minlength=len(own)).astype(np.int64)
+            change = table_of_total[np.minimum(size, _SMALL - 1)]
+            big = np.flatnonzero(size >= _SMALL)
             if len(big):
-                cell = cells.T[x[big]]
-                change[big] = _xlogx(cell + c[big, None]) - _xlogx(cell)
-            have = cells[own[w], x]
-            change[np.arange(len(w)), own[w]] = _xlogx(have) - _xlogx(np.maximum(have - c, 0))
-            some, first = np.unique(w, return_index=True)
-            gain[some] += np.add.reduceat(change, first, axis=0)
-        total, size = cells.sum(axis=1), np.bincount(word, n, minlength=len(own))
-        change = _xlogx(total + size[:, None]) - _xlogx(total)
-        change[each, own] = _xlogx(total[own]) - _xlogx(np.maximum(total[own] - size, 0))
-        gain -= change
-    best = gain.argmax(axis=1)
-    return np.where(gain[each, best] > gain[each, own] + 1e-9, best, own)
-
-
-def move_tail(pairs: DataFrame, units: Units, classes: np.ndarray, matrix: np.ndarray, n_parts: int, half: int | None) -> np.ndarray:
-    """The classes after one turn of all rare words, or of every other one."""
-    shared, first, k, size = pairs.sparkSession.sparkContext.broadcast((classes, matrix)), units.size, len(matrix), len(classes)
+                change[big] = _xlogx(total + size[big, None]) - _xlogx(total)
+            change[each, own] = _xlogx(total[own]) - _xlogx(np.maximum(total[own] - size, 0))
+            out -= change
+        return out
+
+    def best(self, own: np.ndarray, after: tuple[np.ndarray, np.ndarray], before: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        out, each = own.copy(), np.arange(len(own))
+        gain = self.gains(own, after, before)
+        best = gain.argmax(axis=1)
+        return np.where(gain[each, best] > gain[each, own] + 1e-9, best, out)
+
+    def once(self) -> np.ndarray:
+        """[class after, class before, own]: where a word goes that occurs once; most words do, and for them this is all there is to look up."""
+        if self._once is None:
+            k, free = self.k, self.k - 1
+            (after, table_a, total_a, size_a), (before, table_b, total_b, size_b) = self.sides
+            gain = table_a[1][:, None, :] + table_b[1][None, :, :] - size_a[1] - size_b[1]
+            less = lambda cells: _xlogx(cells) - _xlogx(np.maximum(cells - 1, 0))
+            stay = less(after).T[:, None, :] + less(before).T[None, :, :] - less(total_a) - less(total_b)
+            out = np.empty((k, k, free), np.int8)
+            for own in range(free):
+                with_own = gain.copy()
+                with_own[:, :, own] = stay[:, :, own]
+                best = with_own.argmax(axis=2)
+                better = np.take_along_axis(with_own, best[:, :, None], 2)[:, :, 0] > stay[:, :, own] + 1e-9
+                out[:, :, own] = np.where(better, best, own)
+            self._once = out
+        return self._once
+
+
+def move_tail(coded: DataFrame, head: Head, classes: np.ndarray, matrix: np.ndarray, n_shards: int, half: int | None) -> np.ndarray:
+    """The classes after one turn of all words outside the head, or of every other one of them.
+
+    Texts are summed to counts of (word, side, class) before the shuffle, so a word that is everywhere costs a task few rows.
+    """
+    shared, k, end = coded.sparkSession.sparkContext.broadcast((head, classes, matrix)), len(matrix), len(classes) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, cells = shared.value
+        at_head, of, _ = shared.value
+        counts = _Counts()
+        for _, _, before, after, _ in adjoining(batches, end, True):
+            for word, cell in ((before, of[after].astype(np.int64)), (after, k + of[before].astype(np.int64))):
+                rest = (at_head.find(word) < 0) & (word != end)
+                if half is not None:
+                    rest &= (word // n_shards + half) % 2 == 0
+                counts.add(word[rest] * (2 * k) + cell[rest])
+        keys, n = counts.total()
+        word = keys // (2 * k)
+        order = np.argsort(word % n_shards, kind="stable")
+        keys, n, shard = keys[order], n[order], (word % n_shards)[order]
+        some, begin = np.unique(shard, return_index=True)
+        for s, b, e in zip(some, begin, _ends(begin, len(keys)), strict=True):
+            local = keys[b:e] // (2 * k) // n_shards
+            yield _records("shard int, words binary, cells binary, counts binary", [(int(s), local.astype(np.int32).tobytes(), (keys[b:e] % (2 * k)).astype(np.uint8).tobytes(), n[b:e].astype(np.int32).tobytes())])
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, of, now = shared.value
+        rule, shard, lists = Relocation(now), -1, []
+
+        def done() -> pa.RecordBatch:
+            keys, where = np.unique(np.concatenate([x for x, _ in lists]), return_inverse=True)
+            n = np.bincount(where, np.concatenate([x for _, x in lists])).astype(np.int64)
+            word, cell = keys // (2 * k), keys % (2 * k)
+            local, at = np.unique(word, return_inverse=True)
+            own = of[local * n_shards + shard].astype(np.int64)
+            right, left = cell < k, cell >= k
+            new = own.copy()
+            total = np.bincount(at, n)
+            once = total == 2
+            after, before = np.zeros(len(local), np.int64), np.zeros(len(local), np.int64)
+            after[at[right]], before[at[left]] = cell[right], cell[left] - k
+            new[once] = rule.once()[after[once], before[once], own[once]]
+            more = np.flatnonzero(~once)
+            if len(more):
+                number = np.full(len(local), -1)
+                number[more] = np.arange(len(more))
+                sides = []
+                for side, base in ((right, 0), (left, k)):
+                    mine = side & (number[at] >= 0)
+                    sides.append((number[at[mine]] * k + cell[mine] - base, n[mine]))
+                new[more] = rule.best(own[more], *sides)
+            moved = np.flatnonzero(new != own)
+            return _records("shard int, words binary, classes binary", [(shard, local[moved].astype(np.int32).tobytes(), new[moved].astype(np.int8).tobytes())])
+
         for batch in batches:
+            of_shard = batch.column("shard").to_numpy()
             for i in range(batch.num_rows):
-                shard = batch.column("shard")[i].as_py()
-                own = of[first + shard :: n_parts].astype(np.int64)
-                sides = []
-                for side in (0, 1):
-                    word, other, n = (_array(batch, f"{c}{side}", i, t) for c, t in (("words", np.int32), ("others", np.int32), ("counts", np.int64)))
-                    tail = int(np.searchsorted(word, first))
-                    key, where = np.unique((word[tail:].astype(np.int64) - first) // n_parts * k + of[other[tail:]], return_inverse=True)
-                    sides.append((key, np.bincount(where, n[tail:], minlength=len(key))))
-                new = relocate(np.maximum(own, 0), *sides, cells)
-                moves = own >= 0
-                if half is not None:
-                    moves &= (np.arange(len(own)) + half) % 2 == 0
-                yield _records("shard int, classes binary", [(shard, np.where(moves, new, own).astype(np.int8).tobytes())])
+                if of_shard[i] != shard:
+                    if lists:
+                        yield done()
+                    shard, lists = int(of_shard[i]), []
+                lists.append((_array(batch, "words", i, np.int32).astype(np.int64) * (2 * k) + _array(batch, "cells", i, np.uint8), _array(batch, "counts", i, np.int32).copy()))
+        if lists:
+            yield done()
 
-    with small_batches(pairs.sparkSession, 1):
-        found = map_arrow(pairs, run, "shard int, classes binary").toArrow()
+    with small_batches(coded.sparkSession, 16):
+        sent = map_arrow(coded.select("learned", "lengths", "ids"), run, "shard int, words binary, cells binary, counts binary")
+        found = map_arrow(sent.repartition("shard").sortWithinPartitions("shard"), move, "shard int, words binary, classes binary").toArrow()
     out = classes.copy()
-    for r in range(found.num_rows):
-        out[first + found.column("shard")[r].as_py() : size : n_parts] = np.frombuffer(found.column("classes")[r].as_buffer(), np.int8)
+    for i in range(found.num_rows):
+        local = np.frombuffer(found.column("words")[i].as_buffer(), np.int32).astype(np.int64)
+        out[local * n_shards + found.column("shard")[i].as_py()] = np.frombuffer(found.column("classes")[i].as_buffer(), np.int8)
     shared.unpersist()
     return out
 
 
-def cluster(pairs: DataFrame, units: Units, classes: np.ndarray, order: np.ndarray, n_parts: int, n_classes: int = CLASSES, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each id, class transition counts), from ``classes`` where -1 is no word. The most frequent words found the classes, all others
-    begin in the last one. By turns the frequent and the rare words move, each time on counts under the present classes. Rare words that move
-    in one turn don't see each other's moves, so after the first turns every other word moves at a time, and the best classes seen are kept."""
+def cluster(coded: DataFrame, head: Head, classes: np.ndarray, n_shards: int, n_classes: int = CLASSES, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """(class of each id, class transition counts, likelihood before each round and at the end), from ``classes`` where -1 is no word and the last one is the end.
+
+    The most frequent words found the classes, all others begin in the last one. In each round the head moves, word by word, and then all other words
+    do, on counts under the round's first classes. Words don't see what their neighbours did in the same round, so
+    after the first round every other word moves at a time, and the best classes seen are kept; the last pass only measures.
+    """
     rounds = ROUNDS if rounds is None else rounds
     classes = classes.copy()
-    classes[order[: n_classes - 1]] = np.arange(min(n_classes - 1, len(order)))
-    classes[units.end] = n_classes
-    loops = np.zeros(units.size)
-
-    def own_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                word, other, n = (_array(batch, f"{c}0", i, t) for c, t in (("words", np.int32), ("others", np.int32), ("counts", np.int64)))
-                same = (word == other) & (word < units.size)
-                yield from _pieces(word[same].astype(np.int64), n[same], names=["at", "n"])
-
-    with small_batches(pairs.sparkSession, 1):
-        for r in map_arrow(pairs, own_pairs, "at long, n long").collect():
-            loops[r["at"]] += r["n"]
-    has_tail = len(classes) > units.size
-    best, best_matrix, values = classes, np.zeros((n_classes + 1, n_classes + 1)), []
+    n = len(head.ids)
+    classes[head.ids[: n_classes - 1]] = np.arange(min(n_classes - 1, n))
+    has_tail = int((classes[:-1] >= 0).sum()) > n
+    best, values = (classes, np.zeros((n_classes + 1, n_classes + 1))), []
     for turn in range(rounds + 1):
-        after, before, matrix = class_contexts(pairs, units, classes, n_classes + 1)
+        after, before, loops, matrix = head_counts(coded, head, classes, n_classes + 1)
         value = likelihood(matrix)
         if not values or value > max(values):
-            best, best_matrix = classes, matrix
+            best = (classes, matrix)
+        settled = turn > 1 and value - max(values) < SETTLED * abs(value)
         values.append(value)
-        if turn == rounds or turn > 4 and max(values) - max(values[:-4]) < SETTLED * abs(value):
+        if turn == rounds or settled:
             break
-        of_head = turn % 2 == 0 or not has_tail
-        half = None if turn < 2 else turn // 2
-        if of_head:
-            movable = order if half is None else order[(np.arange(len(order)) + half) % 2 == 0]
-            moved = exchange(classes[: units.size].astype(np.int64), after, before, loops, movable, matrix)
-            classes = np.concatenate([moved.astype(np.int8), classes[units.size :]])
-        else:
-            classes = move_tail(pairs, units, classes, matrix, n_parts, half)
-    return best, best_matrix
+        movable = np.arange(n) if turn == 0 else np.arange(turn % 2, n, 2)
+        moved, matrix = exchange(classes[head.ids].astype(np.int64), after, before, loops, movable, matrix)
+        classes = classes.copy()
+        classes[head.ids] = moved
+        if has_tail:
+            classes = move_tail(coded, head, classes, matrix, n_shards, None if turn == 0 else turn)
+    return *best, values
 
 
 class ClassModel:
-    """What scoring needs besides the coded texts; ``kinds`` are the distinct words of each class."""
+    """What scoring needs besides the coded texts. ``classes`` holds the class of each id, then that of the end, then those of the shapes from the last to the
+    first, so that -1 - shape finds its own; ``kinds`` are the distinct words of each class."""
 
-    def __init__(self, units: Units, classes: np.ndarray, matrix: np.ndarray, kinds: np.ndarray, n_ends: int, n_tokens: int, n_types: int):
-        self.units, self.classes = units, classes
-        self.n_ends, self.n_tokens, self.n_types = n_ends, n_tokens, n_types
+    def __init__(self, classes: np.ndarray, matrix: np.ndarray, kinds: np.ndarray, n_ends: int, n_tokens: int, n_types: int, values: list[float]):
+        self.classes, self.end = classes, len(classes) - SHAPES - 1
+        self.n_ends, self.n_tokens, self.n_types, self.values = n_ends, n_tokens, n_types, values
         k = len(matrix)
         into = matrix.sum(axis=0)
         share = (into + 1) / (into.sum() + k)
@@ -554,53 +556,64 @@ class ClassModel:
         self.emission_total[k - 1] = np.log10(n_ends + DELTA)
 
 
-def shape_classes(words: DataFrame, classes: np.ndarray, n_classes: int) -> np.ndarray:
+def shape_classes(vocabulary: DataFrame, classes: np.ndarray, n_classes: int, n_shards: int) -> np.ndarray:
     """For each shape the class that most of its words seen once have; for a shape without any, that of most such words."""
-    shared = words.sparkSession.sparkContext.broadcast(classes)
+    shared = vocabulary.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(SHAPE_UNITS * n_classes, np.int64)
+        out = np.zeros(SHAPES * n_classes, np.int64)
         for batch in batches:
-            shape, ids = batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy()
-            out += np.bincount(shape * n_classes + shared.value[ids], minlength=len(out))
+            for i in range(batch.num_rows):
+                n, shape = _array(batch, "counts", i, np.int64), _array(batch, "shapes", i, np.int16).astype(np.int64)
+                once = np.flatnonzero(n == 1)
+                out += np.bincount(shape[once] * n_classes + shared.value[once * n_shards + batch.column("shard")[i].as_py()], minlength=len(out))
         some = np.flatnonzero(out)
-        yield from _pieces(some, out[some], names=["at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(out[some])], ["at", "n"])
 
-    found = map_arrow(words.filter("n = 1").select("shape", "id"), run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SHAPE_UNITS * n_classes)
+    found = map_arrow(vocabulary.select("shard", "counts", "shapes"), run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SHAPES * n_classes)
     out[found.column("at").to_numpy()] = found.column("n").to_numpy()
-    out = out.reshape(SHAPE_UNITS, n_classes)
+    out = out.reshape(SHAPES, n_classes)
     return np.where(out.any(axis=1), out.argmax(axis=1), out.sum(axis=0).argmax()).astype(np.int8)
 
 
-def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame, DataFrame, DataFrame]:
-    """(model of the texts of ``docs`` (doc_id, text, learned) that are learned, vocabulary, rare words with their ids, coded texts of all rows)."""
-    train = docs.filter("learned")
-    words = materialize(vocabulary(train), "vocabulary")
-    n_ends = train.count()
-    total, n_types = words.agg(F.sum("n"), F.count("n")).first()
-    total = int(total or 0)
-    top = words.orderBy(F.desc("n"), "word").limit(WORD_UNITS).toArrow()
-    units = Units(top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy())
-    n_shards = max(LEAST_SHARDS, -(-n_types // SHARD_WORDS), -(-total // SHARD_TOKENS))
-    n_parts = max(LEAST_SHARDS, -(-total // CONTEXT_TOKENS))
-    rare = materialize(numbered(words, units, n_shards), "rare_words")
-    sizes = {r["shard"]: r["n"] for r in rare.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    classes = np.full(units.size + max(sizes.values(), default=0) * n_shards, -1, np.int8)
-    classes[: units.size] = CLASSES - 1
-    for s, n in sizes.items():
-        classes[units.size + s :: n_shards][:n] = CLASSES - 1
-    coded = encode(docs, units, rare, n_shards)
-    classes, matrix = cluster(contexts(coded, units, len(classes), n_parts), units, classes, np.arange(units.n_words), n_parts)
-    words_of = np.concatenate([classes[: units.n_words], classes[units.size :]])
-    kinds = np.asarray([np.count_nonzero(words_of == c) for c in range(len(matrix))])
-    classes[units.n_words : units.end] = shape_classes(rare, classes, len(matrix))
-    return ClassModel(units, classes, matrix, kinds, n_ends, total + n_ends, int(n_types) + (n_ends > 0)), words, rare, coded
-
-
-def train_model(train: DataFrame) -> tuple[ClassModel, DataFrame]:
-    """The model of all rows' texts and the vocabulary table."""
-    return fit(train.select("doc_id", "text", F.lit(True).alias("learned")))[:2]
+def word_rows(vocabulary: DataFrame, n_shards: int, most: int | None = None) -> DataFrame:
+    """word (hash), id and n of the words of a vocabulary table, or of the ``most`` most frequent ones of each shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                word, n = _array(batch, "words", i, np.int64)[:most], _array(batch, "counts", i, np.int64)[:most]
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.arange(len(word)) * n_shards + batch.column("shard")[i].as_py()), pa.array(n)], ["word", "id", "n"])
+
+    return map_arrow(vocabulary.filter("kind = 0").select("shard", "words", "counts"), run, "word long, id long, n long")
+
+
+def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame, DataFrame]:
+    """(model of the texts of ``docs`` (doc_id, text, learned) that are learned, their words with ids and counts, coded texts of all rows)."""
+    n_bytes, n_ends = docs.agg(F.sum(F.octet_length("text")), F.sum(F.col("learned").cast("long"))).first()
+    n_ends = int(n_ends or 0)
+    n_shards = max(LEAST_SHARDS, -(-int(n_bytes or 0) // SHARD_BYTES))
+    sent = send(docs, n_shards)
+    answers = number(sent, n_shards)
+    vocabulary = materialize(answers.filter("kind = 0"), "words")
+    coded = assemble(sent, answers)
+    discard(sent, answers)
+    sizes = [(r["shard"], r["types"]) for r in vocabulary.select("shard", (F.octet_length("counts") / 8).cast("long").alias("types")).collect()]
+    with small_batches(docs.sparkSession, 16):
+        top = word_rows(vocabulary, n_shards, HEAD_WORDS).orderBy(F.desc("n"), "word").limit(HEAD_WORDS).select("id").toArrow()
+    head = Head(top.column("id").to_numpy().astype(np.int64))
+    classes = np.full(max((n for _, n in sizes), default=0) * n_shards + 1, -1, np.int8)
+    for s, n in sizes:
+        classes[:-1][s::n_shards][:n] = CLASSES - 1
+    classes[-1] = CLASSES
+    classes, matrix, values = cluster(coded, head, classes, n_shards)
+    kinds = np.bincount(classes[classes >= 0], minlength=len(matrix))
+    kinds[-1] = 0
+    unknown = shape_classes(vocabulary, classes, len(matrix), n_shards)
+    n_tokens, n_types = int(matrix.sum()), sum(n for _, n in sizes) + (n_ends > 0)
+    model = ClassModel(np.concatenate([classes, unknown[::-1]]), matrix, kinds, n_ends, n_tokens, n_types, values)
+    return model, word_rows(vocabulary, n_shards), coded
 
 
 def score_texts(coded: DataFrame, model: ClassModel) -> DataFrame:
@@ -609,7 +622,7 @@ def score_texts(coded: DataFrame, model: ClassModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch, i, before, after, text in coded_rows(batches, m.units.end):
+        for batch, i, before, after, text in adjoining(batches, m.end):
             docs, nulls = _array(batch, "docs", i, np.int64), _array(batch, "nulls", i, np.uint8)
             n = len(docs)
             a, b = m.classes[before], m.classes[after]
@@ -629,10 +642,14 @@ def class_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
 
     log10 P(text) is the sum over its words and one end of log10 P(class | class before) + log10 P(word | class). P(word | class) =
     (c + 0.1) / (class total + 0.1 (class types + 1)), so unknown words have a share in each class; transitions are smoothed with the
-    classes' shares. Every word of every training text is counted, and the vocabulary never leaves the executors. A null or empty text is one end. Repeated rows
-    are scored each. With no training rows every word is unknown. An empty table gives an empty result.
+    classes' shares. Perplexity of a text is 10 to the power of -score / n_tokens. Every word of every training text is counted and classed, and the vocabulary
+    never leaves the executors but for one byte a word.
+
+    A null or empty text is one end. A null id counts as the empty text for its fold. Repeated rows, of which each is one more text, are scored each; ties between words
+    of one count are ordered by their hash. Of a very long text a task holds its ids. Other columns, whatever their names, are not read.
+    With no training rows every word is unknown. An empty table gives an empty result.
     """
-    model, _, _, coded = fit(docs.select("doc_id", "text", (fold(F.col("doc_id"), folds) != 0).alias("learned")))
+    model, _, coded = fit(docs.select("doc_id", "text", (fold(F.col("doc_id"), folds) != 0).alias("learned")))
     out = score_texts(coded, model)
     return out.select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -35,13 +35,35 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def _run_root(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/maskwell/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder and return a reader of it: lineage ends here, and a
     lost executor costs a re-read instead of a recomputation."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/maskwell/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{_run_root(spark)}/{uuid.uuid4().hex}/{name}"
+    df.write.option("compression", compression).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that no plan reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table._scratch_path.rpartition("/")[0])
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; call it when the results are written."""
+    _delete(spark, _run_root(spark))
 
 
 @contextmanager
