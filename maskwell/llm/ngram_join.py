@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from maskwell.llm.common import materialize
+from maskwell.llm.common import SPACES, discard, materialize
 from maskwell.llm.components import components
 from maskwell.llm.textvec import blocks, find_words, hash_words, mix
 from maskwell.shipping import map_arrow
@@ -62,8 +63,17 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int = N_WORDS) -> tuple[n
     return h[new], owner[new]
 
 
+def fingerprints(h: np.ndarray, some: np.ndarray, first: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two order-free sums over the n-gram hashes of each row; ``some`` are the rows with any, ``first`` where theirs begin."""
+    out = np.zeros((2, n_rows), np.uint64)
+    if len(some):
+        out[0, some] = np.add.reduceat(mix(h), first)
+        out[1, some] = np.add.reduceat(mix(h ^ _U(0x5DEECE66D)), first)
+    return out[0].view(np.int64), out[1].view(np.int64)
+
+
 def signatures(docs: DataFrame, bands: int, rows: int, n: int = N_WORDS, seed: int = 1) -> DataFrame:
-    """doc_id, low and high (a fingerprint of the set of n-grams), n_grams and bands (a hash of each band) of each row."""
+    """doc_id, text_hash, low and high (a fingerprint of the set of n-grams), n_grams and bands (a hash of each band) of each row."""
     rng = np.random.default_rng(seed)
     factors = rng.integers(0, 1 << 63, bands * rows, dtype=np.int64).view(np.uint64) * _U(2) + _U(1)
     terms = rng.integers(0, 1 << 63, bands * rows, dtype=np.int64).view(np.uint64) * _U(2)
@@ -75,10 +85,8 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int = N_WORDS, seed: i
             some = np.flatnonzero(count)
             first = (np.cumsum(count) - count)[some]
             keys = np.zeros((batch.num_rows, bands), np.uint64)
-            low, high = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64)
+            low, high = fingerprints(h, some, first, batch.num_rows)
             if len(some):
-                low[some] = np.add.reduceat(mix(h), first)
-                high[some] = np.add.reduceat(mix(h ^ _U(0x5DEECE66D)), first)
                 for b in range(bands):
                     key = np.full(len(some), b + 1, np.uint64)
                     for k in range(b * rows, (b + 1) * rows):
@@ -86,23 +94,26 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int = N_WORDS, seed: i
                     keys[some, b] = mix(key)
             flat = pa.array(keys.view(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * bands), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array(count.astype(np.int64)), lists], ["doc_id", "low", "high", "n_grams", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low), pa.array(high), pa.array(count.astype(np.int64)), lists], ["doc_id", "text_hash", "low", "high", "n_grams", "bands"])
 
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_arrow(named, run, "doc_id long, low long, high long, n_grams long, bands array<long>")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return map_arrow(named, run, "doc_id long, text_hash long, low long, high long, n_grams long, bands array<long>")
 
 
 def gram_sets(docs: DataFrame, n: int = N_WORDS) -> DataFrame:
-    """rep and grams (the sorted distinct n-gram hashes, as bytes) of each row."""
+    """low, high, n_grams (the fingerprint) and grams (the sorted distinct n-gram hashes, as bytes) of each text with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in blocks(batches):
             h, owner = shingles(data, offsets, n)
-            ends = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            raw = [h[ends[i] : ends[i + 1]].tobytes() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["rep", "grams"])
+            count = np.bincount(owner, minlength=batch.num_rows)
+            some = np.flatnonzero(count)
+            first = (np.cumsum(count) - count)[some]
+            low, high = fingerprints(h, some, first, batch.num_rows)
+            raw = [h[b : b + c].tobytes() for b, c in zip(first, count[some], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(low[some]), pa.array(high[some]), pa.array(count[some].astype(np.int64)), pa.array(raw, pa.binary())], ["low", "high", "n_grams", "grams"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), run, "rep long, grams binary")
+    return map_arrow(docs.select("text"), run, "low long, high long, n_grams long, grams binary")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
@@ -146,10 +157,12 @@ def _new_pairs(bands: np.ndarray, band: int, side: np.ndarray, i: int, j: int) -
 
 
 _PLACE = ("key", "band", "i", "j")
+_FINGERPRINT = ("low", "high", "n_grams")
+_CARRIED = ("doc", *_FINGERPRINT, "bands", "copies")
 
 
 def meetings(reps: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """key, band, i, j, chunk, rep, bands, copies: who meets whom, for buckets with more than one member.
+    """key, band, i, j, chunk, rep, doc, low, high, n_grams, bands, copies: who meets whom, for buckets with more than one member.
 
     A bucket of at most ``chunk`` members is one meeting. A larger one is cut by a hash of the members into chunks, and each
     pair of chunks (i <= j) is a meeting, so no task ever holds more than about two chunks of a bucket and no pair is left out.
@@ -159,13 +172,13 @@ def meetings(reps: DataFrame, chunk: int = CHUNK) -> DataFrame:
     crowded = materialize(crowded.select(F.col("key").alias("_k"), F.col("band").alias("_b"), "m"), "buckets")
     met = members.join(crowded, (F.col("key") == F.col("_k")) & (F.col("band") == F.col("_b"))).drop("_k", "_b")
     # Most documents meet nobody, so their bands stay behind until it is known who does.
-    met = materialize(met, "members").join(reps.select("rep", "bands", "copies"), "rep")
+    met = materialize(met, "members").join(reps.select("rep", *_CARRIED), "rep")
     n = F.ceil(F.col("m") / F.lit(chunk)).cast("int")
     met = met.withColumn("_n", n).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int"))
     alone = met.filter("_n = 1").withColumn("other", F.lit(0))
     spread = met.filter("_n > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     both = alone.unionByName(spread)
-    return both.select("key", "band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "bands", "copies")
+    return both.select("key", "band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", *_CARRIED)
 
 
 def first_meetings(met: DataFrame) -> DataFrame:
@@ -184,7 +197,7 @@ def first_meetings(met: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(keep))
 
     sorted_rows = met.repartition(*_PLACE).sortWithinPartitions(*_PLACE)
-    return map_arrow(sorted_rows, run, "key long, band int, i int, j int, chunk int, rep long, bands array<long>, copies long")
+    return map_arrow(sorted_rows, run, "key long, band int, i int, j int, chunk int, rep long, doc long, low long, high long, n_grams long, bands array<long>, copies long")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -233,6 +246,33 @@ def verified_links(met: DataFrame, threshold: float) -> DataFrame:
     return map_arrow(sorted_rows, run, "rep long, links long, low long")
 
 
+def judged_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N_WORDS) -> DataFrame:
+    """doc_id, text_hash, component (a number of the class; null for rows that link with nothing by themselves), class_id and n_links of each row."""
+    bands, rows = choose_bands(threshold, recall)
+    signed = materialize(signatures(docs, bands, rows, n), "signatures")
+    able = signed.filter("n_grams > 0 AND doc_id IS NOT NULL")
+    sets = able.groupBy(*_FINGERPRINT).agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"), F.min_by("bands", "doc_id").alias("bands"))
+    # A set of n-grams has a number of its own: ids may repeat with different texts.
+    reps = materialize(sets.withColumn("rep", F.monotonically_increasing_id()), "representatives")
+    first = materialize(first_meetings(meetings(reps)), "meetings")
+    texts = only_ids(docs.select("doc_id", "text"), first.select("doc"))
+    grams = gram_sets(texts, n).groupBy(*_FINGERPRINT).agg(F.min("grams").alias("grams"))
+    links = materialize(verified_links(first.join(grams, list(_FINGERPRINT)), threshold), "links")
+    per_rep = links.groupBy("rep").agg(F.sum("links").alias("links"))
+    parts = components(links.select(F.col("rep").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "rep")
+    known = reps.select(*_FINGERPRINT, "rep", "doc", "copies").join(per_rep, "rep", "left").join(parts, "rep", "left")
+    smallest = known.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc").alias("smallest"))
+    known = known.join(smallest, "component", "left")
+    known = known.select(*(F.col(c).alias(f"_{c}") for c in _FINGERPRINT), "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"), F.coalesce("smallest", "doc").alias("smallest"))
+    known = materialize(known, "classes")
+    discard(first, links)
+    same = (F.col("n_grams") > 0) & F.col("doc_id").isNotNull()
+    for c in _FINGERPRINT:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    out = signed.drop("bands").join(known, same, "left")
+    return out.select("doc_id", "text_hash", "component", F.coalesce("smallest", "doc_id").alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"))
+
+
 def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N_WORDS) -> DataFrame:
     """doc_id, class_id, n_links and kept for each row of ``docs`` (doc_id, text).
 
@@ -242,35 +282,18 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
     whether that is the document itself. No bucket is capped; a pair at the threshold is missed with a probability of 1 - ``recall``.
 
     A text without words (null, empty, white space) links with nothing. A row without doc_id takes no part: it keeps a null class, no links and is kept.
-    Repeated rows count as documents and share their verdict. An empty table gives an empty result.
+    A row is known by its text, not by its id: rows that repeat a doc_id are documents of their own, equal ones share their verdict. Whole texts are
+    compared, however long. Ties do not occur: links and classes are sets. Other columns, whatever their names, are not read. An empty table gives an empty result.
     """
-    bands, rows = choose_bands(threshold, recall)
-    signed = materialize(signatures(docs, bands, rows, n), "signatures")
-    able = signed.filter("n_grams > 0 AND doc_id IS NOT NULL")
-    reps = able.groupBy("low", "high", "n_grams").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by("bands", "doc_id").alias("bands"))
-    reps = materialize(reps, "representatives")
-    first = materialize(first_meetings(meetings(reps)), "meetings")
-    texts = only_ids(docs.select("doc_id", "text"), first.select("rep"))
-    # The documents with a doc_id more than once are rare; one text of each stands for it.
-    sets = gram_sets(texts, n).groupBy("rep").agg(F.min("grams").alias("grams")) if _repeats(able) else gram_sets(texts, n)
-    links = materialize(verified_links(first.join(sets, "rep"), threshold), "links")
-    per_rep = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    parts = components(links.select(F.col("rep").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "rep")
-    known = reps.select("low", "high", "n_grams", "rep", "copies").join(per_rep, "rep", "left").join(parts, "rep", "left")
-    known = known.select(F.col("low").alias("_l"), F.col("high").alias("_h"), F.col("n_grams").alias("_n"), "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
-    known = materialize(known, "classes")
-    same = (F.col("low") == F.col("_l")) & (F.col("high") == F.col("_h")) & (F.col("n_grams") == F.col("_n")) & (F.col("n_grams") > 0) & F.col("doc_id").isNotNull()
-    out = signed.drop("bands").join(known, same, "left")
-    class_id = F.coalesce("component", "doc_id")
-    n_links = F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long")
-    return out.select("doc_id", class_id.alias("class_id"), n_links.alias("n_links"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
+    out = judged_documents(docs, threshold, recall, n)
+    return out.select("doc_id", "class_id", "n_links", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
 def only_ids(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id may be in ``ids`` (rep): a filter of ``1 << bits`` bits, so of a fixed size, is broadcast in place of
+    """The rows of ``docs`` whose doc_id may be in ``ids`` (doc): a filter of ``1 << bits`` bits, so of a fixed size, is broadcast in place of
     the ids, and no text is shuffled. It lets some other rows pass, which a join on the id then leaves out."""
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
-    maps = ids.select(at(F.col("rep").cast("long")).alias("h")).groupBy(F.shiftright("h", 15).alias("_part"))
+    maps = ids.select(at(F.col("doc").cast("long")).alias("h")).groupBy(F.shiftright("h", 15).alias("_part"))
     maps = maps.agg(F.bitmap_construct_agg(F.col("h").bitwiseAND(F.lit(32767))).alias("_bits"))
     h = at(F.col("doc_id").cast("long"))
     place = h.bitwiseAND(F.lit(32767))
@@ -280,23 +303,22 @@ def only_ids(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFr
     return marked.withColumn("_byte", byte).filter(hit).select(*docs.columns)
 
 
-def _repeats(able: DataFrame) -> bool:
-    rows, ids = able.agg(F.count("doc_id"), F.sum(F.lit(0))).first()[0], able.select("doc_id").distinct().count()
-    return rows != ids
-
-
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each class of :func:`similar_documents`, with all columns; rows without an id all stay.
+    """One row of ``docs`` for each class of :func:`similar_documents`, with all columns; rows without an id and texts without words all stay.
 
-    Of rows that repeat a doc_id, the first by text hash stays.
+    Of a class the row with the smallest doc_id stays, of several with it the one with the smallest text hash, and of rows that repeat both the one whose other
+    columns have the smallest hash: reruns agree.
     """
-    judged = materialize(similar_documents(docs), "join_verdicts")
-    counted = judged.filter("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__mw_id")).agg(F.count(F.lit(1)).alias("__mw_rows"))
-    stay = docs.join(counted, F.col("doc_id") == F.col("__mw_id"))
-    names = docs.columns
-    single = stay.filter("__mw_rows = 1").select(*names)
-    repeated = stay.filter("__mw_rows > 1").select(*names).dropDuplicates(["doc_id"])
-    return single.unionByName(repeated).unionByName(docs.filter("doc_id IS NULL"))
+    judged = materialize(judged_documents(docs), "join_verdicts")
+    first = judged.filter("component IS NOT NULL AND doc_id = class_id").groupBy("component").agg(F.min_by(F.struct("doc_id", "text_hash"), "text_hash").alias("k"), F.count(F.lit(1)).alias("__mw_rows"))
+    first = first.select(F.col("k.doc_id").alias("__mw_id"), F.col("k.text_hash").alias("__mw_hash"), "__mw_rows")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    stay = docs.join(first, (F.col("doc_id") == F.col("__mw_id")) & (F.xxhash64("text") == F.col("__mw_hash")))
+    repeated = stay.filter("__mw_rows > 1").withColumn("__mw_order", F.xxhash64(F.to_json(F.struct(*names))))
+    one = Window.partitionBy("__mw_id", "__mw_hash").orderBy("__mw_order")
+    repeated = repeated.withColumn("__mw_at", F.row_number().over(one)).filter("__mw_at = 1")
+    apart = docs.filter(F.col("doc_id").isNull() | (F.btrim(F.coalesce(F.col("text"), F.lit("")), F.lit(SPACES)) == ""))
+    return stay.filter("__mw_rows = 1").select(*names).unionByName(repeated.select(*names)).unionByName(apart)
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
