@@ -6,27 +6,26 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwell.llm.common import materialize
+from maskwell.llm.common import discard, materialize
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of ``edges`` (a, b: long), component being the smallest node reachable.
 
     Alternating large-star and small-star rounds: each round hangs neighbours on the smallest node around, by
-    aggregations (summed before the shuffle) and equi-joins. Each round's edges are written to the shared folder;
-    the number of rounds grows with the logarithm of the longest path. Loops and repeated edges are allowed.
+    aggregations (summed before the shuffle) and equi-joins. Each round's edges are written to the shared folder, and those
+    before them deleted; rounds go on until nothing changes, which takes about the logarithm of the longest path. Loops and repeated edges are allowed.
     """
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = materialize(now, "edges")
     seen = _state(now)
-    for _ in range(most_rounds):
-        now = materialize(_small_star(_large_star(now)), "edges")
+    while True:
+        last, now = now, materialize(_small_star(_large_star(now)), "edges")
+        discard(last)
         state = _state(now)
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     leaves = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return leaves.unionByName(roots)
@@ -53,7 +52,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def lowest_linked(hit: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """For each row and column of a link matrix the smallest id in its connected component."""
+    """For each row and column of a link matrix the smallest label in its connected component."""
     low_l, low_r = left.copy(), (left if same else right).copy()
     top = np.iinfo(np.int64).max
     rows, columns = np.nonzero(hit)
@@ -69,3 +68,30 @@ def lowest_linked(hit: np.ndarray, left: np.ndarray, right: np.ndarray, same: bo
             low_l = low_r = np.minimum(low_l, low_r)
         if (low_l == before[0]).all() and (low_r == before[1]).all():
             return low_l, low_r
+
+
+class Merging:
+    """Labels 0 to n-1 that become equal bit by bit."""
+
+    def __init__(self, n: int):
+        self.label, self.parent = np.arange(n), list(range(n))
+
+    def _root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = x = self.parent[self.parent[x]]
+        return x
+
+    def link(self, hit: np.ndarray, rows: slice, columns: slice) -> None:
+        """Rows and columns of a link matrix that are connected get one label."""
+        same = rows == columns
+        old = self.label[rows], self.label[columns]
+        new = lowest_linked(hit, *old, same)
+        for part, was, now in zip((rows, columns), old, new, strict=True):
+            changed = was != now
+            for pair in np.unique(np.stack([was[changed], now[changed]]), axis=1).T.tolist():
+                x, y = sorted(map(self._root, pair))
+                self.parent[y] = x
+            self.label[part] = now
+
+    def roots(self) -> np.ndarray:
+        return np.asarray([self._root(x) for x in range(len(self.parent))], np.int64)[self.label]

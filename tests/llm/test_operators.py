@@ -413,6 +413,19 @@ def test_join_matches_brute_force(spark, monkeypatch):
         assert all(r["kept"] == (r["doc_id"] == r["class_id"]) or r["doc_id"] is None for r in out)
 
 
+def test_rows_with_one_id_are_documents_of_their_own(spark):
+    import random
+
+    rng = random.Random(21)
+    a, b = (sentence(rng, lang, 90) for lang in ("aa", "bb"))
+    docs = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (1, b), (4, None), (4, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("doc", F.lit(1)).withColumn("rep", F.lit("r"))
+    out = Counter((r["doc_id"], r["n_links"], r["class_id"]) for r in rows_of(ngram_join.similar_documents(df)))
+    assert out == Counter(_brute_join(docs)) and out[(1, 1, 1)] == 1 and out[(3, 2, 1)] == 1
+    kept = sorted((r["doc_id"], r["text"] or "") for r in rows_of(ngram_join.filter_documents(df)))
+    assert kept == sorted([(1, a), (1, b), (4, ""), (4, "")])
+
+
 def test_join_filter_keeps_one_of_each_class(spark):
     docs = table(spark)
     kept = ngram_join.filter_documents(docs)
@@ -425,7 +438,7 @@ def test_join_filter_keeps_one_of_each_class(spark):
 
 def test_id_filter_passes_all_wanted_and_few_others(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
-    ids = spark.createDataFrame([(i,) for i in range(0, 20_000, 100)], "rep long")
+    ids = spark.createDataFrame([(i,) for i in range(0, 20_000, 100)], "doc long")
     out = {r["doc_id"] for r in rows_of(ngram_join.only_ids(docs, ids))}
     assert out >= set(range(0, 20_000, 100)) and len(out) <= 205
     assert ngram_join.only_ids(docs, ids.limit(0)).count() == 0
@@ -504,15 +517,53 @@ def test_vector_links_match_brute_force(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").limit(0)).count() == 0
 
 
+def test_vectors_are_known_by_themselves(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (2, [1.0, 0.01, 0.0], 0), (3, [0.01, 1.0, 0.0], 0), (None, [1.0, 0.0, 0.01], 0), (None, [1.0, 0.0, 0.01], 0), (-5, [0.0, 0.0, 1.0], 0)]
+    for element in ("float", "double"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{element}>, label int").withColumn("point", F.lit("x")).withColumn("ok", F.lit(1))
+        out = sorted(tuple(r.values()) for r in rows_of(embedding_dedup.near_duplicates(df)) if r["vec_id"] is not None)
+        assert out == [(-5, 0, -5, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+        assert [tuple(r.values()) for r in rows_of(embedding_dedup.near_duplicates(df)) if r["vec_id"] is None] == [(None, 0, None, True)] * 2
+
+
 def test_skipped_blocks_hold_no_pair():
     rng = np.random.default_rng(7)
     points = rng.normal(size=(200, 3))
     points = points[np.lexsort(points.T[::-1])]
-    low, high = (np.stack([f(points[i : i + 8], axis=0) for i in range(0, 200, 8)]) for f in (np.min, np.max))
-    found: list = []
-    embedding_dedup.near_pairs(low, high, (0, 25), (0, 25), 0.3, found)
-    near = {(min(i, j) // 8, max(i, j) // 8) for i in range(200) for j in range(200) if np.linalg.norm(points[i] - points[j]) <= 0.3}
-    assert near <= set(found) and len(found) == len(set(found)) < 325
+    boxes = tuple(np.stack([f(points[i : i + 8], axis=0) for i in range(0, 200, 8)]) for f in (np.min, np.max))
+    near = {(i // 8, j // 8) for i in range(200) for j in range(200) if np.linalg.norm(points[i] - points[j]) <= 0.3}
+    found = list(embedding_dedup.near_pairs(boxes, boxes, True, 0.3))
+    assert {(min(p), max(p)) for p in near} <= set(found) and len(found) == len(set(found)) < 325
+    half = tuple(x[:10] for x in boxes), tuple(x[10:] for x in boxes)
+    assert {(i, j - 10) for i, j in near if i < 10 <= j} <= set(embedding_dedup.near_pairs(*half, False, 0.3))
+
+
+@pytest.mark.parametrize("top", [64, 2])
+def test_interval_pairs_are_found_at_every_level(spark, top):
+    rng = np.random.default_rng(12)
+    low = np.sort(rng.random((60, 2)), axis=0)
+    boxes = [(i, "s" if i % 3 else "t", *map(float, low[i]), *map(float, low[i] + 0.02)) for i in range(60)]
+    table_of = spark.createDataFrame(boxes, "interval long, stratum string, lo0 double, lo1 double, hi0 double, hi1 double")
+    found = {(r["left"], r["right"]) for r in rows_of(embedding_dedup.interval_pairs(table_of, 0.1, 2, 4, top))}
+    want = set()
+    for i in range(60):
+        for j in range(i + 1, 60):
+            gap = np.maximum(0, np.maximum(low[i] - low[j] - 0.02, low[j] - low[i] - 0.02))
+            if boxes[i][1] == boxes[j][1] and (gap * gap).sum() <= 0.01:
+                want.add((i, j))
+    assert found == want and want
+
+
+def test_labels_merge_across_blocks():
+    rng = np.random.default_rng(13)
+    hit = np.triu(rng.random((40, 40)) < 0.03, 1)
+    merging = components.Merging(40)
+    for i in range(0, 40, 10):
+        for j in range(i, 40, 10):
+            merging.link(hit[i : i + 10, j : j + 10], slice(i, i + 10), slice(j, j + 10))
+    roots, both = merging.roots(), hit | hit.T
+    reach = np.linalg.matrix_power((both | np.eye(40, dtype=bool)).astype(float), 40) > 0
+    assert ((roots[:, None] == roots[None, :]) == reach).all()
 
 
 PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var t="</p>";</script></head><body class="x"><header><h1>Site</h1></header>
@@ -542,6 +593,99 @@ def test_selected_text_outside_the_article_is_kept():
     assert out[0] == lead and len(out) == 43 and out[-2] == "A link"
 
 
+def _page(rng, names):
+    """(html, article) of a made-up page; names: for the parts, so that what they are called can be nothing but noise."""
+    text = lambda n: " ".join(sentence(rng, "bb", rng.randint(5, 9)).capitalize() + "." for _ in range(n))
+    paragraphs = [text(rng.randint(2, 6)) for _ in range(rng.randint(3, 8))]
+    items = [text(1) for _ in range(rng.randint(0, 3))]
+    head = sentence(rng, "bb", 5)
+    ad, comments = text(1), [text(1) for _ in range(rng.randint(1, 4))]
+    inner = f"<h1>{head}</h1><p>{paragraphs[0]}</p><div class='{names[0]}'>{ad}</div>" + "".join(f"<p>{p}</p>" for p in paragraphs[1:])
+    inner += ("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>") * bool(items)
+    inner += f"<div class='{names[1]}'>" + "".join(f"<div class='{names[2]}'><b>user</b><p>{c}</p></div>" for c in comments) + "</div>"
+    menu = "".join(f"<li><a href='#'>{sentence(rng, 'aa', 1)}</a></li>" for _ in range(5))
+    page = f"<html><head><title>x</title></head><body><div class='{names[3]}'><ul>{menu}</ul></div><div class='{names[4]}'>{inner}</div><div class='{names[5]}'>{text(1)}</div></body></html>"
+    return page, "\n".join([head, *paragraphs, *items])
+
+
+def _brute_extract(page):
+    """The same paths from another parser, with all pairs of paths compared step by step."""
+    from html.parser import HTMLParser
+
+    class Parser(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.at, self.text, self.found = [], "", []
+
+        def block(self):
+            if self.text.split():
+                inner = [k for k, x in enumerate(self.at) if x[0] in html_extract.BLOCK][-1] + 1
+                links = len(self.text) if any(x[0] == "a" for x in self.at) else 0
+                self.found.append((tuple(self.at[:inner]), " ".join(self.text.split()), links, any(x[0] in html_extract.NEVER for x in self.at)))
+            self.text = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html_extract.BLOCK:
+                self.block()
+            self.at.append((tag, dict(attrs).get("class", "")))
+
+        def handle_endtag(self, tag):
+            if tag in html_extract.BLOCK or tag == "a":
+                self.block()
+            self.at.pop()
+
+        def handle_data(self, data):
+            self.text += data
+
+    parser = Parser()
+    parser.feed(page)
+    found = [x for x in parser.found if not x[3]]
+    length = lambda step: 0.25 if step[1] in ("post", "entry") else (2.0 if step[1] or step[0] in ("html", "body") else 0.75) if step[0] in ("div", "html", "body") else 0.25
+    against = lambda path: any(html_extract.NAMED.search(c) for _, c in path)
+
+    def distance(p, q):
+        common = 0
+        while common < min(len(p), len(q)) and p[common] == q[common]:
+            common += 1
+        return sum(map(length, p[common:])) + sum(map(length, q[common:]))
+
+    paths = {p for p, *_ in found}
+    own = {p: [x for x in found if x[0] == p] for p in paths}
+    chars = {p: sum(len(t) for _, t, *_ in own[p]) for p in paths}
+    links = {p: sum(k for _, _, k, _ in own[p]) / chars[p] for p in paths}
+    marks = {p: sum(c in ".,;:!?" for _, t, *_ in own[p] for c in t) / len(own[p]) for p in paths}
+    ratio = {p: chars[p] / len(own[p]) * (1 + marks[p]) * (1 - links[p]) * (0.1 if against(p) else 1) for p in paths}
+    mass = {p: chars[p] * (0.1 if against(p) else 1) for p in paths}
+    score = {}
+    for p in paths:
+        share = min(1, sum(mass[q] * math.exp(-distance(p, q)) for q in paths) / sum(mass.values()))
+        score[p] = max(ratio[q] * math.exp(-distance(p, q)) for q in paths) * math.sqrt(share) * (0.1 if against(p) else 1) * (1 - links[p] if links[p] > 0.5 else 1)
+    limit = min(0.5 * float(np.std(list(score.values()))), max(score.values()))
+    return "\n".join(t for p, t, *_ in found if score[p] >= limit)
+
+
+@pytest.mark.parametrize("names", [("q1", "q2", "q3", "q4", "q5", "q6"), ("ad", "comments", "comment", "nav", "post", "footer"), ("", "q2", "q3", "", "", "")])
+def test_tag_paths_match_brute_force(names):
+    import random
+
+    rng = random.Random(31)
+    pages = [_page(rng, names) for _ in range(60)]
+    out = [html_extract.extract(page) for page, _ in pages]
+    assert out == [_brute_extract(page) for page, _ in pages]
+    if names[0]:
+        # Whatever the parts are called, advert, comments, menu and footer go and the article stays.
+        assert sum(o == want for o, (_, want) in zip(out, pages, strict=True)) >= 57
+
+
+def test_deep_pages_take_little_time():
+    import time
+
+    for tag, end in (("div", "</div>"), ("b", "</u>"), ("ul><li", "</li>")):
+        began = time.process_time()
+        html_extract.extract(f"<{tag}>" * 20_000 + end * 10_000 + "deep, text" + "<p>x</p>" * 1000)
+        assert time.process_time() - began < 2
+
+
 def test_pages_keep_their_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (2, None, None, ""), (None, "v", "<p>Hi.</p>" * 3, "")], "page_id long, url string, html string, text string")
     out = rows_of(html_extract.extract_pages(pages))
