@@ -18,14 +18,13 @@ BUCKETS = 1 << 14
 #: The target model is fitted on about so many labelled rows at most, those with the smallest hashes.
 TARGET_ROWS = 20_000
 SEED = 11
-#: Added once to a log weight, in the expected number of target-like rows, for the spread of the noise.
-ONCE = 3.0
-
-
-def allowance(n_target: int, share: float = 0.1) -> float:
-    """Added to a log weight for each n-gram: one and a half times the relative sampling error that the target has in a topic or language with
-    this share of it, because all n-grams of a text repeat that error."""
-    return 1.5 / math.sqrt(max(1.0, share * n_target))
+#: Correlation of the n-grams of one text. A text repeats its own words, topic and language, so n of its n-grams tell as much as n / (1 + CORRELATION (n - 1))
+#: independent ones, and so many times the mean log ratio is its log weight. 0 gives the plain sum, in which what chance did to the model's
+#: counts outweighs all else in long texts.
+CORRELATION = 0.01
+#: One of so many target rows is held out of the fit to calibrate the cut, which lies so many standard deviations below their mean, or
+#: at the smallest of them if that is lower. With fewer held-out rows than LEAST_HELD all target rows calibrate.
+HELD_OUT, DEVIATIONS, LEAST_HELD = 5, 4.0, 8
 
 
 def buckets_of(data: np.ndarray, offsets: np.ndarray, n: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -65,9 +64,9 @@ def log_ratios(counts: list, n: int = BUCKETS) -> np.ndarray:
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def score(docs: DataFrame, ratios: np.ndarray, extra: float, seed: int = SEED) -> DataFrame:
-    """doc_id, text_hash, n_ngrams, log_weight (sum over the text's n-grams) and gumbel_key (that with the allowance and
-    Gumbel noise) of each row."""
+def score(docs: DataFrame, ratios: np.ndarray, seed: int = SEED, correlation: float = CORRELATION) -> DataFrame:
+    """doc_id, text_hash, role, n_ngrams, log_weight (the mean log ratio times the number of independent n-grams) and gumbel_key (that with
+    Gumbel noise) of each row of ``docs`` (doc_id, text, role)."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,13 +74,13 @@ def score(docs: DataFrame, ratios: np.ndarray, extra: float, seed: int = SEED) -
         for rows, data, offsets in blocks(batches):
             bucket, row = buckets_of(data, offsets, len(table))
             n = np.bincount(row, minlength=rows.num_rows)
-            weight = np.bincount(row, table[bucket], minlength=rows.num_rows)
+            weight = np.bincount(row, table[bucket], minlength=rows.num_rows) / (1 + correlation * np.maximum(n - 1, 0))
             ids = rows.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             u = unit_interval(hash_keys(ids, seed))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(n.astype(np.int64)), pa.array(weight), pa.array(weight + extra * n - np.log(-np.log(u)))], ["doc_id", "text_hash", "n_ngrams", "log_weight", "gumbel_key"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(n.astype(np.int64)), pa.array(weight), pa.array(weight - np.log(-np.log(u)))], ["doc_id", "text_hash", "role", "n_ngrams", "log_weight", "gumbel_key"])
 
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return map_arrow(named, run, "doc_id long, text_hash long, n_ngrams long, log_weight double, gumbel_key double")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "role", "text")
+    return map_arrow(named, run, "doc_id long, text_hash long, role int, n_ngrams long, log_weight double, gumbel_key double")
 
 
 def kth_largest(values: DataFrame, column: str, k: int) -> float:
@@ -110,32 +109,35 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float:
     return lo
 
 
-def resample(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS, buckets: int = BUCKETS, k: int | None = None, seed: int = SEED) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS, buckets: int = BUCKETS, k: int | None = None, seed: int = SEED, correlation: float = CORRELATION) -> DataFrame:
     """Score every row of ``docs`` (doc_id, text) and mark the ``k`` with the largest weight plus Gumbel noise as kept.
 
-    The target are the rows whose label has quality 1 (a bounded sample of their ids is fitted on); the raw
-    model is that of all rows. By default k is the expected number of target-like rows, the sum over all rows of
-    min(1, share of good labels x weight), weights with their allowance, so the number kept follows the corpus. Noise is drawn from a hash of doc_id: reruns agree.
+    The target are the rows whose label has quality 1 (a bounded sample of their ids); most of them are fitted on, the others are held out. The raw
+    model is that of all rows. By default k is the number of rows whose log weight reaches the cut that the held-out target rows set, so the number kept follows
+    the corpus, and its share does not depend on how many labels there are. Noise is drawn from a hash of doc_id: reruns agree.
 
-    A null or empty text has weight 1 (log 0). Rows that tie with the k-th are all kept. Without labels nothing can be told
-    apart and all rows are kept. Rows with the same id and text share their verdict.
+    A null or empty text has weight 1 (log 0). Rows that tie with the k-th are all kept. Without good labels nothing can be told
+    apart and all rows are kept. Rows with the same id and text share their verdict; a null id is an id. Texts are read whole, however long. Other columns of
+    ``docs`` and ``labels`` are not read. An empty table gives an empty result.
     """
     good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_label_id")).distinct()
     first = good.orderBy(F.xxhash64("_label_id", F.lit(seed)), "_label_id").limit(target_rows)
-    n_good, n_all = labels.agg(F.sum((F.col("quality") == 1).cast("long")), F.count("quality")).first()
-    share = (n_good or 0) / n_all if n_all else 0.0
+    held = F.pmod(F.xxhash64("_label_id", F.lit(seed + 1)), F.lit(HELD_OUT)) == 0
+    # Role 0: neither, 1: fitted on, 2: held out.
     marked = docs.select("doc_id", "text").join(F.broadcast(first), F.col("doc_id") == F.col("_label_id"), "left")
-    counts = count_ngrams(marked.select("text", F.col("_label_id").isNotNull().alias("is_target")), buckets).collect()
-    extra = allowance(min(target_rows, good.count()))
-    scores = materialize(score(docs, log_ratios(counts, buckets), extra, seed), "importance")
+    marked = marked.select("doc_id", "text", F.when(F.col("_label_id").isNull(), 0).when(held, 2).otherwise(1).alias("role"))
+    counts = count_ngrams(marked.select("text", (F.col("role") == 1).alias("is_target")), buckets).collect()
+    scores = materialize(score(marked, log_ratios(counts, buckets), seed, correlation), "importance")
     if k is None:
-        if not share:
-            return scores.withColumn("kept", F.lit(True))
-        likely = F.col("log_weight") + F.col("n_ngrams") * F.lit(extra) + F.lit(ONCE)
-        expected = scores.agg(F.sum(F.least(F.lit(1.0), F.lit(share) * F.exp(F.least(likely, F.lit(50.0)))))).first()[0]
-        k = math.ceil(expected or 0)
+        target = scores.filter("role > 0 AND n_ngrams > 0").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.min("log_weight").alias("low"), F.avg("log_weight").alias("mean"), F.stddev_pop("log_weight").alias("sd"))
+        found = {r["role"]: r for r in target.collect()}
+        if not found:
+            return scores.withColumn("kept", F.lit(True)).drop("role")
+        use = [found[2]] if 2 in found and found[2]["n"] >= LEAST_HELD else found.values()
+        limit = min(min(r["low"], r["mean"] - DEVIATIONS * r["sd"]) for r in use)
+        k = scores.filter(F.col("log_weight") >= F.lit(limit)).count()
     limit = kth_largest(scores, "gumbel_key", k)
-    return scores.withColumn("kept", F.col("gumbel_key") >= F.lit(limit))
+    return scores.withColumn("kept", F.col("gumbel_key") >= F.lit(limit)).drop("role")
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
