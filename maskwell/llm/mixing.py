@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from maskwell.llm.common import materialize, n_words, ranked
 from maskwell.llm.textvec import blocks, find_words, hash_keys
@@ -17,11 +18,10 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2
 BLOCK_WORDS = 64
-#: The draws are made on the driver for at most so many shards, and for a table of sources that has to fit
-#: there as well: one row per source.
-MOST_SHARDS = 16384
+#: Blocks of a shard, on average.
 SHARD_BLOCKS = 4096
-MOST_SOURCES = 100_000
+#: Slots of a source that one task draws for and deals at a time.
+DRAW_SLOTS, DEAL_SLOTS = 1 << 22, 1 << 18
 
 
 def targets(sizes: list[int], weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> list[float]:
@@ -44,24 +44,90 @@ def targets(sizes: list[int], weights=WEIGHTS, share: float = SHARE, cap: int =
     return out.tolist()
 
 
-def draw_shards(slots: list[int], shard_blocks: int, seed: int = 7) -> list[tuple[int, int, int, int]]:
-    """(shard, source, first slot, slots): how many blocks of each source a shard gets.
+def source_table(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """source, source_index (by code point, null last), source_size and target of each source of ``sizes`` (source, size), as :func:`targets` gives them.
 
-    A shard's counts are one multinomial draw with the sources' outstanding slots as weights. A draw beyond what a
-    source has outstanding is drawn again among the others, so that all sources end at their slots exactly.
+    Sources are numbered by a sort over all tasks and their targets found from sums over them: as many as there are, none of them is on the driver. The
+    level of the free sources only rises, and each round settles all that it puts over their cap.
     """
-    rng = np.random.default_rng(seed)
-    need = np.asarray(slots, np.int64)
-    done = np.zeros_like(need)
-    out, shard = [], 0
-    while (total := int(need.sum())) > 0:
-        n, got = min(shard_blocks, total), np.zeros_like(need)
-        while (rest := n - int(got.sum())) > 0:
-            left = need - got
-            got = np.minimum(got + rng.multinomial(rest, left / left.sum()), need)
-        out += [(shard, int(s), int(done[s]), int(got[s])) for s in np.flatnonzero(got)]
-        need, done, shard = need - got, done + got, shard + 1
-    return out
+    spark = sizes.sparkSession
+    n_parts = max(1, spark.sparkContext.defaultParallelism)
+    ordered = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("_null", F.col("source").isNull())
+    ordered = ordered.repartitionByRange(n_parts, "_null", "source").withColumn("_part", F.spark_partition_id())
+    ordered = materialize(ordered, "sources")
+    counts = {r["_part"]: r["n"] for r in ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, begins = 0, []
+    for part in sorted(counts):
+        begins.append((part, before))
+        before += counts[part]
+    begin = F.broadcast(spark.createDataFrame(begins, "_p int, _begin long"))
+    inside = Window.partitionBy("_part").orderBy("_null", "source")
+    numbered = ordered.join(begin, F.col("_part") == F.col("_p")).withColumn("source_index", F.col("_begin") + F.row_number().over(inside) - 1)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("source_index") % len(weights) + 1).cast("int"))
+    numbered = materialize(numbered.select("source", "source_index", "source_size", weight.alias("_weight"), (F.col("source_size") * F.lit(float(cap))).alias("_limit")), "source_weights")
+    total = float(numbered.agg(F.sum("source_size")).first()[0] or 0)
+    level = 0.0
+    while True:
+        over = F.col("_weight") * F.lit(level) > F.col("_limit")
+        full, free = numbered.agg(F.sum(F.when(over, F.col("_limit"))), F.sum(F.when(~over, F.col("_weight")))).first()
+        if free is None:
+            break
+        new = (share * total - (full or 0.0)) / free
+        if new <= level * (1 + 1e-15):
+            break
+        level = new
+    target = F.least(F.col("_limit"), F.col("_weight") * F.lit(level))
+    return materialize(numbered.select("source", "source_index", "source_size", target.alias("target")), "source_targets")
+
+
+def split_draw(n: int, first: int, end: int, key: int, seed: int) -> Iterator[tuple[int, int]]:
+    """(shard, slots) of a multinomial draw of ``n`` slots over the shards first to end - 1, all alike, those with slots only. The draw is made by halves: each
+    half's slots are binomial, with a generator of the key and the half, so any part of the draw can be made anywhere."""
+    stack = [(first, end, n)]
+    while stack:
+        a, b, k = stack.pop()
+        if not k:
+            continue
+        if b - a == 1:
+            yield a, k
+            continue
+        m = (a + b) // 2
+        left = int(np.random.default_rng([seed, key, a, b]).binomial(k, (m - a) / (b - a)))
+        stack += [(m, b, k - left), (a, m, left)]
+
+
+def draw_shards(sources: DataFrame, n_shards: int, seed: int) -> DataFrame:
+    """source_index, blocks, shard, first, n: how many slots of each source (source_index, blocks, slots) every shard gets, and the number of the first.
+
+    A source's slots are one multinomial draw over the shards, so a shard's counts by source are draws with the sources' slots as weights, and
+    every source ends at its slots exactly. A source with many slots is drawn by several tasks, each for a range of shards.
+    """
+    pieces = F.least(F.lit(n_shards), F.greatest(F.lit(1), F.ceil(F.col("slots") / DRAW_SLOTS))).cast("int")
+    parts = sources.withColumn("parts", pieces).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                # The slots of the ranges before come from the same draw, made over whole ranges.
+                ranges = [n_shards * i // r["parts"] for i in range(r["parts"] + 1)]
+                rng = np.random.default_rng([seed, r["source_index"]])
+                share = rng.multinomial(r["slots"], np.diff(ranges) / n_shards)
+                begin, out = int(share[: r["part"]].sum()), []
+                for shard, n in split_draw(int(share[r["part"]]), ranges[r["part"]], ranges[r["part"] + 1], r["source_index"], seed):
+                    for at in range(0, n, DEAL_SLOTS):
+                        out.append((r["source_index"], r["blocks"], shard, begin + at, min(DEAL_SLOTS, n - at)))
+                    begin += n
+                    if len(out) >= 10_000:
+                        yield _rows(out)
+                        out = []
+                if out:
+                    yield _rows(out)
+
+    def _rows(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["source_index", "blocks", "shard", "first", "n"])
+
+    spread = parts.select("source_index", "blocks", "slots", "parts", "part").repartition("source_index", "part")
+    return map_arrow(spread, run, "source_index long, blocks long, shard long, first long, n long")
 
 
 def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -95,46 +161,39 @@ def plan_mix(docs: DataFrame, seed: int = 7, weights=WEIGHTS, share: float = SHA
     block ``w // block_words``.
     slots: one row for each block that the mix takes: source_index, block, copy (0 or 1), shard.
 
-    A null text has size 0 and a null source is a source, the last one. Repeated rows are laid out as often as
-    they occur. The places in a source come from :func:`ranked`, so a hot source is spread over all tasks.
+    A null text has size 0 and a null source is a source, the last one. Repeated rows are laid out as often as they occur; rows that tie in the seeded
+    shuffle are ordered by id and text. A very long text is cut into blocks like any other. Other columns, whatever their names, are not read. An empty table
+    has no rows and no slots. The places in a source come from :func:`ranked`, so a hot source is spread over all tasks.
     """
-    spark = docs.sparkSession
     base = _describe(docs)
     base = base.withColumn("_hash", F.md5(F.concat_ws("|", F.lit(f"mix{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.col("text_hash").cast("string"))))
     base = materialize(base, "mix_sizes")
-    found = base.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources; a mixture needs sources that fit on the driver")
-    found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [int(r["size"] or 0) for r in found]
-    target = targets(sizes, weights, share, cap)
-    n_blocks = [-(-s // block_words) for s in sizes]
-    slots = [min(cap * b, round(t * b / s)) if s else 0 for s, t, b in zip(sizes, target, n_blocks, strict=True)]
-    table = spark.createDataFrame([(r["source"], i, sizes[i], target[i]) for i, r in enumerate(found)], "_source string, source_index int, source_size long, target double")
-    placed = ranked(base, "source", "_hash", ["doc_id", "text_hash"], sum(r["n"] for r in found), "size")
-    rows = placed.join(table, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_hash", "rank", "group_rows", "group_size")
+    sources = source_table(base.select("source", "size"), weights, share, cap)
+    placed = ranked(base, "source", "_hash", ["doc_id", "text_hash"], base.count(), "size")
+    own = sources.select(F.col("source").alias("_source"), "source_index", "source_size", "target")
+    rows = placed.join(own, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_hash", "rank", "group_rows", "group_size")
     rows = materialize(rows, "mix_rows")
 
-    shard_blocks = max(SHARD_BLOCKS, -(-sum(slots) // MOST_SHARDS))
-    drawn = draw_shards(slots, shard_blocks, seed)
-    runs = spark.createDataFrame([(i, *r, n_blocks[r[1]]) for i, r in enumerate(drawn)], "run long, shard int, source_index int, first long, n long, blocks long")
+    blocks_of = F.ceil(F.col("source_size") / block_words).cast("long")
+    wanted = sources.filter("source_size > 0").select("source_index", blocks_of.alias("blocks"), "source_size", "target")
+    exact = F.col("target") * F.col("blocks") / F.col("source_size")
+    wanted = wanted.select("source_index", "blocks", F.least(F.col("blocks") * cap, F.bround(exact).cast("long")).alias("slots"))
+    n_slots = wanted.agg(F.sum("slots")).first()[0] or 0
+    runs = draw_shards(wanted, max(1, -(-n_slots // SHARD_BLOCKS)), seed)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                for begin in range(0, r["n"], 1 << 18):
-                    at = np.arange(r["first"] + begin, r["first"] + min(r["n"], begin + (1 << 18)))
-                    copy, index = at // r["blocks"], at % r["blocks"]
-                    key = hash_keys(copy + r["source_index"] * 1024, seed).view(np.int64) >> np.int64(9)
-                    block = permute(index, np.full(len(at), r["blocks"], np.int64), key)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), r["source_index"], np.int32)), pa.array(block), pa.array(copy.astype(np.int32)), pa.array(np.full(len(at), r["shard"], np.int32))],
-                        ["source_index", "block", "copy", "shard"],
-                    )
+                at = np.arange(r["first"], r["first"] + r["n"])
+                copy, index = at // r["blocks"], at % r["blocks"]
+                key = hash_keys(copy + r["source_index"] * 1024, seed).view(np.int64) >> np.int64(9)
+                block = permute(index, np.full(len(at), r["blocks"], np.int64), key)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), r["source_index"], np.int64)), pa.array(block), pa.array(copy.astype(np.int32)), pa.array(np.full(len(at), r["shard"], np.int64))],
+                    ["source_index", "block", "copy", "shard"],
+                )
 
-    n_tasks = max(1, min(len(drawn), 8 * spark.sparkContext.defaultParallelism))
-    dealt = map_arrow(runs.repartition(n_tasks, "run"), deal, "source_index int, block long, copy int, shard int")
-    return rows, dealt
+    return rows, map_arrow(runs.repartition("source_index", "shard"), deal, "source_index long, block long, copy int, shard long")
 
 
 def block_pieces(rows: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -146,9 +205,9 @@ def block_pieces(rows: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return out.withColumn("word", first).withColumn("n", last - first)
 
 
-def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
-    rows, slots = plan_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def taken_words(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target and taken, the words that the mix takes of each row of ``docs``; see :func:`plan_mix`."""
+    rows, slots = plan_mix(docs)
     times = slots.groupBy("source_index", "block").agg(F.count(F.lit(1)).alias("times"))
     pieces = block_pieces(rows).select("source_index", "begin", "block", "n")
     taken = pieces.join(times, ["source_index", "block"]).groupBy("source_index", "begin").agg(F.sum(F.col("n") * F.col("times")).alias("_taken"))
@@ -158,6 +217,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", F.coalesce(F.col("_taken"), F.lit(0)).cast("long").alias("taken"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    return taken_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mixture as documents: the columns of ``docs``, with a row for each run of adjoining words that is
     taken, as often as it is taken, ``text`` being that run as it stands in the text, and n_chars (where there is such a
@@ -174,8 +238,6 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
 
 
 def _cut_out(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    from pyspark.sql.window import Window
-
     one = Window.partitionBy("__mw_id", "__mw_t").orderBy("source_index", "begin")
     spans = spans.withColumn("__mw_rn", F.row_number().over(one)).select("__mw_id", "__mw_t", "__mw_rn", "__mw_spans")
     text_hash = F.xxhash64("text")
