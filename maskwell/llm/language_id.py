@@ -17,8 +17,12 @@ from maskwell.llm.textvec import blocks, mix
 from maskwell.shipping import map_arrow
 
 ORDER = 4
-#: About so many labelled rows of a language are learned from, dealt by a hash; a tenth of them calibrate.
+#: About so many distinct labelled texts of a language are learned from, dealt by a hash; a tenth of them calibrate.
 DOCS_PER_LANGUAGE = 1000
+#: Share of a language's own texts that its limit may reject, and the limit in standard deviations that it has at least: few texts don't show so small a share.
+REJECTED, LEAST_DEVIATIONS = 0.001, 4.0
+#: Held-out texts calibrate whole and by their first so many characters, as short texts vary more.
+CUTS = (15, 40, 120, 400)
 _U = np.uint64
 _SEED = _U(0x9E3779B97F4A7C15)
 
@@ -104,6 +108,35 @@ class KneserNey:
         return np.log(p)
 
 
+class Limit:
+    """What entropies a language's own texts have: mean and variance by length, and how many deviations above the mean are too many."""
+
+    def __init__(self, entropy: np.ndarray, n: np.ndarray):
+        # Mean and variance of a text of n codes are a + b / n.
+        self.mean = _line(n, entropy)
+        self.variance = _line(n, (entropy - self._at(self.mean, n)) ** 2)
+        self.most = max(LEAST_DEVIATIONS, float(np.quantile(self.deviations(entropy, n), 1 - REJECTED)))
+
+    @staticmethod
+    def _at(line: tuple[float, float], n: np.ndarray) -> np.ndarray:
+        return line[0] + line[1] / np.maximum(n, 1)
+
+    def deviations(self, entropy: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (entropy - self._at(self.mean, n)) / np.sqrt(np.maximum(self._at(self.variance, n), 1e-4))
+
+    def accepted(self, entropy: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """1 for the language's own texts, a half at the limit, 0 far beyond it."""
+        return 1 / (1 + np.exp(np.clip(2 * (self.deviations(entropy, n) - self.most), -50, 50)))
+
+
+def _line(n: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """a and b, not below 0, of the least squares a + b / n."""
+    x = 1 / np.maximum(n, 1)
+    spread = float(((x - x.mean()) ** 2).sum())
+    b = max(0.0, float(((x - x.mean()) * (y - y.mean())).sum()) / spread) if spread > 0 else 0.0
+    return max(0.0, float(y.mean()) - b * float(x.mean())), b
+
+
 class LanguageModels:
     """All languages, with the temperature and the limits that calibration found."""
 
@@ -111,22 +144,35 @@ class LanguageModels:
         self.names = sorted(texts)
         self.order = order
         self.models = [KneserNey(texts[k], order) for k in self.names]
-        self.temperature, self.limits = 10.0, np.full(len(self.names), np.inf)
+        self.temperature, self.limits = 10.0, [None] * len(self.names)
         scored, truth = [], []
         for k, name in enumerate(self.names):
             if held.get(name):
-                entropy, n = self.entropies(held[name])
-                scored.append(entropy[n > 0])
-                truth += [k] * int((n > 0).sum())
+                whole = len(held[name])
+                entropy, n = self.entropies([*held[name], *(t[:c] for c in CUTS for t in held[name] if len(t) > c)])
+                own = n > 0
+                if own.any():
+                    self.limits[k] = Limit(entropy[own, k], n[own])
+                own[whole:] = False
+                scored.append(entropy[own])
+                truth += [k] * int(own.sum())
         if truth:
             entropy, truth = np.concatenate(scored), np.asarray(truth)
             grid = [1, 2, 3, 5, 8, 12, 20, 30, 50, 80]
             loss = [float(np.mean(np.log(np.maximum(self.confidence(entropy, t)[np.arange(len(truth)), truth], 1e-12)))) for t in grid]
             self.temperature = float(grid[int(np.argmax(loss))])
-            own = entropy[np.arange(len(truth)), truth]
-            for k in range(len(self.names)):
-                if (truth == k).any():
-                    self.limits[k] = float(np.quantile(own[truth == k], 0.99) + 3 * own[truth == k].std() + 0.5)
+
+    def judge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the best language, score, its entropy, rejected, known) of each text. The score is the calibrated share of the language among all, times how well the
+        text fits the language at all."""
+        entropy, n = self.entropies(texts)
+        each, best = np.arange(len(texts)), entropy.argmin(axis=1)
+        sure, lowest, known = self.confidence(entropy)[each, best], entropy[each, best], n > 0
+        fits = np.ones(len(texts))
+        for k, limit in enumerate(self.limits):
+            if limit is not None:
+                fits[best == k] = limit.accepted(lowest[best == k], n[best == k])
+        return best, np.where(known, sure * fits, 0.0), np.where(known, lowest, 0.0), ~known | (fits < 0.5), known
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(nats per code in each language, codes) of each text. Each distinct gram is looked up once."""
@@ -134,9 +180,10 @@ class LanguageModels:
         at = np.flatnonzero(counted)
         row = row[at]
         number, distinct = pd.factorize(grams(codes, self.order)[at])
-        first = np.full(len(distinct), len(at), np.int64)
-        np.minimum.at(first, number, np.arange(len(at))) if len(at) < 1000 else first.__setitem__(number[::-1], np.arange(len(at))[::-1])
-        place = at[first] if len(at) else at
+        # Of several places that are written to one number the last write stays, so in reverse order the first place does.
+        first = np.empty(len(distinct), np.int64)
+        first[number[::-1]] = np.arange(len(at))[::-1]
+        place = at[first]
         hashes = {n: grams(codes, n)[place] for n in range(1, self.order + 1)}
         before = {0: np.zeros(len(place), np.uint64)} | {n: grams(codes, n)[np.maximum(place - 1, 0)] for n in range(1, self.order)}
         n_codes = np.bincount(row, minlength=len(texts)).astype(np.int64)
@@ -162,29 +209,29 @@ def fold(doc_id, n: int):
 def learn(labelled: DataFrame, per_language: int = DOCS_PER_LANGUAGE, order: int = ORDER) -> LanguageModels:
     """Models from rows with text and lang, neither null.
 
-    About ``per_language`` rows of each language are taken by a hash of the text (all of a smaller language), read
-    whole. The languages' counts and these rows come to the driver.
+    About ``per_language`` distinct texts of each language are taken by a hash of the text (all of a language with fewer), read
+    whole. The languages' counts and these texts come to the driver; copies of a text count once, so they thin nothing out.
     """
-    rows = labelled.select("text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = labelled.select("text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL").withColumn("_h", F.xxhash64("text", F.lit("language")))
+    counts = {r["lang"]: r["n"] for r in rows.select("lang", "_h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return LanguageModels({}, {}, order)
-    # Text by text the hash is the same for copies, which hold no news for a model.
-    draw = F.pmod(F.xxhash64("text", F.lit("language")), F.lit(1 << 30))
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))]), F.col("lang"))
-    sample = rows.withColumn("_d", draw).filter(F.col("_d") < share * F.lit(1 << 30)).dropDuplicates(["lang", "_d"]).toArrow().to_pylist()
+    sample = rows.filter(F.pmod("_h", F.lit(1 << 30)) < share * F.lit(1 << 30)).dropDuplicates(["lang", "_h"]).toArrow().to_pylist()
     texts: dict[str, list[str]] = {k: [] for k in counts}
     held: dict[str, list[str]] = {k: [] for k in counts}
-    for r in sorted(sample, key=lambda r: (r["lang"], r["_d"])):
-        (held if r["_d"] % 10 == 0 and texts[r["lang"]] else texts)[r["lang"]].append(r["text"])
+    for r in sorted(sample, key=lambda r: (r["lang"], r["_h"])):
+        (held if r["_h"] % 10 == 0 and texts[r["lang"]] else texts)[r["lang"]].append(r["text"])
     return LanguageModels({k: v for k, v in texts.items() if v}, held, order)
 
 
 def identify(docs: DataFrame, models: LanguageModels) -> DataFrame:
-    """doc_id, lang_pred, score (calibrated share of the best language, 0 to 1), entropy (nats per code) and ``rejected``
-    (the best language's entropy is beyond what its own held-out texts show) for each whole text.
+    """doc_id, lang_pred, score (0 to 1: the calibrated share of the best language, times how well the text fits it), entropy (nats per code) and ``rejected``
+    (the text is not like the best language's own texts of its length; its score is low) for each whole text.
 
-    A text that is null or has no letter, or any text if no language was learned, is ``und`` with score 0.
+    A text that is null or has no letter, or any text if no language was learned, is ``und`` with score 0. Texts that fit two languages alike get the
+    first by name. Repeated rows and rows without an id are judged like others; very long texts are read whole, in memory by themselves. Other columns are
+    not read. An empty table gives an empty result. The models go to every executor: some megabytes a language, however much is labelled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
@@ -194,14 +241,8 @@ def identify(docs: DataFrame, models: LanguageModels) -> DataFrame:
             raw = data.tobytes()
             texts = [raw[offsets[i] : offsets[i + 1]].decode("utf-8", "replace") for i in range(rows.num_rows)]
             if m.names:
-                entropy, n = m.entropies(texts)
-                best = entropy.argmin(axis=1)
-                sure = m.confidence(entropy)[np.arange(len(texts)), best]
-                lowest = entropy[np.arange(len(texts)), best]
-                known = n > 0
-                names = [m.names[b] if k else "und" for b, k in zip(best, known, strict=True)]
-                rejected = known & (lowest > m.limits[best])
-                columns = names, np.where(known, sure, 0.0), np.where(known, lowest, 0.0), rejected | ~known
+                best, score, entropy, rejected, known = m.judge(texts)
+                columns = [m.names[b] if k else "und" for b, k in zip(best, known, strict=True)], score, entropy, rejected
             else:
                 columns = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts), bool)
             yield pa.RecordBatch.from_arrays([rows.column(0), *map(pa.array, columns)], ["doc_id", "lang_pred", "score", "entropy", "rejected"])
