@@ -19,8 +19,17 @@ def interleave(rows: DataFrame, n_shards: int, stratum: str = "source", ties: tu
 
     Nulls: a null stratum is a stratum of its own. Ties: rows equal in all ``ties`` columns are
     interchangeable and keep distinct slots. An empty table gives an empty result. Text is never shuffled
-    unless the caller leaves it in ``rows``.
+    unless the caller leaves it in ``rows``. Columns of ``rows`` that are called like those used on the way (rank, group_rows, _hash and others) come back
+    as they were; a column shard or slot is refused.
     """
+    if taken := {"shard", "slot"} & set(rows.columns):
+        raise ValueError(f"rows have a column {sorted(taken)[0]!r} already; rename it")
+    own = {c: f"__mw_{i}" for i, c in enumerate(rows.columns)}
+    out = _interleave(rows.withColumnsRenamed(own), n_shards, own[stratum], tuple(own[c] for c in ties), seed)
+    return out.withColumnsRenamed({v: k for k, v in own.items()})
+
+
+def _interleave(rows: DataFrame, n_shards: int, stratum: str, ties: tuple[str, ...], seed: str) -> DataFrame:
     key = F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in ties]))
     rows = rows.withColumn("_hash", key)
     n = rows.count()

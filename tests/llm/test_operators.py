@@ -70,6 +70,35 @@ def test_importance_keeps_the_target_and_drops_the_rest(spark):
     assert importance.filter_documents(docs.limit(0), labels).count() == 0
 
 
+def test_importance_weights_match_brute_force(spark):
+    docs = [r[:2] for r in awkward()]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("role", F.lit("x"))
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(50)], "doc_id long, quality int")
+    out = Counter((r["doc_id"], r["n_ngrams"], round(r["log_weight"], 9), round(r["gumbel_key"], 9), r["kept"]) for r in rows_of(importance.resample(df, labels, buckets=512)))
+    roles = {r["i"]: 2 if r["h"] == 0 else 1 for r in rows_of(spark.createDataFrame([(i,) for i in range(50) if i % 4], "i long").select("i", F.pmod(F.xxhash64("i", F.lit(12)), F.lit(5)).alias("h")))}
+
+    def grams(text):
+        low = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in words(text)]
+        one = lambda w: np.frombuffer(w.encode(), np.uint8)
+        hashes = [importance.hash_words(one(w), np.asarray([0]), np.asarray([len(one(w))])) for w in low]
+        return [int(h[0] % np.uint64(512)) for h in hashes] + [int(importance.mix(a * np.uint64(3) + b)[0] % np.uint64(512)) for a, b in zip(hashes, hashes[1:], strict=False)]
+
+    held = [grams(text) for _, text in docs]
+    raw, target = Counter(g for x in held for g in x), Counter(g for (i, _), x in zip(docs, held, strict=True) if roles.get(i) == 1 for g in x)
+    ratio = [math.log((target[g] + 1) / (sum(target.values()) + 512)) - math.log((raw[g] + 1) / (sum(raw.values()) + 512)) for g in range(512)]
+    weight = [sum(ratio[g] for g in x) / (1 + 0.01 * max(0, len(x) - 1)) for x in held]
+    keys = [w - math.log(-math.log(float(importance.unit_interval(importance.hash_keys(np.asarray([-1 if i is None else i]), 11))[0]))) for w, (i, _) in zip(weight, docs, strict=True)]
+    calibration = [w for w, (i, _), x in zip(weight, docs, held, strict=True) if roles.get(i) == 2 and x]
+    if len(calibration) < 8:
+        fitted = [w for w, (i, _), x in zip(weight, docs, held, strict=True) if roles.get(i) == 1 and x]
+        cut = min(min(min(v), float(np.mean(v) - 4 * np.std(v))) for v in (calibration, fitted) if v)
+    else:
+        cut = min(min(calibration), float(np.mean(calibration) - 4 * np.std(calibration)))
+    k = sum(w >= cut for w in weight)
+    limit = sorted(keys, reverse=True)[k - 1]
+    assert out == Counter((i, len(x), round(w, 9), round(g, 9), g >= limit) for (i, _), x, w, g in zip(docs, held, weight, keys, strict=True))
+
+
 def test_ngram_counts_are_whole(spark):
     docs = table(spark).select("text", F.lit(True).alias("is_target"))
     n = sum(r["raw"] for r in rows_of(importance.count_ngrams(docs, 64)))
@@ -291,11 +320,45 @@ def test_permutation_is_one(n):
         assert (out != np.arange(n)).mean() > 0.9
 
 
-def test_draws_end_at_the_slots():
-    slots = [1000, 0, 37, 5]
-    drawn = mixing.draw_shards(slots, 64)
-    assert [sum(n for _, s, _, n in drawn if s == k) for k in range(4)] == slots
-    assert all(sum(n for d, _, _, n in drawn if d == shard) == 64 for shard in range(drawn[-1][0]))
+def test_draws_end_at_the_slots(spark, monkeypatch):
+    slots = {0: 10_000, 1: 0, 2: 37, 3: 5}
+    df = spark.createDataFrame([(i, 99, n) for i, n in slots.items()], "source_index long, blocks long, slots long")
+    for most in (1 << 22, 1000):
+        monkeypatch.setattr(mixing, "DRAW_SLOTS", most)
+        drawn = rows_of(mixing.draw_shards(df, 16, 7))
+        for i, n in slots.items():
+            runs_of = sorted((r["first"], r["n"]) for r in drawn if r["source_index"] == i)
+            assert [a for a, _ in runs_of] == [sum(k for _, k in runs_of[:j]) for j in range(len(runs_of))] and sum(k for _, k in runs_of) == n
+        hot = Counter()
+        for r in drawn:
+            if r["source_index"] == 0:
+                hot[r["shard"]] += r["n"]
+        assert len(hot) == 16 and all(abs(n - 625) < 6 * math.sqrt(625) for n in hot.values())
+        assert sorted(map(str, drawn)) == sorted(map(str, rows_of(mixing.draw_shards(df, 16, 7))))
+
+
+def test_source_targets_match_brute_force(spark):
+    rows = [("b", 100), ("a", 5), (None, 40), ("é", 1000), ("a", 5), ("", 0), ("Z", 30), ("\U0001f600", 7), ("\uffff", 9)] + [(f"s{i:03}", i % 17) for i in range(200)]
+    out = {r["source"]: r for r in rows_of(mixing.source_table(spark.createDataFrame(rows, "source string, size long")))}
+    sizes = Counter()
+    for k, n in rows:
+        sizes[k] += n
+    order = sorted(sizes, key=lambda k: (k is None, k or ""))
+    want = mixing.targets([sizes[k] for k in order])
+    assert [out[k]["source_index"] for k in order] == list(range(len(order)))
+    assert [out[k]["target"] for k in order] == pytest.approx(want) and [out[k]["source_size"] for k in order] == [sizes[k] for k in order]
+    assert mixing.source_table(spark.createDataFrame([], "source string, size long")).count() == 0
+
+
+def test_taken_words_follow_from_the_slots(spark):
+    docs = table(spark)
+    rows, slots = mixing.plan_mix(docs)
+    times = Counter((r["source_index"], r["block"]) for r in rows_of(slots))
+    want = Counter()
+    for r in rows_of(rows):
+        want[(r["doc_id"], sum(times[(r["source_index"], w // mixing.BLOCK_WORDS)] for w in range(r["begin"], r["begin"] + r["size"])))] += 1
+    assert Counter((r["doc_id"], r["taken"]) for r in rows_of(mixing.taken_words(docs))) == want
+    assert all(k in (1, 2) for k in times.values())
 
 
 def _mix(spark, docs):
@@ -359,6 +422,11 @@ def test_interleaving_matches_brute_force(spark):
         hot = sum(r["source"] == "hot" for r in out if r["shard"] == shard)
         assert abs(hot - counts[shard] * sum(r["source"] == "hot" for r in out) / n) <= 2
     assert sharding.interleave(base.limit(0), 8).count() == 0
+    clash = base.withColumn("rank", F.lit("r")).withColumn("group_rows", F.lit("g")).withColumn("_at", F.lit("a")).withColumn("_hash", F.lit("h"))
+    again = rows_of(sharding.interleave(clash, 8, ties=("doc_id", "text_crc32")))
+    assert Counter((r["doc_id"], r["shard"], r["slot"]) for r in again) == want and {(r["rank"], r["group_rows"], r["_at"], r["_hash"]) for r in again} == {("r", "g", "a", "h")}
+    with pytest.raises(ValueError):
+        sharding.interleave(base.withColumn("slot", F.lit(1)), 8)
 
 
 def _grouped(rows, key):
@@ -482,6 +550,65 @@ def test_kneser_ney_sums_to_one():
         assert np.exp(model.log_probability(keys, heads)).sum() == pytest.approx(1, abs=1e-6)
 
 
+def test_entropies_match_brute_force():
+    texts = {"aa": ["Abra, cadabra!", "banana abra", "raba"], "bb": ["zoz mozo", "om zom. oz"]}
+    models = language_id.LanguageModels(texts, {}, order=3)
+
+    def norm(t):
+        out = []
+        for c in t.lower():
+            if c.isalpha():
+                out.append(c)
+            elif out and out[-1] != " ":
+                out.append(" ")
+        return "   " + "".join(out)
+
+    def model(name):
+        lines = [norm(t) for t in texts[name]]
+        top = Counter(x[i - 2 : i + 1] for x in lines for i in range(3, len(x)))
+        table = {3: top}
+        for n in (2, 1):
+            # An n-gram counts once for each different code before it.
+            table[n] = Counter(g[1:] for g in table[n + 1]) if n < 2 else Counter(g[1:] for g in top)
+        return table
+
+    def probability(table, text, i):
+        p = 1e-6
+        for n in (1, 2, 3):
+            counts, gram = table[n], text[i - n + 1 : i + 1]
+            context = gram[:-1]
+            ones, twos = sum(v == 1 for v in counts.values()), sum(v == 2 for v in counts.values())
+            d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+            inside = {g: v for g, v in counts.items() if g[:-1] == context}
+            if inside:
+                total = sum(inside.values())
+                p = max(counts.get(gram, 0) - d, 0) / total + d * len(inside) / total * p
+        return p
+
+    asked = ["abra zoz", "Banana!", "q", "", "..a"]
+    entropy, n = models.entropies(asked)
+    for row, text in enumerate(asked):
+        x = norm(text)
+        assert n[row] == (len(x) - 3 if x.strip() else 0)
+        for k, name in enumerate(models.names):
+            want = [-math.log(probability(model(name), x, i)) for i in range(3, len(x))]
+            assert entropy[row, k] == pytest.approx(sum(want) / max(1, len(want)))
+
+
+def test_foreign_texts_are_rejected(spark):
+    import random
+
+    rng = random.Random(17)
+    rows = [(i, sentence(rng, "aa" if i % 2 else "bb", rng.randint(3, 60)), "aa" if i % 2 else "bb") for i in range(600)]
+    other = [(1000 + i, " ".join("".join(rng.choice("\u0430\u0431\u0432\u0433\u0434\u0435") for _ in range(5)) for _ in range(3 + i)), None) for i in range(30)]
+    df = spark.createDataFrame(rows + other, "doc_id long, text string, lang string")
+    models = language_id.learn(df.filter(language_id.fold(F.col("doc_id"), 5) != 0))
+    out = {r["doc_id"]: r for r in rows_of(language_id.identify(df, models))}
+    held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(out[i]["rejected"] and out[i]["score"] < 0.1 and out[i]["lang_pred"] in ("aa", "bb") for i, *_ in other)
+    assert sum(out[i]["rejected"] for i in held) <= len(held) / 50 and sum(out[i]["score"] > 0.9 for i in held) > 0.9 * len(held)
+
+
 def test_vector_links_match_brute_force(spark):
     rng = np.random.default_rng(6)
     rows, n = [], 0
