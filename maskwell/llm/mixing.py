@@ -193,7 +193,10 @@ def plan_mix(docs: DataFrame, seed: int = 7, weights=WEIGHTS, share: float = SHA
                     ["source_index", "block", "copy", "shard"],
                 )
 
-    return rows, map_arrow(runs.repartition("source_index", "shard"), deal, "source_index long, block long, copy int, shard long")
+    # A given number of tasks, as the rows of ``runs`` are few and each stands for many.
+    n_tasks = max(1, -(-n_slots // DEAL_SLOTS), min(8 * docs.sparkSession.sparkContext.defaultParallelism, n_slots // SHARD_BLOCKS))
+    # The dealt slots are many more than Spark can tell from the sources they come from, so it must not broadcast them.
+    return rows, map_arrow(runs.repartition(n_tasks, "source_index", "shard"), deal, "source_index long, block long, copy int, shard long")
 
 
 def block_pieces(rows: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -210,10 +213,10 @@ def taken_words(docs: DataFrame) -> DataFrame:
     rows, slots = plan_mix(docs)
     times = slots.groupBy("source_index", "block").agg(F.count(F.lit(1)).alias("times"))
     pieces = block_pieces(rows).select("source_index", "begin", "block", "n")
-    taken = pieces.join(times, ["source_index", "block"]).groupBy("source_index", "begin").agg(F.sum(F.col("n") * F.col("times")).alias("_taken"))
+    taken = pieces.join(times.hint("merge"), ["source_index", "block"]).groupBy("source_index", "begin").agg(F.sum(F.col("n") * F.col("times")).alias("_taken"))
     taken = taken.select(F.col("source_index").alias("_s"), F.col("begin").alias("_b"), "_taken")
     own = (F.col("source_index") == F.col("_s")) & (F.col("begin") == F.col("_b")) & (F.col("size") > 0)
-    out = rows.join(taken, own, "left")
+    out = rows.join(taken.hint("merge"), own, "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce(F.col("_taken"), F.lit(0)).cast("long").alias("taken"))
 
 
@@ -230,7 +233,7 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     A text is joined once, by its id and hash; repeated rows are told apart by their number.
     """
     rows, slots = plan_mix(docs, seed)
-    pieces = block_pieces(rows).join(slots.select("source_index", "block", "copy"), ["source_index", "block"])
+    pieces = block_pieces(rows).join(slots.select("source_index", "block", "copy").hint("merge"), ["source_index", "block"])
     spans = pieces.groupBy("source_index", "begin", "doc_id", "text_hash").agg(F.collect_list(F.struct("copy", "word", "n")).alias("__mw_spans"))
     ids = [F.col("doc_id").alias("__mw_id"), F.col("text_hash").alias("__mw_t")]
     spans = spans.select(*ids, "source_index", "begin", "__mw_spans")
@@ -243,7 +246,7 @@ def _cut_out(docs: DataFrame, spans: DataFrame) -> DataFrame:
     text_hash = F.xxhash64("text")
     numbered = docs.withColumn("__mw_h", text_hash).withColumn("__mw_k", F.row_number().over(Window.partitionBy("doc_id", "__mw_h").orderBy("source")))
     same = F.col("doc_id").eqNullSafe(F.col("__mw_id")) & (F.col("__mw_h") == F.col("__mw_t")) & (F.col("__mw_k") == F.col("__mw_rn"))
-    joined = numbered.join(spans, same).drop("__mw_id", "__mw_t", "__mw_rn", "__mw_h", "__mw_k")
+    joined = numbered.join(spans.hint("merge"), same).drop("__mw_id", "__mw_t", "__mw_rn", "__mw_h", "__mw_k")
     names = docs.columns
     text_at = names.index("text")
     chars_at = names.index("n_chars") if "n_chars" in names else None
