@@ -26,9 +26,23 @@ _DECODER = json.JSONDecoder(parse_int=_hook, parse_float=_hook, parse_constant=_
 
 
 def decode(text: str):
-    """The first JSON value of a text; what follows it is dropped. Numbers keep their digits; of repeated keys the last counts."""
+    """The first JSON value of a text; what follows it is dropped. Numbers keep their digits; of repeated keys the last counts. Half of a
+    surrogate pair, which UTF-8 can't hold, becomes U+FFFD."""
     text = text.lstrip(" \t\r\n")
-    return _DECODER.raw_decode(text)[0]
+    value = _DECODER.raw_decode(text)[0]
+    return _whole(value) if "\\u" in text else value
+
+
+def _whole(value):
+    if isinstance(value, Number):
+        return value
+    if isinstance(value, str):
+        return re.sub("[\ud800-\udfff]", "\ufffd", value)
+    if isinstance(value, list):
+        return [_whole(v) for v in value]
+    if isinstance(value, dict):
+        return {_whole(k): _whole(v) for k, v in value.items()}
+    return value
 
 
 _ESCAPES = {"<": "\\u003c", ">": "\\u003e", "&": "\\u0026", " ": "\\u2028", " ": "\\u2029"}
@@ -126,7 +140,7 @@ def replace_pairs(text: str, pairs: list[tuple[str, str]]) -> str:
     return re.sub("|".join(re.escape(old) for old, _ in pairs), lambda m: new[m[0]], text)
 
 
-def redact_metadata(meta: dict | None, mask: Callable[[str], str]) -> dict | None:
+def mask_metadata(meta: dict | None, mask: Callable[[str], str]) -> dict | None:
     """A copy of session metadata with paths, slugs, names, git fields and the places and messages of warnings masked."""
     if meta is None:
         return None

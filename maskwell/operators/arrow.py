@@ -19,7 +19,7 @@ from maskwell.shipping import map_arrow, ship
 
 MATCHES = "array<struct<offset:int,rule_ord:int,length:int,rule:string,category:string>>"
 WARNINGS = "array<struct<rule_id:string,location:int,preview:string>>"
-REDACTED = f"struct<text:string,matches:{MATCHES},warnings:{WARNINGS},failed:boolean>"
+PIPELINE = f"struct<text:string,matches:{MATCHES},warnings:{WARNINGS},failed:boolean>"
 BLOCKS = "array<struct<lang:string,content:string,start_byte:int,end_byte:int>>"
 TITLE = "struct<text:string,categories:array<string>,error:string>"
 
@@ -49,21 +49,39 @@ def masker(spark: SparkSession, policy: Policy) -> Callable[[Column], Column]:
     """Only the masked text."""
 
     def run(t):
-        return None if t is None else engine.redact_text(t, policy, warn=False).text
+        return None if t is None else engine.mask_text(t, policy, warn=False).text
 
     return _udf(spark, "string", run)
 
 
-def redactor(spark: SparkSession, policy: Policy) -> Callable[[Column], Column]:
+def pipeline(spark: SparkSession, policy: Policy) -> Callable[[Column], Column]:
     """The whole pipeline as a struct: text, matches, warnings, failed. ``failed`` marks rows that the fallback masked."""
 
     def rows(texts: pd.Series) -> pd.DataFrame:
-        out = [(None, None, None, None) if t is None else (r := engine.redact_text(t, policy)) and (r.text, _match_rows(r.matches), [w._asdict() for w in r.warnings], r.failed) for t in texts]
+        out = [(None, None, None, None) if t is None else (r := engine.mask_text(t, policy)) and (r.text, _match_rows(r.matches), [w._asdict() for w in r.warnings], r.failed) for t in texts]
         return pd.DataFrame(out, columns=["text", "matches", "warnings", "failed"])
 
     ship(spark)
     rows.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(rows, REDACTED)
+    return F.pandas_udf(rows, PIPELINE)
+
+
+def fallback_masker(spark: SparkSession, policy: Policy) -> Callable[[Column], Column]:
+    """What a text becomes if the engine fails on it: code hidden, every rule applied without filters, high-entropy words masked."""
+    return _udf(spark, "string", lambda t: None if t is None else engine.fallback(t, policy))
+
+
+def applied_counter(spark: SparkSession, policy: Policy) -> Callable[[Column], Column]:
+    """Matches of a text and how many of them changed it; the others begin inside an earlier one."""
+    rules = policy.active_rules
+
+    def rows(texts: pd.Series) -> pd.DataFrame:
+        found = [None if t is None else engine.detect(t, rules) for t in texts]
+        return pd.DataFrame([(None, None) if f is None else (len(f), len(engine.apply_masks(t, f, rules)[1])) for t, f in zip(texts, found, strict=True)], columns=["matches", "applied"])
+
+    ship(spark)
+    rows.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(rows, "struct<matches:int,applied:int>")
 
 
 def residue_scanner(spark: SparkSession, previews: bool = True) -> Callable[[Column], Column]:
@@ -103,7 +121,7 @@ def title_maker(spark: SparkSession, mode: str = "generate", harness: str = "",
 
 def json_masker(spark: SparkSession, policy: Policy) -> Callable[[Column], Column]:
     """A JSON text with all its string values masked; a text that is no JSON stays as it is."""
-    return _udf(spark, "string", lambda t: None if t is None else documents.rewrite_line(t, lambda s: engine.redact_text(s, policy, warn=False).text))
+    return _udf(spark, "string", lambda t: None if t is None else documents.rewrite_line(t, lambda s: engine.mask_text(s, policy, warn=False).text))
 
 
 def metadata_masker(spark: SparkSession, policy: Policy) -> Callable[[Column], Column]:
@@ -111,7 +129,7 @@ def metadata_masker(spark: SparkSession, policy: Policy) -> Callable[[Column], C
     import json
 
     def run(t):
-        return None if t is None else json.dumps(documents.redact_metadata(json.loads(t), lambda s: engine.redact_text(s, policy, warn=False).text), ensure_ascii=False)
+        return None if t is None else json.dumps(documents.mask_metadata(json.loads(t), lambda s: engine.mask_text(s, policy, warn=False).text), ensure_ascii=False)
 
     return _udf(spark, "string", run)
 

@@ -23,7 +23,7 @@ METADATA = _struct(
 )
 
 
-def redact_metadata(spark: SparkSession, policy: Policy, meta: Column) -> Column:
+def mask_metadata(spark: SparkSession, policy: Policy, meta: Column) -> Column:
     """The struct with its sensitive fields masked; null stays null."""
     as_json = F.to_json(meta, {"ignoreNullFields": "false"})
     return F.when(meta.isNotNull(), F.from_json(metadata_masker(spark, policy)(as_json), METADATA))

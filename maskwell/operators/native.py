@@ -58,31 +58,65 @@ def sequential(s: Column) -> Column:
     return out
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once: what a lambda closes over is worked out anew for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+MATCH = "struct<offset:int,rule_ord:int,length:int,rule:string,category:string,matched:string,begin:int>"
+#: Matches whose places are added up in one step.
+_STRIDE = 64
+
+
+def _places(gaps: Column, found: Column) -> Column:
+    """Per match the bytes and characters before it, packed into one number as bytes * 2**32 + characters.
+
+    They are sums over the gaps and matches before; sums of whole strides are taken first, so that many matches in one text cost little more
+    than their number.
+    """
+    size = lambda s: F.shiftleft(F.octet_length(s).cast("long"), 32) + F.length(s)
+    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
+    steps = F.transform(found, lambda _, i: size(F.get(gaps, i)) + F.when(i > 0, size(F.get(found, i - 1))).otherwise(F.lit(0).cast("long")))
+
+    def add(s: Column) -> Column:
+        strides = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / _STRIDE).cast("int")), lambda b: total(F.slice(s, b * _STRIDE + 1, _STRIDE)))
+
+        def place(sums: Column) -> Column:
+            whole = lambda i: F.floor(i / _STRIDE).cast("int")
+            return F.transform(s, lambda _, i: total(F.slice(sums, F.lit(1), whole(i))) + total(F.slice(s, whole(i) * _STRIDE + 1, i % _STRIDE + 1)))
+
+        return let(strides, place)
+
+    return let(steps, add)
+
+
 def rule_matches(text: Column, rule: Rule, ordinal: int) -> Column:
     """Array of (offset, rule_ord, length, rule, category, matched, begin) of one rule; empty for a null text.
 
     There is no expression for the place of a match, so it is added up from the matches and the gaps between them.
     """
-    t = F.coalesce(text, F.lit(""))
-    p = F.lit(portable(rule.pattern))
-    found, gaps = F.regexp_extract_all(t, p, F.lit(0)), F.split(t, portable(rule.pattern), -1)
-
-    def build(m: Column, i: Column) -> Column:
-        before = F.concat(F.array_join(F.slice(gaps, 1, i + 1), ""), F.array_join(F.slice(found, 1, i), ""))
-        return F.struct(
-            F.octet_length(before).alias("offset"), F.lit(ordinal).alias("rule_ord"), F.octet_length(m).alias("length"),
-            F.lit(rule.id).alias("rule"), F.lit(rule.category).alias("category"), m.alias("matched"), F.length(before).alias("begin"),
-        )
-
-    out = F.transform(found, build)
-    if rule.filter:
-        out = F.filter(out, lambda m: _filter(rule.filter, t, m))
-    if rule.anchors:
-        hit = F.lit(False)
-        for a in rule.anchors:
-            hit = hit | F.contains(t, F.lit(a))
-        out = F.when(hit, out).otherwise(F.slice(out, 1, 0))
-    return out
+    t, p = F.coalesce(text, F.lit("")), portable(rule.pattern)
+    none = F.array().cast(f"array<{MATCH}>")
+
+    def build(found: Column) -> Column:
+        def rows(places: Column) -> Column:
+            return F.transform(found, lambda m, i: F.struct(
+                F.shiftright(F.get(places, i), 32).cast("int").alias("offset"), F.lit(ordinal).alias("rule_ord"), F.octet_length(m).alias("length"),
+                F.lit(rule.id).alias("rule"), F.lit(rule.category).alias("category"), m.alias("matched"), F.get(places, i).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("begin"),
+            ))
+
+        out = let(let(F.split(t, p, -1), lambda gaps: _places(gaps, found)), rows)
+        if rule.filter:
+            out = F.filter(out, lambda m: _filter(rule.filter, t, m))
+        return F.when(F.size(found) > 0, out).otherwise(none)
+
+    out = let(F.regexp_extract_all(t, F.lit(p), F.lit(0)), build)
+    if not rule.anchors:
+        return out
+    hit = F.lit(False)
+    for a in rule.anchors:
+        hit = hit | F.contains(t, F.lit(a))
+    return F.when(hit, out).otherwise(none)
 
 
 def matches(text: Column, rules: tuple[Rule, ...]) -> Column:
@@ -120,10 +154,12 @@ def rendered(category: Column) -> Column:
 def charset_entropy(s: Column, charset: str) -> Column:
     """Shannon bits over the characters of the charset."""
     escaped = "".join("\\" + c if c in "-^]\\[&" else c for c in charset)
-    kept = F.filter(F.split(F.regexp_replace(s, f"[^{escaped}]", ""), ""), lambda c: c != "")
-    n = F.size(kept).cast("double")
-    bits = F.aggregate(F.array_sort(F.array_distinct(kept)), F.lit(0.0), lambda a, c: a - (F.size(F.filter(kept, lambda x: x == c)) / n) * F.log2(F.size(F.filter(kept, lambda x: x == c)) / n))
-    return F.when(n == 0, F.lit(0.0)).otherwise(bits)
+
+    def bits(kept: Column) -> Column:
+        share = lambda c: F.size(F.filter(kept, lambda x: x == c)) / F.size(kept).cast("double")
+        return F.aggregate(F.array_sort(F.array_distinct(kept)), F.lit(0.0), lambda a, c: a - let(share(c), lambda p: p * F.log2(p)))
+
+    return let(F.filter(F.split(F.regexp_replace(s, f"[^{escaped}]", ""), ""), lambda c: c != ""), bits)
 
 
 def high_entropy(word: Column) -> Column:
@@ -131,5 +167,6 @@ def high_entropy(word: Column) -> Column:
     n = F.octet_length(word)
     digits = F.regexp_like(word, F.lit(r"^[0-9]+(?![\s\S])"))
     bits = charset_entropy(word, R.HEX_SET) - F.when(digits, F.lit(1.2) / F.log2(n.cast("double"))).otherwise(F.lit(0.0))
-    skip = F.regexp_like(word, F.lit(R.UUID_PATTERN)) | sequential(word) | word.startswith("$")
-    return (n > R.ENTROPY_OVER_BYTES) & ~skip & ((bits > R.HEX_LIMIT) | (charset_entropy(word, R.BASE64_SET) > R.BASE64_LIMIT))
+    skip = word.startswith("$") | F.regexp_like(word, F.lit(R.UUID_PATTERN)) | sequential(word)
+    # Most words are short, and the branch keeps them from everything else.
+    return F.when(n > R.ENTROPY_OVER_BYTES, ~skip & ((bits > R.HEX_LIMIT) | (charset_entropy(word, R.BASE64_SET) > R.BASE64_LIMIT))).otherwise(F.lit(False))

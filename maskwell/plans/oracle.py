@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from maskwell.functions import rules as R
 from maskwell.plans.policy import RENDERED, Rule
 
@@ -44,28 +46,36 @@ def matches(rules: tuple[Rule, ...], source: str, key: str, extra: str = "") ->
     return f"WITH src AS ({source}) " + " UNION ALL ".join(parts)
 
 
+def _template(rule: Rule) -> str:
+    return re.sub(r"\$\{(\d)\}", r"\\\1", rule.replacement.replace("\\", "\\\\"))
+
+
+def chain(rules: tuple[Rule, ...], text: str) -> str:
+    """SQL of a text with every match of the rules replaced, rule by rule."""
+    for r in rules:
+        text = f"regexp_replace({text}, {lit(r.pattern)}, {lit(_template(r))}, 'g')"
+    return text
+
+
 def mask_value(rules: tuple[Rule, ...]) -> str:
     cases = []
     for r in rules:
         if r.has_groups:
-            import re
-
-            new = re.sub(r"\$\{(\d)\}", r"\\\1", r.replacement.replace("\\", "\\\\"))
-            cases.append(f"WHEN {lit(r.id)} THEN regexp_replace(m, {lit(r.pattern)}, {lit(new)})")
+            cases.append(f"WHEN {lit(r.id)} THEN regexp_replace(m, {lit(r.pattern)}, {lit(_template(r))})")
         else:
             cases.append(f"WHEN {lit(r.id)} THEN {lit(r.replacement)}")
     return f"CASE rule {' '.join(cases)} END"
 
 
 def masked(rules: tuple[Rule, ...], source: str, key: str) -> str:
-    """SELECT of the key and the masked text of every row of ``source``."""
+    """SELECT of the key, a, n (matches) and t of every row of ``source``: a.r is the text masked up to character a.b, a.c the matches that changed it."""
     found = matches(rules, source, key)
     return (
         f"WITH s AS ({source}), f AS ({found}), v AS (SELECT {key}, rule_ord, b, length(m) AS c, {mask_value(rules)} AS r FROM f), "
         f"l AS (SELECT {key}, list({{'b': b, 'c': c, 'r': r}} ORDER BY b, rule_ord) AS ms FROM v GROUP BY {key}), "
         f"j AS (SELECT s.{key}, t, coalesce(ms, []) AS ms FROM s LEFT JOIN l ON s.{key} = l.{key}) "
         f"SELECT {key}, list_reduce(list_prepend({{'b': 0, 'c': 0, 'r': ''}}, ms), lambda a, x: CASE WHEN x.b < a.b THEN a ELSE "
-        f"{{'b': x.b + x.c, 'c': 0, 'r': a.r || substr(t, a.b + 1, x.b - a.b) || x.r}} END) AS a, t FROM j"
+        f"{{'b': x.b + x.c, 'c': a.c + CASE WHEN x.r <> substr(t, x.b + 1, x.c) THEN 1 ELSE 0 END, 'r': a.r || substr(t, a.b + 1, x.b - a.b) || x.r}} END) AS a, len(ms) AS n, t FROM j"
     )
 
 

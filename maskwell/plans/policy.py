@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 from maskwell.errors import ActionableError
 from maskwell.functions.dialect import compiled, portable
-from maskwell.functions.rules import PRIMARY
+from maskwell.functions.rules import LINE_INITIAL_BYTES, LINE_MOST_BYTES, PRIMARY
 
 LEVELS = ("minimal", "standard", "maximum")
 CATEGORIES = ("secrets", "pii", "paths", "project")
@@ -20,6 +20,7 @@ CATEGORIES = ("secrets", "pii", "paths", "project")
 RENDERED = {"secrets": "CREDENTIAL", "pii": "PII", "paths": "PATH", "project": "INTERNAL"}
 RENDERED_ORDER = ("CREDENTIAL", "PII", "PATH", "INTERNAL")
 DEFAULT_LEVEL = {"secrets": "minimal", "paths": "minimal", "pii": "standard", "project": "standard"}
+#: Fixed output values.
 UNKNOWN_MASK, CODE_MASK, ENTROPY_MASK = "<REDACTED>", "<CODE_BLOCK>", "<HIGH_ENTROPY>"
 
 
@@ -94,8 +95,8 @@ class XdgPaths:
 class ScannerConfig:
     """Line buffers of a transcript: initial and largest size in bytes."""
 
-    initial: int = 64 * 1024
-    most: int = 10 * 1024 * 1024
+    initial: int = LINE_INITIAL_BYTES
+    most: int = LINE_MOST_BYTES
 
     def validate(self, where: str) -> ScannerConfig:
         if self.initial <= 0 or self.most <= 0 or self.initial > self.most:
@@ -166,13 +167,13 @@ class Policy:
         where = "maskwell.plans.policy.Policy"
         self.scanner.validate(where)
         if self.level not in LEVELS:
-            raise ActionableError(f"redaction level {self.level!r} is invalid", "only minimal, standard and maximum exist", where, "a policy was built before any content was scanned", "no policy was created, so nothing can be masked with it", "pass minimal, standard or maximum")
+            raise ActionableError(f"masking level {self.level!r} is invalid", "only minimal, standard and maximum exist", where, "a policy was built before any content was scanned", "no policy was created, so nothing can be masked with it", "pass minimal, standard or maximum")
         validate_rules(BUILT_IN)
         user = compile_user_patterns(tuple(self.user_patterns))
         if self.code_mode not in ("syntax", "regex"):
             raise ActionableError(f"code mode {self.code_mode!r} is invalid", "only syntax and regex exist", where, "a policy was built", "no policy was created", "pass syntax or regex")
         if self.level == "maximum" and self.code_mode == "syntax" and not syntax_available():
-            raise ActionableError("maximum redaction is unavailable here", "it anonymizes code by its syntax tree, and no parser is installed", where, "a policy checked what is installed", "no policy was created, because masking less could leak identifiers", "use level standard, install tree_sitter, or pass code_mode='regex' to accept identifier patterns")
+            raise ActionableError("level maximum is unavailable here", "it anonymizes code by its syntax tree, and no parser is installed", where, "a policy checked what is installed", "no policy was created, because masking less could leak identifiers", "use level standard, install tree_sitter, or pass code_mode='regex' to accept identifier patterns")
         object.__setattr__(self, "_user_rules", user + xdg_rules(self.xdg))
 
     @property

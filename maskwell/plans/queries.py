@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from maskwell.functions import rules as R
 from maskwell.functions.documents import TAG_PATTERN, TITLE_PATTERN
 from maskwell.operators import arrow, metadata, native, report
+from maskwell.plans import cases
 from maskwell.plans import oracle as O
 from maskwell.plans.derived import derived_sql
 from maskwell.plans.policy import BUILT_IN, CATEGORIES, LEVELS, Policy, level_ordinal
@@ -32,7 +33,7 @@ def _derived(spark: SparkSession, sf_dir: str) -> DataFrame:
 def masked_documents(spark, sf_dir):
     """PII masked in all documents by expressions alone, and how many matches each had."""
     docs = _read(spark, sf_dir, "documents").withColumn("m", native.matches(F.col("text"), PII))
-    return docs.select("doc_id", native.masked(F.col("text"), F.col("m"), PII).alias("redacted"), F.size("m").cast("long").alias("n_matches"))
+    return docs.select("doc_id", native.masked(F.col("text"), F.col("m"), PII).alias("masked"), F.size("m").cast("long").alias("n_matches"))
 
 
 def pii_match_table(spark, sf_dir):
@@ -56,7 +57,7 @@ def detect_all_rules_native(spark, sf_dir):
 def _masked_at(level):
     def query(spark, sf_dir):
         texts = _derived(spark, sf_dir)
-        return texts.select("k", arrow.masker(spark, _P[level])(F.col("text")).alias("redacted"))
+        return texts.select("k", arrow.masker(spark, _P[level])(F.col("text")).alias("masked"))
 
     query.__doc__ = f"The derived texts masked at level {level}."
     return query
@@ -75,13 +76,13 @@ def report_totals(spark, sf_dir):
 
 
 def level_matrix(spark, sf_dir):
-    """Matches per level and category."""
-    texts = _derived(spark, sf_dir)
-    out = None
+    """Matches per level and category: one detection at level maximum, each rule counted for the levels it is active at."""
+    counts = report.rule_counts(arrow.match_table(_derived(spark, sf_dir), "text", ["k"], _P["maximum"]))
+    levels = F.lit(None).cast("array<string>")
     for level in LEVELS:
-        found = arrow.match_table(texts, "text", ["k"], _P[level]).groupBy("category").agg(F.count(F.lit(1)).alias("n")).select(F.lit(level).alias("level"), "category", "n")
-        out = found if out is None else out.unionByName(found)
-    return out
+        active = [r.id for r in BUILT_IN if r.effective_minimum == level]
+        levels = F.when(F.col("rule").isin(active), F.array(*[F.lit(x) for x in LEVELS[LEVELS.index(level) :]])).otherwise(levels)
+    return counts.withColumn("level", F.explode(levels)).groupBy("level", "category").agg(F.sum("n").alias("n"))
 
 
 def hits_by_lang(spark, sf_dir):
@@ -127,15 +128,9 @@ def residue_counts(spark, sf_dir):
 
 
 def residue_locations(spark, sf_dir):
-    """Place of each warning of three residue rules."""
+    """Place of each warning of all residue rules."""
     scanned = _derived(spark, sf_dir).select("k", F.explode(arrow.residue_scanner(spark, previews=False)(F.col("text"))).alias("w"))
-    return scanned.filter(F.col("w.rule_id").isin("residue_hex_long", "residue_email", "residue_unix_path")).select("k", F.col("w.rule_id").alias("rule_id"), F.col("w.location").cast("long").alias("location"))
-
-
-def residue_after_masking(spark, sf_dir):
-    """Warnings with previews that remain after masking at level standard."""
-    r = _derived(spark, sf_dir).select("k", arrow.redactor(spark, _P["standard"])(F.col("text")).alias("r"))
-    return r.select("k", F.explode("r.warnings").alias("w")).select("k", "w.rule_id", F.col("w.location").cast("long").alias("location"), "w.preview")
+    return scanned.select("k", F.col("w.rule_id").alias("rule_id"), F.col("w.location").cast("long").alias("location"))
 
 
 def entropy_words(spark, sf_dir):
@@ -191,7 +186,7 @@ def metadata_paths(spark, sf_dir):
         F.struct(F.array(F.struct(F.lit("io").alias("error_type"), F.lit("x").alias("location"), F.concat(F.lit("mail a@"), user, F.lit(".org")).alias("message"), F.lit("none").alias("remediation"))).alias("warnings")).alias("diagnostics"),
         F.array().cast("array<struct<id:string>>").alias("subagents"),
     )
-    out = c.select("c_custkey", metadata.redact_metadata(spark, _P["standard"], meta).alias("m"))
+    out = c.select("c_custkey", metadata.mask_metadata(spark, _P["standard"], meta).alias("m"))
     return out.select("c_custkey", "m.source.file_path", "m.cwd", "m.host_slug", F.col("m.git.remote").alias("remote"), F.col("m.git.branch").alias("branch"), F.col("m.diagnostics.warnings")[0]["message"].alias("message"))
 
 
@@ -234,16 +229,14 @@ def release_titles(spark, sf_dir):
 
 
 def hit_windows(spark, sf_dir):
-    """Matches per rule and day of event texts in a stream with a watermark (an addition of this engine)."""
-    from maskwell.shipping import ship
-
-    ship(spark)
+    """Matches per rule and day of event texts in a stream with a watermark (an addition of this engine); the last day is there as well."""
     root = _scratch(spark)
     schema = _read(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     texts = stream.select(F.col("ts").cast("timestamp").alias("ts"), F.expr("concat('u', CAST(user_id AS string), '@example.org from 10.0.0.', CAST(event_id % 250 AS string))").alias("text"))
     rates = streams.hit_rates(texts, "text", "ts", _P["standard"], "1 day", "1 hour")
-    return streams.run_available(rates, f"{root}/out", f"{root}/state", "append")
+    found = streams.run_latest(rates, ["window_start", "rule"], f"{root}/out", f"{root}/state")
+    return found.select((F.unix_seconds("window_start") / 86400).cast("long").alias("day"), "rule", "n")
 
 
 def masked_stream(spark, sf_dir):
@@ -270,10 +263,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         masked_documents, pii_match_table, detect_all_rules, detect_all_rules_native, report_by_rule, report_totals, level_matrix, hits_by_lang, top_sources_by_hits,
-        documents_without_hits, credit_card_filter, aws_context_filter, home_path_filter, residue_counts, residue_locations, residue_after_masking, entropy_words, entropy_masked,
+        documents_without_hits, credit_card_filter, aws_context_filter, home_path_filter, residue_counts, residue_locations, entropy_words, entropy_masked,
         rule_activation, rule_set_version, json_values, titles, title_paths, metadata_paths, code_blocks, code_anonymized, session_code_names, release_tags, release_titles, hit_windows, masked_stream,
     )
-} | {f"masked_{level}": _masked_at(level) for level in ("minimal", "standard")}
+} | {f"masked_{level}": _masked_at(level) for level in ("minimal", "standard")} | cases.QUERIES
 
 
 def _sql() -> dict[str, str]:
@@ -301,16 +294,15 @@ def _sql() -> dict[str, str]:
     )
     words = "SELECT k, i, word FROM (SELECT k, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM (SELECT k, string_split(t, ' ') AS w FROM (" + _DERIVED + ")))"
     space = r"[\t-\r \x{85}\x{a0}]"
-    fence = "repeat(chr(96), 3)"
+    fence, fenced = "repeat(chr(96), 3)", f"SELECT k, {_FENCED} AS t FROM (SELECT o_orderkey AS k FROM orders)"
     core = "(?:0|[1-9][0-9]*)[.](?:0|[1-9][0-9]*)[.](?:0|[1-9][0-9]*)"
-    user = "'u' || CAST(c_custkey AS VARCHAR)"
     out = {
-        "masked_documents": f"SELECT x.doc_id, a.r || substr(x.t, a.b + 1) AS redacted, coalesce(n, 0) AS n_matches FROM ({O.masked(PII, _DOCS, 'doc_id')}) x LEFT JOIN (SELECT doc_id, count(*) AS n FROM {found(PII, _DOCS, 'doc_id')} GROUP BY doc_id) y ON x.doc_id = y.doc_id",
+        "masked_documents": f"SELECT x.doc_id, a.r || substr(x.t, a.b + 1) AS masked, x.n AS n_matches FROM ({O.masked(PII, _DOCS, 'doc_id')}) x",
         "pii_match_table": f"SELECT doc_id, rule, o AS byte_offset, n AS byte_length FROM {found(PII, _DOCS, 'doc_id')}",
         "detect_all_rules": f"SELECT k, rule, o AS byte_offset, n AS byte_length FROM {found(all_rules)}",
         "detect_all_rules_native": f"SELECT k, rule, o AS byte_offset, n AS byte_length FROM {found(all_rules)}",
         "report_by_rule": f"SELECT rule, {O.rendered('category')} AS category, count(*) AS n FROM {found(at['standard'])} GROUP BY rule, category",
-        "report_totals": f"SELECT count(*) AS total, count(DISTINCT rule) AS n_rules, 'CREDENTIAL,PII,PATH,INTERNAL' AS categories FROM {found(at['standard'])}",
+        "report_totals": f"SELECT count(*) AS total, count(DISTINCT rule) AS n_rules, array_to_string(list_filter(['CREDENTIAL', 'PII', 'PATH', 'INTERNAL'], lambda c: list_contains(list(DISTINCT {O.rendered('category')}), c)), ',') AS categories FROM {found(at['standard'])}",
         "level_matrix": " UNION ALL ".join(f"SELECT '{level}' AS level, category, count(*) AS n FROM {found(at[level])} GROUP BY category" for level in LEVELS),
         "hits_by_lang": f"SELECT lang, rule, count(*) AS n FROM {found(PII, 'SELECT doc_id, lang, text AS t FROM documents', 'doc_id', ', lang')} GROUP BY lang, rule",
         "top_sources_by_hits": f"SELECT d.source, CAST(sum(coalesce(n, 0)) AS BIGINT) AS hits FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM {found(PII, _DOCS, 'doc_id')} GROUP BY doc_id) x ON d.doc_id = x.doc_id GROUP BY d.source ORDER BY hits DESC, source LIMIT 5",
@@ -320,7 +312,7 @@ def _sql() -> dict[str, str]:
         "home_path_filter": f"SELECT k, rule, m AS matched FROM {found(homes)}",
         "residue_counts": f"SELECT rule_id, n FROM (" + " UNION ALL ".join(f"SELECT {O.lit(i)} AS rule_id, CAST(sum(len(regexp_extract_all(t, {O.lit(p)}))) AS BIGINT) AS n FROM ({_DERIVED})" for i, p in R.RESIDUE) + ") WHERE n > 0",
         "residue_locations": "SELECT k, rule AS rule_id, o AS location FROM ("
-        + O.matches(tuple(type(BUILT_IN[0])(i, "secrets", p, "") for i, p in R.RESIDUE if i in ("residue_hex_long", "residue_email", "residue_unix_path")), _DERIVED, "k") + ")",
+        + O.matches(tuple(type(BUILT_IN[0])(i, "secrets", p, "") for i, p in R.RESIDUE), _DERIVED, "k") + ")",
         "entropy_words": f"SELECT k, word FROM ({words}) WHERE {high}",
         "entropy_masked": f"SELECT k, string_agg(CASE WHEN {high} THEN '<HIGH_ENTROPY>' ELSE word END, ' ' ORDER BY i) AS masked FROM ({words}) GROUP BY k",
         "rule_activation": "SELECT * FROM (VALUES " + ", ".join(
@@ -329,17 +321,21 @@ def _sql() -> dict[str, str]:
         "rule_set_version": "SELECT '3.0.0' AS version, CAST(56 AS BIGINT) AS n_rules, CAST(50 AS BIGINT) AS n_residue",
         "json_values": r"""SELECT event_id, '{"props":' || regexp_replace(props, '\s', '', 'g') || ',"user":"\u003cEMAIL\u003e","zeta":' || CAST(event_id AS VARCHAR) || '}' AS line FROM events""",
         "titles": f"SELECT conv_id, turn, CASE WHEN length(text) <= 80 THEN rtrim(text, chr(32) || chr(9) || chr(10) || chr(13)) WHEN regexp_matches(substr(text, 1, 80), '{space}') THEN rtrim(regexp_extract(substr(text, 1, 80), '(?s)^(.*){space}', 1), chr(32) || chr(9) || chr(10) || chr(13)) ELSE substr(text, 1, 80) END AS title, CAST(0 AS BIGINT) AS n_categories FROM conversations WHERE role = 'user'",
-        "title_paths": "SELECT c_custkey, 'open /home/<USER>/<PATH> now' AS title, 'PATH' AS categories FROM customer",
-        "metadata_paths": f"SELECT c_custkey, '/home/<USER>/.claude/projects/-home-<USER>-<PATH>-app/s.jsonl' AS file_path, '/home/<USER>/<PATH>/app' AS cwd, '--home--<USER>--<PATH>--app' AS host_slug, CAST(NULL AS VARCHAR) AS remote, 'main' AS branch, regexp_replace('mail a@' || {user} || '.org', '[a-z]@[a-z0-9]+[.]org', '<EMAIL>') AS message FROM customer",
-        "code_blocks": f"SELECT k, 'python' AS lang, 'total_' || CAST(k % 50 AS VARCHAR) || ' = compute(total_' || CAST(k % 50 AS VARCHAR) || ')' AS content, CAST(4 AS BIGINT) AS start_byte, CAST(4 + 6 + 2 * length('total_' || CAST(k % 50 AS VARCHAR)) + 12 + 4 AS BIGINT) AS end_byte FROM (SELECT o_orderkey AS k FROM orders)",
-        "code_anonymized": f"SELECT o_orderkey AS k, 'see ' || {fence} || 'python' || chr(10) || 'id2 = id1(id2)' || chr(10) || {fence} || ' done' AS text FROM orders",
+        "title_paths": "SELECT c_custkey, regexp_replace(t, '/home/[^/ ]+(/[^ ]+)*', '/home/<USER>/<PATH>') AS title, CASE WHEN contains(t, '/home/') THEN 'PATH' ELSE '' END AS categories FROM (SELECT c_custkey, concat('open /home/u', CAST(c_custkey AS VARCHAR), '/dev/app', CAST(c_custkey % 9 AS VARCHAR), '/main.py now') AS t FROM customer)",
+        "metadata_paths": "SELECT c_custkey, replace(replace(f, '-home-' || u || '-dev-', '-home-<USER>-<PATH>-'), '/home/' || u || '/', '/home/<USER>/') AS file_path, replace('/home/' || u || '/dev/app', '/home/' || u || '/dev/', '/home/<USER>/<PATH>/') AS cwd, replace('--home--' || u || '--dev--app', u || '--dev', '<USER>--<PATH>') AS host_slug, CAST(NULL AS VARCHAR) AS remote, 'main' AS branch, regexp_replace('mail a@' || u || '.org', '[a-z]@[a-z0-9]+[.]org', '<EMAIL>') AS message FROM (SELECT c_custkey, u, '/home/' || u || '/.claude/projects/-home-' || u || '-dev-app/s.jsonl' AS f FROM (SELECT c_custkey, 'u' || CAST(c_custkey AS VARCHAR) AS u FROM customer))",
+        "code_blocks": f"SELECT k, 'python' AS lang, regexp_extract(t, '(?s)`{{3}}[a-z]*\n(.*?)\n`{{3}}', 1) AS content, CAST(strpos(t, {fence}) - 1 AS BIGINT) AS start_byte, CAST(strlen(t) - strlen(' done') AS BIGINT) AS end_byte FROM ({fenced})",
+        "code_anonymized": f"SELECT k, replace(replace(replace(t, 'py' || chr(10), 'python' || chr(10)), 'total_' || CAST(k % 50 AS VARCHAR), 'id2'), 'compute', 'id1') AS text FROM ({fenced})",
         "release_tags": f"SELECT p_partkey, tag, CASE WHEN NOT ok THEN NULL WHEN contains(tag, '-rc') THEN 'prerelease' ELSE 'final' END AS kind, CASE WHEN ok THEN 'v' || regexp_extract(tag, '^v({core})', 1) END AS version FROM (SELECT *, regexp_matches(tag, '^v{core}(-rc[1-9][0-9]*)?$') AS ok FROM (SELECT p_partkey, concat('v', CAST(p_partkey % 4 AS VARCHAR), '.', CAST(p_size AS VARCHAR), '.0', CASE WHEN p_partkey % 3 = 0 THEN concat('-rc', CAST(p_partkey % 5 AS VARCHAR)) ELSE '' END) AS tag FROM part))",
-        "release_titles": "SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE concat('v', CAST(p_partkey % 4 AS VARCHAR), '.', CAST(p_size AS VARCHAR), '.1') END AS version FROM part",
+        "release_titles": f"SELECT p_partkey, nullif(regexp_extract(title, '^release[(](v{core}(?:-rc[1-9][0-9]*)?)[)]: [^\r\n]+$', 1), '') AS version FROM (SELECT p_partkey, concat('release(v', CAST(p_partkey % 4 AS VARCHAR), '.', CAST(p_size AS VARCHAR), CASE WHEN p_partkey % 7 = 0 THEN '' ELSE '.1' END, '): ', p_name) AS title FROM part)",
+        "session_code_names": f"WITH t AS (SELECT conv_id, turn, turn % 3 AS m, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS r FROM conversations), f AS (SELECT conv_id, m, min(r) AS r0 FROM t GROUP BY conv_id, m), g AS (SELECT t.conv_id, t.turn, t.m, t.r, f.r0, (SELECT count(*) FROM f x WHERE x.conv_id = t.conv_id AND x.r0 < t.r) AS d, (SELECT count(*) FROM f x WHERE x.conv_id = t.conv_id AND x.r0 < f.r0) AS d0 FROM t JOIN f ON t.conv_id = f.conv_id AND t.m = f.m) SELECT conv_id, turn, {fence} || 'go' || chr(10) || 'func id' || CAST(r0 + d0 + 2 AS VARCHAR) || '() {{ id' || CAST(r + d + 1 AS VARCHAR) || '() }}' || chr(10) || {fence} AS text FROM g",
     }
+    mails = "SELECT event_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, concat('u', CAST(user_id AS VARCHAR), '@example.org from 10.0.0.', CAST(event_id % 250 AS VARCHAR)) AS t FROM events"
+    out["hit_windows"] = f"SELECT day, rule, count(*) AS n FROM {found(at['standard'], mails, 'event_id', ', day')} GROUP BY day, rule"
     turns = "SELECT conv_id * 100000 + turn AS k, text AS t FROM conversations"
     out["masked_stream"] = f"SELECT k // 100000 AS conv_id, k % 100000 AS turn, a.r || substr(t, a.b + 1) AS text FROM ({O.masked(at['standard'], turns, 'k')})"
     for level in ("minimal", "standard"):
-        out[f"masked_{level}"] = f"SELECT k, a.r || substr(t, a.b + 1) AS redacted FROM ({O.masked(at[level], _DERIVED, 'k')})"
+        out[f"masked_{level}"] = f"SELECT k, a.r || substr(t, a.b + 1) AS masked FROM ({O.masked(at[level], _DERIVED, 'k')})"
+    out |= cases.sql_texts(high, space)
     return {k: v.replace(" AS string)", " AS VARCHAR)") for k, v in out.items()}
 
 

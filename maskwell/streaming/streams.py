@@ -49,3 +49,18 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def run_latest(stream: DataFrame, keys: list[str], out: str, checkpoint: str) -> DataFrame:
+    """Run an aggregated stream over what is there now and return its last row for each key, those of windows still open included.
+
+    Each batch's updates are written under the batch's number, so a batch that is run again replaces itself.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    rows = stream.sparkSession.read.schema(stream.schema.add("batch", "long")).parquet(out)
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(*(F.max_by(c, "batch").alias(c) for c in rest))

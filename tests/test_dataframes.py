@@ -33,7 +33,7 @@ def test_native_and_arrow_agree(spark, texts):
     rules = STANDARD.active_rules
     c = texts.select("id", native.masked(F.col("text"), native.matches(F.col("text"), rules), rules).alias("t"), arrow.masker(spark, STANDARD)(F.col("text")).alias("u"))
     for r in c.collect():
-        assert r["t"] == r["u"] == (None if TEXTS[r["id"]] is None else E.redact_text(TEXTS[r["id"]], STANDARD).text)
+        assert r["t"] == r["u"] == (None if TEXTS[r["id"]] is None else E.mask_text(TEXTS[r["id"]], STANDARD).text)
 
 
 def test_native_plan_has_no_python(spark, texts):
@@ -47,8 +47,8 @@ def test_entropy_expressions(spark):
     assert {r["w"]: r["h"] for r in df.collect()} == {w: E.is_high_entropy(w) for w in words}
 
 
-def test_redactor_struct_and_report(spark, texts):
-    out = {r["id"]: r["r"] for r in texts.select("id", arrow.redactor(spark, STANDARD)(F.col("text")).alias("r")).collect()}
+def test_pipeline_struct_and_report(spark, texts):
+    out = {r["id"]: r["r"] for r in texts.select("id", arrow.pipeline(spark, STANDARD)(F.col("text")).alias("r")).collect()}
     assert out[0]["text"] is None and out[1]["matches"] == [] and not out[2]["failed"]
     row = report.report(arrow.match_table(texts, "text", ["id"], STANDARD)).first()
     assert row["total"] == sum(row["counts"].values()) and row["categories"] == [c for c in ("CREDENTIAL", "PII", "PATH", "INTERNAL") if c in row["categories"]]
@@ -67,21 +67,21 @@ def test_transcript_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.jsonl").write_text('{"m":"a@b.org"}\r\n\nplain a@b.org\n')
     (tmp_path / "in/b.jsonl").write_text('{"m":"a@b.org"}\n' + "x" * 200 + "\n")
-    out = transcripts.redact_lines(transcripts.read_lines(spark, str(tmp_path / "in")), STANDARD, most=100)
+    out = transcripts.mask_lines(transcripts.read_lines(spark, str(tmp_path / "in")), STANDARD, most=100)
     rows = sorted(out.collect(), key=lambda r: (r["file"], r["line_no"]))
     assert [r["line"] for r in rows if not r["too_long"]] == ['{"m":"\\u003cEMAIL\\u003e"}', "", "plain a@b.org"]
     assert [r["line"] for r in rows if r["too_long"]] == ['{"m":"a@b.org"}', "x" * 200]
     transcripts.write_lines(out.filter("NOT too_long"), str(tmp_path / "out"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
     assert text == '{"m":"\\u003cEMAIL\\u003e"}\n\nplain a@b.org\n'
-    docs = transcripts.redact_documents(transcripts.read_documents(spark, str(tmp_path / "in/b.jsonl")), STANDARD)
+    docs = transcripts.mask_documents(transcripts.read_documents(spark, str(tmp_path / "in/b.jsonl")), STANDARD)
     assert docs.first()["document"] == '{"m":"\\u003cEMAIL\\u003e"}'
 
 
 def test_metadata_struct(spark):
     row = ((("/home/ann/x/s.jsonl",), "/home/ann/x", None, ("a@b.org", None, None, None), None, None, None),)
     df = spark.createDataFrame([row, (None,)], "m struct<source:struct<file_path:string>,cwd:string,host_slug:string,git:struct<remote:string,branch:string,worktree:string,tracking:string>,project:struct<file_path:string,name:string>,diagnostics:struct<warnings:array<struct<error_type:string,location:string,message:string,remediation:string>>>,subagents:array<struct<id:string>>>")
-    out = [r["m"] for r in df.select(metadata.redact_metadata(spark, STANDARD, F.col("m")).alias("m")).collect()]
+    out = [r["m"] for r in df.select(metadata.mask_metadata(spark, STANDARD, F.col("m")).alias("m")).collect()]
     assert out[0]["cwd"] == "/home/<USER>/x" and out[0]["git"]["remote"] == "<EMAIL>" and out[0]["host_slug"] is None and out[1] is None
 
 
