@@ -2,7 +2,8 @@
 
 The texts are read once: each run of texts sends its distinct words to the shards of the vocabulary, a shard sums and numbers them, and the
 numbers go back, so that texts become arrays of ids. Every word of the training texts is a unit of the exchange. Clustering and scoring then
-only read the ids. What a task holds is one shard, one run of texts and the class of each id, one byte a word.
+only read the ids. What a task holds is one shard, one run of texts and the classes of the most frequent words, one byte each, of which there is a
+bounded number; the classes of all rarer words stay in a table by shard and travel with the texts that have them.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from maskwell.shipping import map_arrow
 
 #: The most frequent words, which move one after the other on the driver; all others move in their shard's task.
 HEAD_WORDS = 4096
+#: Words whose classes are broadcast, a byte each, the most frequent of each shard.
+BROADCAST_WORDS = 1 << 27
 #: A word that no training text has gets the class that words seen once have most often under its shape, the hash of its last three bytes.
 SHAPES = 2048
 CLASSES = 64
@@ -103,7 +106,7 @@ def _array(batch: pa.RecordBatch, column: str, i: int, kind: type) -> np.ndarray
 _SENT = "kind int, shard int, key long, start long, words binary, shapes binary, counts binary, docs binary, nulls binary, learned binary, lengths binary, codes binary"
 _ANSWER = "kind int, shard int, key long, start long, words binary, shapes binary, counts binary"
 _WHOLE = "kind int, key long, start long, words binary, counts binary, docs binary, nulls binary, learned binary, lengths binary, codes binary"
-_CODED = "docs binary, nulls binary, learned binary, lengths binary, ids binary, base binary, known binary"
+_CODED = "key long, docs binary, nulls binary, learned binary, lengths binary, ids binary, base binary, known binary"
 
 
 def send(docs: DataFrame, n_shards: int) -> DataFrame:
@@ -194,7 +197,7 @@ def assemble(sent: DataFrame, answers: DataFrame) -> DataFrame:
             of = np.repeat(np.arange(len(lengths)), lengths)
             base = np.bincount(of, np.log10(n + DELTA)[codes], minlength=len(lengths))
             known = np.bincount(of, (n > 0)[codes], minlength=len(lengths)).astype(np.int64)
-            return _records(_CODED, [(texts["docs"], texts["nulls"], texts["learned"], texts["lengths"], ids[codes].tobytes(), base.astype(np.float64).tobytes(), known.tobytes())])
+            return _records(_CODED, [(texts["key"], texts["docs"], texts["nulls"], texts["learned"], texts["lengths"], ids[codes].tobytes(), base.astype(np.float64).tobytes(), known.tobytes())])
 
         for batch in batches:
             kind, start = batch.column("kind").to_numpy(), batch.column("start").to_numpy()
@@ -202,7 +205,7 @@ def assemble(sent: DataFrame, answers: DataFrame) -> DataFrame:
                 if kind[i] == 0:
                     if texts:
                         yield done()
-                    texts, parts = {c: batch.column(c)[i].as_py() for c in ("docs", "nulls", "learned", "lengths", "codes")}, []
+                    texts, parts = {c: batch.column(c)[i].as_py() for c in ("key", "docs", "nulls", "learned", "lengths", "codes")}, []
                 else:
                     parts.append((start[i], _array(batch, "words", i, np.int64).copy(), _array(batch, "counts", i, np.int64).copy()))
         if texts:
@@ -216,15 +219,47 @@ def assemble(sent: DataFrame, answers: DataFrame) -> DataFrame:
         return materialize(map_arrow(whole, run, _CODED), "coded_texts", "zstd")
 
 
-def adjoining(batches: Iterator[pa.RecordBatch], end: int, learned: bool = False) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(batch, row in it, before, after, text) of the adjoining ids of each run of texts, of all texts or of those learned."""
+#: The id of the end. Ids below 0 are places from the end of the array of classes: those of the shapes, and before them that of the end.
+END = -1 - SHAPES
+
+
+class Classes:
+    """The class of each id below ``limit`` (a whole number of rows of ids, one for each shard), of the end and of the shapes. Texts carry the classes of other ids."""
+
+    def __init__(self, low: np.ndarray, end: int, shapes: np.ndarray | None = None):
+        self.limit = len(low)
+        shapes = np.full(SHAPES, -1, np.int8) if shapes is None else shapes
+        self.of = np.concatenate([low, [end], shapes[::-1]]).astype(np.int8)
+
+    @property
+    def low(self) -> np.ndarray:
+        return self.of[: self.limit]
+
+    def find(self, ids: np.ndarray, carried: np.ndarray | None) -> np.ndarray:
+        """Classes of ids; ``carried`` are those of the ids from the limit on, in their order."""
+        high = ids >= self.limit
+        if not high.any():
+            return self.of[ids].astype(np.int64)
+        out = self.of[np.where(high, 0, ids)].astype(np.int64)
+        out[high] = carried
+        return out
+
+
+def adjoining(batches: Iterator[pa.RecordBatch], classes: Classes, learned: bool = False) -> Iterator[tuple]:
+    """(batch, row in it, text, ids before, ids after, classes before, classes after) of the adjoining tokens of each run of texts, of all texts or of those learned."""
     for batch in batches:
+        carries = "carried" in batch.schema.names
         for i in range(batch.num_rows):
             lengths, ids = _array(batch, "lengths", i, np.int64), _array(batch, "ids", i, np.int64)
+            of = classes.find(ids, _array(batch, "carried", i, np.int8) if carries else None)
             if learned:
                 wanted = _array(batch, "learned", i, np.uint8).astype(bool)
-                ids, lengths = ids[np.repeat(wanted, lengths)], lengths[wanted]
-            yield batch, i, *with_ends(ids, np.repeat(np.arange(len(lengths)), lengths), len(lengths), end)
+                at = np.repeat(wanted, lengths)
+                ids, of, lengths = ids[at], of[at], lengths[wanted]
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            before, after, text = with_ends(ids, row, len(lengths), END)
+            left, right, _ = with_ends(of, row, len(lengths), int(classes.of[END]))
+            yield batch, i, text, before, after, left, right
 
 
 class Head:
@@ -241,9 +276,13 @@ class Head:
         return np.where(low, self.place[np.where(low, ids, 0)] if len(self.place) else -1, -1)
 
 
-def head_counts(coded: DataFrame, head: Head, classes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _token_columns(coded: DataFrame) -> DataFrame:
+    return coded.select("learned", "lengths", "ids", *[c for c in ("carried",) if c in coded.columns])
+
+
+def head_counts(coded: DataFrame, head: Head, classes: Classes, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """How often each class follows and precedes each head word, how often the word follows itself, and the class bigrams of all learned tokens."""
-    shared, h, end = coded.sparkSession.sparkContext.broadcast((head, classes)), len(head.ids), len(classes) - 1
+    shared, h = coded.sparkSession.sparkContext.broadcast((head, classes)), len(head.ids)
     # One line of cells: two rows of classes for each head word, then the class bigrams, then the head's own bigrams.
     n_cells = 2 * k * h + k * k + h
     group = HEAD_GROUP * 2 * k
@@ -251,8 +290,7 @@ def head_counts(coded: DataFrame, head: Head, classes: np.ndarray, k: int) -> tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_head, of = shared.value
         cells = np.zeros(n_cells, np.int64)
-        for _, _, before, after, _ in adjoining(batches, end, True):
-            left, right = of[before].astype(np.int64), of[after].astype(np.int64)
+        for _, _, _, before, after, left, right in adjoining(batches, of, True):
             one, two = at_head.find(before), at_head.find(after)
             a, b = one >= 0, two >= 0
             both = a & (one == two)
@@ -277,7 +315,7 @@ def head_counts(coded: DataFrame, head: Head, classes: np.ndarray, k: int) -> tu
             yield _records("part int, counts binary", [(of, sums.tobytes())])
 
     with small_batches(coded.sparkSession, 16):
-        sent = map_arrow(coded.select("learned", "lengths", "ids"), run, "part int, cells binary, counts binary")
+        sent = map_arrow(_token_columns(coded), run, "part int, cells binary, counts binary")
         found = map_arrow(sent.repartition("part").sortWithinPartitions("part"), add, "part int, counts binary").toArrow()
     cells = np.zeros(-(-n_cells // group) * group, np.int64)
     for i in range(found.num_rows):
@@ -433,19 +471,24 @@ class Relocation:
         return self._once
 
 
-def move_tail(coded: DataFrame, head: Head, classes: np.ndarray, matrix: np.ndarray, n_shards: int, half: int | None) -> np.ndarray:
-    """The classes after one turn of all words outside the head, or of every other one of them.
+_CONTEXT = "kind int, shard int, words binary, cells binary, counts binary"
+_MOVED = "shard int, words binary, classes binary, state binary"
+
+
+def move_tail(coded: DataFrame, head: Head, classes: Classes, state: DataFrame | None, matrix: np.ndarray, n_shards: int, half: int | None) -> tuple[Classes, DataFrame | None]:
+    """The classes after one turn of all words outside the head, or of every other one of them. ``state`` (shard, state) holds the classes of the ids from the limit on.
 
     Texts are summed to counts of (word, side, class) before the shuffle, so a word that is everywhere costs a task few rows.
     """
-    shared, k, end = coded.sparkSession.sparkContext.broadcast((head, classes, matrix)), len(matrix), len(classes) - 1
+    shared, k = coded.sparkSession.sparkContext.broadcast((head, classes, matrix)), len(matrix)
+    first = classes.limit // n_shards
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_head, of, _ = shared.value
         counts = _Counts()
-        for _, _, before, after, _ in adjoining(batches, end, True):
-            for word, cell in ((before, of[after].astype(np.int64)), (after, k + of[before].astype(np.int64))):
-                rest = (at_head.find(word) < 0) & (word != end)
+        for _, _, _, before, after, left, right in adjoining(batches, of, True):
+            for word, cell in ((before, right), (after, k + left)):
+                rest = (at_head.find(word) < 0) & (word != END)
                 if half is not None:
                     rest &= (word // n_shards + half) % 2 == 0
                 counts.add(word[rest] * (2 * k) + cell[rest])
@@ -456,18 +499,22 @@ def move_tail(coded: DataFrame, head: Head, classes: np.ndarray, matrix: np.ndar
         some, begin = np.unique(shard, return_index=True)
         for s, b, e in zip(some, begin, _ends(begin, len(keys)), strict=True):
             local = keys[b:e] // (2 * k) // n_shards
-            yield _records("shard int, words binary, cells binary, counts binary", [(int(s), local.astype(np.int32).tobytes(), (keys[b:e] % (2 * k)).astype(np.uint8).tobytes(), n[b:e].astype(np.int32).tobytes())])
+            yield _records(_CONTEXT, [(1, int(s), local.astype(np.int32).tobytes(), (keys[b:e] % (2 * k)).astype(np.uint8).tobytes(), n[b:e].astype(np.int32).tobytes())])
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, of, now = shared.value
-        rule, shard, lists = Relocation(now), -1, []
+        rule, shard, rare, lists = Relocation(now), -1, np.zeros(0, np.int8), []
 
         def done() -> pa.RecordBatch:
+            if not lists:
+                return _records(_MOVED, [(shard, b"", b"", rare.tobytes())])
             keys, where = np.unique(np.concatenate([x for x, _ in lists]), return_inverse=True)
             n = np.bincount(where, np.concatenate([x for _, x in lists])).astype(np.int64)
             word, cell = keys // (2 * k), keys % (2 * k)
             local, at = np.unique(word, return_inverse=True)
-            own = of[local * n_shards + shard].astype(np.int64)
+            low = local < first
+            own = np.empty(len(local), np.int64)
+            own[low], own[~low] = of.low[local[low] * n_shards + shard], rare[local[~low] - first]
             right, left = cell < k, cell >= k
             new = own.copy()
             total = np.bincount(at, n)
@@ -484,68 +531,138 @@ def move_tail(coded: DataFrame, head: Head, classes: np.ndarray, matrix: np.ndar
                     mine = side & (number[at] >= 0)
                     sides.append((number[at[mine]] * k + cell[mine] - base, n[mine]))
                 new[more] = rule.best(own[more], *sides)
-            moved = np.flatnonzero(new != own)
-            return _records("shard int, words binary, classes binary", [(shard, local[moved].astype(np.int32).tobytes(), new[moved].astype(np.int8).tobytes())])
+            moved, later = np.flatnonzero((new != own) & low), rare.copy()
+            later[local[~low] - first] = new[~low]
+            return _records(_MOVED, [(shard, local[moved].astype(np.int32).tobytes(), new[moved].astype(np.int8).tobytes(), later.tobytes())])
 
         for batch in batches:
-            of_shard = batch.column("shard").to_numpy()
+            of_shard, kind = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
             for i in range(batch.num_rows):
                 if of_shard[i] != shard:
-                    if lists:
+                    if shard >= 0:
                         yield done()
-                    shard, lists = int(of_shard[i]), []
-                lists.append((_array(batch, "words", i, np.int32).astype(np.int64) * (2 * k) + _array(batch, "cells", i, np.uint8), _array(batch, "counts", i, np.int32).copy()))
-        if lists:
+                    shard, rare, lists = int(of_shard[i]), np.zeros(0, np.int8), []
+                if kind[i] == 0:
+                    rare = _array(batch, "words", i, np.int8).copy()
+                else:
+                    lists.append((_array(batch, "words", i, np.int32).astype(np.int64) * (2 * k) + _array(batch, "cells", i, np.uint8), _array(batch, "counts", i, np.int32).copy()))
+        if shard >= 0:
             yield done()
 
     with small_batches(coded.sparkSession, 16):
-        sent = map_arrow(coded.select("learned", "lengths", "ids"), run, "shard int, words binary, cells binary, counts binary")
-        found = map_arrow(sent.repartition("shard").sortWithinPartitions("shard"), move, "shard int, words binary, classes binary").toArrow()
-    out = classes.copy()
+        sent = map_arrow(_token_columns(coded), run, _CONTEXT)
+        if state is not None:
+            none = F.lit(None).cast("binary")
+            sent = sent.unionByName(state.select(F.lit(0).alias("kind"), "shard", F.col("state").alias("words"), none.alias("cells"), none.alias("counts")))
+        moved = map_arrow(sent.repartition("shard").sortWithinPartitions("shard", "kind"), move, _MOVED)
+        moved = moved if state is None else materialize(moved, "moved_words")
+        found = moved.select("shard", "words", "classes").toArrow()
+    out = classes.of.copy()
     for i in range(found.num_rows):
         local = np.frombuffer(found.column("words")[i].as_buffer(), np.int32).astype(np.int64)
         out[local * n_shards + found.column("shard")[i].as_py()] = np.frombuffer(found.column("classes")[i].as_buffer(), np.int8)
     shared.unpersist()
-    return out
+    return Classes(out[: classes.limit], int(out[END])), None if state is None else moved.select("shard", "state")
+
+
+def carry(coded: DataFrame, state: DataFrame, limit: int, n_shards: int) -> DataFrame:
+    """The coded texts with the classes of their ids from the limit on, brought from the shards' tables."""
+    first, schema = limit // n_shards, _CODED + ", carried binary"
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids = _array(batch, "ids", i, np.int64)
+                high = np.unique(ids[ids >= limit])
+                shard = high % n_shards
+                order = np.argsort(shard, kind="stable")
+                some, begin = np.unique(shard[order], return_index=True)
+                for s, b, e in zip(some, begin, _ends(begin, len(order)), strict=True):
+                    yield _records("kind int, shard int, key long, ids binary, state binary", [(1, int(s), batch.column("key")[i].as_py(), high[order[b:e]].tobytes(), None)])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare = np.zeros(0, np.int8)
+        for batch in batches:
+            for i, kind in enumerate(batch.column("kind").to_pylist()):
+                if kind == 0:
+                    rare = _array(batch, "state", i, np.int8).copy()
+                else:
+                    ids = _array(batch, "ids", i, np.int64)
+                    yield _records("key long, asked binary, classes binary", [(batch.column("key")[i].as_py(), ids.tobytes(), rare[ids // n_shards - first].tobytes())])
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, parts = None, []
+
+        def done() -> pa.RecordBatch:
+            ids = np.frombuffer(row[names.index("ids")], np.int64)
+            asked, of = (np.concatenate([np.frombuffer(p[j], t) for p in parts]) if parts else np.zeros(0, t) for j, t in ((0, np.int64), (1, np.int8)))
+            order = np.argsort(asked)
+            high = ids[ids >= limit]
+            return _records(schema, [(*row, of[order][np.searchsorted(asked[order], high)].tobytes())])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["kind"] == 0:
+                    if row is not None:
+                        yield done()
+                    row, parts = tuple(r[c] for c in names), []
+                else:
+                    parts.append((r["asked"], r["classes"]))
+        if row is not None:
+            yield done()
+
+    names = [f.split()[0] for f in _CODED.split(", ")]
+    none = lambda *columns: [F.lit(None).cast("binary").alias(c) for c in columns]
+    with small_batches(coded.sparkSession, 16):
+        asked = map_arrow(coded.select("key", "ids"), ask, "kind int, shard int, key long, ids binary, state binary")
+        held = state.select(F.lit(0).alias("kind"), "shard", F.lit(0).cast("long").alias("key"), *none("ids"), "state")
+        answers = map_arrow(held.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind"), answer, "key long, asked binary, classes binary")
+        own = coded.select(F.lit(0).alias("kind"), *names, *none("asked", "classes"))
+        back = answers.select(F.lit(1).alias("kind"), "key", *none(*names[1:]), "asked", "classes")
+        whole = own.unionByName(back).repartition("key").sortWithinPartitions("key", "kind")
+        return materialize(map_arrow(whole, put, schema), "coded_texts", "zstd")
 
 
-def cluster(coded: DataFrame, head: Head, classes: np.ndarray, n_shards: int, n_classes: int = CLASSES, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """(class of each id, class transition counts, likelihood before each round and at the end), from ``classes`` where -1 is no word and the last one is the end.
+def cluster(coded: DataFrame, head: Head, classes: Classes, state: DataFrame | None, n_words: int, n_shards: int, n_classes: int = CLASSES, rounds: int | None = None) -> tuple:
+    """(coded texts, classes, state, class transition counts, likelihood before each round and at the end), the first four at their best.
 
     The most frequent words found the classes, all others begin in the last one. In each round the head moves, word by word, and then all other words
     do, on counts under the round's first classes. Words don't see what their neighbours did in the same round, so
     after the first round every other word moves at a time, and the best classes seen are kept; the last pass only measures.
     """
     rounds = ROUNDS if rounds is None else rounds
-    classes = classes.copy()
     n = len(head.ids)
-    classes[head.ids[: n_classes - 1]] = np.arange(min(n_classes - 1, n))
-    has_tail = int((classes[:-1] >= 0).sum()) > n
-    best, values = (classes, np.zeros((n_classes + 1, n_classes + 1))), []
+    low = classes.low.copy()
+    low[head.ids[: n_classes - 1]] = np.arange(min(n_classes - 1, n))
+    classes = Classes(low, n_classes)
+    coded = coded if state is None else carry(coded, state, classes.limit, n_shards)
+    best, values = (coded, classes, state, np.zeros((n_classes + 1, n_classes + 1))), []
     for turn in range(rounds + 1):
         after, before, loops, matrix = head_counts(coded, head, classes, n_classes + 1)
         value = likelihood(matrix)
         if not values or value > max(values):
-            best = (classes, matrix)
+            best = (coded, classes, state, matrix)
         settled = turn > 1 and value - max(values) < SETTLED * abs(value)
         values.append(value)
         if turn == rounds or settled:
             break
         movable = np.arange(n) if turn == 0 else np.arange(turn % 2, n, 2)
-        moved, matrix = exchange(classes[head.ids].astype(np.int64), after, before, loops, movable, matrix)
-        classes = classes.copy()
-        classes[head.ids] = moved
-        if has_tail:
-            classes = move_tail(coded, head, classes, matrix, n_shards, None if turn == 0 else turn)
+        moved, matrix = exchange(low[head.ids].astype(np.int64), after, before, loops, movable, matrix)
+        low = classes.low.copy()
+        low[head.ids] = moved
+        classes = Classes(low, n_classes)
+        if n_words > n:
+            classes, state = move_tail(coded, head, classes, state, matrix, n_shards, None if turn == 0 else turn)
+            low = classes.low
+            coded = coded if state is None else carry(coded, state, classes.limit, n_shards)
     return *best, values
 
 
 class ClassModel:
-    """What scoring needs besides the coded texts. ``classes`` holds the class of each id, then that of the end, then those of the shapes from the last to the
-    first, so that -1 - shape finds its own; ``kinds`` are the distinct words of each class."""
+    """What scoring needs besides the coded texts; ``kinds`` are the distinct words of each class."""
 
-    def __init__(self, classes: np.ndarray, matrix: np.ndarray, kinds: np.ndarray, n_ends: int, n_tokens: int, n_types: int, values: list[float]):
-        self.classes, self.end = classes, len(classes) - SHAPES - 1
+    def __init__(self, classes: Classes, matrix: np.ndarray, kinds: np.ndarray, n_ends: int, n_tokens: int, n_types: int, values: list[float]):
+        self.classes = classes
         self.n_ends, self.n_tokens, self.n_types, self.values = n_ends, n_tokens, n_types, values
         k = len(matrix)
         into = matrix.sum(axis=0)
@@ -556,25 +673,32 @@ class ClassModel:
         self.emission_total[k - 1] = np.log10(n_ends + DELTA)
 
 
-def shape_classes(vocabulary: DataFrame, classes: np.ndarray, n_classes: int, n_shards: int) -> np.ndarray:
-    """For each shape the class that most of its words seen once have; for a shape without any, that of most such words."""
-    shared = vocabulary.sparkSession.sparkContext.broadcast(classes)
+def class_sizes(vocabulary: DataFrame, classes: Classes, state: DataFrame | None, n_classes: int, n_shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct words of each class, the class of each shape: that which most of its words seen once have, for a shape without any that of most such words)."""
+    shared, first = vocabulary.sparkSession.sparkContext.broadcast(classes), classes.limit // n_shards
+    n_cells = SHAPES * n_classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(SHAPES * n_classes, np.int64)
+        out = np.zeros(n_cells + n_classes, np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
                 n, shape = _array(batch, "counts", i, np.int64), _array(batch, "shapes", i, np.int16).astype(np.int64)
+                rare = batch.column("state")[i].as_buffer()
+                of = shared.value.low[batch.column("shard")[i].as_py() :: n_shards][: min(first, len(n))]
+                of = np.concatenate([of, np.frombuffer(rare, np.int8)] if rare is not None else [of]).astype(np.int64)
                 once = np.flatnonzero(n == 1)
-                out += np.bincount(shape[once] * n_classes + shared.value[once * n_shards + batch.column("shard")[i].as_py()], minlength=len(out))
+                out += np.bincount(np.concatenate([shape[once] * n_classes + of[once], n_cells + of]), minlength=len(out))
         some = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(out[some])], ["at", "n"])
 
-    found = map_arrow(vocabulary.select("shard", "counts", "shapes"), run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SHAPES * n_classes)
+    tables = vocabulary.select("shard", "counts", "shapes")
+    tables = tables.withColumn("state", F.lit(None).cast("binary")) if state is None else tables.join(state, "shard", "left")
+    with small_batches(vocabulary.sparkSession, 16):
+        found = map_arrow(tables, run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(n_cells + n_classes, np.int64)
     out[found.column("at").to_numpy()] = found.column("n").to_numpy()
-    out = out.reshape(SHAPES, n_classes)
-    return np.where(out.any(axis=1), out.argmax(axis=1), out.sum(axis=0).argmax()).astype(np.int8)
+    once = out[:n_cells].reshape(SHAPES, n_classes)
+    return out[n_cells:], np.where(once.any(axis=1), once.argmax(axis=1), once.sum(axis=0).argmax()).astype(np.int8)
 
 
 def word_rows(vocabulary: DataFrame, n_shards: int, most: int | None = None) -> DataFrame:
@@ -603,16 +727,20 @@ def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame, DataFrame]:
     with small_batches(docs.sparkSession, 16):
         top = word_rows(vocabulary, n_shards, HEAD_WORDS).orderBy(F.desc("n"), "word").limit(HEAD_WORDS).select("id").toArrow()
     head = Head(top.column("id").to_numpy().astype(np.int64))
-    classes = np.full(max((n for _, n in sizes), default=0) * n_shards + 1, -1, np.int8)
+    # The head's words are the first of their shards, so they are among those whose classes are broadcast.
+    rows = max((n for _, n in sizes), default=0)
+    first = min(rows, max(-(-BROADCAST_WORDS // n_shards), int(head.ids.max()) // n_shards + 1 if len(head.ids) else 0))
+    low = np.full(first * n_shards, -1, np.int8)
     for s, n in sizes:
-        classes[:-1][s::n_shards][:n] = CLASSES - 1
-    classes[-1] = CLASSES
-    classes, matrix, values = cluster(coded, head, classes, n_shards)
-    kinds = np.bincount(classes[classes >= 0], minlength=len(matrix))
-    kinds[-1] = 0
-    unknown = shape_classes(vocabulary, classes, len(matrix), n_shards)
+        low[s::n_shards][:n] = CLASSES - 1
+    state = None
+    if rows > first:
+        start = F.expr(f"repeat('{CLASSES - 1:02x}', CAST(greatest(0, octet_length(counts) div 8 - {first}) AS int))")
+        state = vocabulary.select("shard", F.unhex(start).alias("state"))
+    coded, classes, state, matrix, values = cluster(coded, head, Classes(low, CLASSES), state, sum(n for _, n in sizes), n_shards)
+    kinds, shapes = class_sizes(vocabulary, classes, state, len(matrix), n_shards)
     n_tokens, n_types = int(matrix.sum()), sum(n for _, n in sizes) + (n_ends > 0)
-    model = ClassModel(np.concatenate([classes, unknown[::-1]]), matrix, kinds, n_ends, n_tokens, n_types, values)
+    model = ClassModel(Classes(classes.low, CLASSES, shapes), matrix, kinds, n_ends, n_tokens, n_types, values)
     return model, word_rows(vocabulary, n_shards), coded
 
 
@@ -622,10 +750,9 @@ def score_texts(coded: DataFrame, model: ClassModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch, i, before, after, text in adjoining(batches, m.end):
+        for batch, i, text, _, _, a, b in adjoining(batches, m.classes):
             docs, nulls = _array(batch, "docs", i, np.int64), _array(batch, "nulls", i, np.uint8)
             n = len(docs)
-            a, b = m.classes[before], m.classes[after]
             own = np.bincount(text, m.transition[a, b] - m.emission_total[b], minlength=n)
             base = _array(batch, "base", i, np.float64) + np.log10(m.n_ends + DELTA)
             known = _array(batch, "known", i, np.int64) + (m.n_ends > 0)
@@ -643,7 +770,7 @@ def class_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
     log10 P(text) is the sum over its words and one end of log10 P(class | class before) + log10 P(word | class). P(word | class) =
     (c + 0.1) / (class total + 0.1 (class types + 1)), so unknown words have a share in each class; transitions are smoothed with the
     classes' shares. Perplexity of a text is 10 to the power of -score / n_tokens. Every word of every training text is counted and classed, and the vocabulary
-    never leaves the executors but for one byte a word.
+    never leaves the executors but for the classes of a bounded number of frequent words.
 
     A null or empty text is one end. A null id counts as the empty text for its fold. Repeated rows, of which each is one more text, are scored each; ties between words
     of one count are ordered by their hash. Of a very long text a task holds its ids. Other columns, whatever their names, are not read.

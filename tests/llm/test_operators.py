@@ -182,7 +182,7 @@ def _shape(w):
 def _brute_class_scores(docs, model, ids):
     """Scores from the definition, with the model's classes alone."""
     k = len(model.transition)
-    of = lambda w: model.classes[ids.get(_word_hash(w), -1 - _shape(w))]
+    of = lambda w: model.classes.of[ids.get(_word_hash(w), -1 - _shape(w))]
     learned = [text.split() for _, text, yes in docs if yes]
     count = Counter(w for ws in learned for w in ws)
     bigrams, into, kinds = np.zeros((k, k)), np.zeros(k), Counter(of(w) for w in count)
@@ -219,7 +219,7 @@ def test_class_model_is_a_distribution_and_beats_the_base(spark):
     assert np.allclose((10**model.transition).sum(axis=1), 1)
     total = np.zeros(k)
     for r in rows_of(words_table):
-        c = model.classes[r["id"]]
+        c = model.classes.of[r["id"]]
         total[c] += (r["n"] + class_lm.DELTA) / 10 ** model.emission_total[c]
     assert (total[: k - 1] <= 1 + 1e-9).all() and max(model.values) > model.values[0]
 
@@ -243,8 +243,13 @@ def test_class_scores_follow_from_the_classes(spark, monkeypatch, head):
     got = {r["doc_id"]: r["score"] for r in rows_of(class_lm.score_texts(coded, model))}
     assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
     if head == 40:
+        # Classes that are not broadcast give the same scores.
+        monkeypatch.setattr(class_lm, "BROADCAST_WORDS", 1)
+        again, _, texts = class_lm.fit(spark.createDataFrame(docs, "doc_id long, text string, learned boolean"))
+        assert again.classes.limit < model.classes.limit and again.values == model.values and np.array_equal(again.classes.of[-class_lm.SHAPES :], model.classes.of[-class_lm.SHAPES :])
+        assert {r["doc_id"]: r["score"] for r in rows_of(class_lm.score_texts(texts, again))} == got
         # Those that precede and those that follow the filler words are told apart, though all end alike and most move outside the head.
-        of = {w: model.classes[ids[_word_hash(w)]] for w in [*first, *second] if _word_hash(w) in ids}
+        of = {w: model.classes.of[ids[_word_hash(w)]] for w in [*first, *second] if _word_hash(w) in ids}
         (a, n_a), (b, n_b) = (Counter(of[w] for w in group if w in of).most_common(1)[0] for group in (first, second))
         assert a != b and min(n_a, n_b) > len(of) / 5
 
