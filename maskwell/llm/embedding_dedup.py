@@ -327,3 +327,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, dimensions
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: Exact, by all pairs of a label.
+_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r(node, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.y, r.root FROM r JOIN l ON r.node = l.x),
+m AS (SELECT node, min(root) AS component_id FROM r GROUP BY node),
+k AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+SELECT m.node AS vec_id, CAST(coalesce(k.n_links, 0) AS BIGINT) AS n_links, m.component_id, m.node = m.component_id AS kept FROM m LEFT JOIN k ON m.node = k.x
+"""
+
+SQL = {"op9_embedding_dedup": _SQL}

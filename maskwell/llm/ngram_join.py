@@ -324,3 +324,21 @@ def filter_documents(docs: DataFrame) -> DataFrame:
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes and links of all documents."""
     return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Exact, by all pairs of documents with a common n-gram.
+_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' ')) END) AS g FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS gram FROM s WHERE doc_id IS NOT NULL),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS c FROM e a JOIN e b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p WHERE c >= 0.8 * (nx + ny - c)),
+r(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, r.root FROM r JOIN l ON r.node = l.x),
+m AS (SELECT node, min(root) AS class_id FROM r GROUP BY node),
+k AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+SELECT d.doc_id, m.class_id, CAST(coalesce(k.n_links, 0) AS BIGINT) AS n_links, d.doc_id = m.class_id AS kept FROM documents d JOIN m ON d.doc_id = m.node LEFT JOIN k ON d.doc_id = k.x
+"""
+
+SQL = {"op7_ngram_join": _SQL}

@@ -98,7 +98,11 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
 
     A row is kept unless it fails a base or firm rule, or fails a soft rule on a host whose shrunk
     failure rate is over the limit. Counts are written once without the text; hosts are summed from that table
-    and their verdicts joined back to it. Repeated rows are judged alike; an empty table gives an empty result.
+    and their verdicts joined back to it.
+
+    A null or empty text has zero counts and fails; a null host is a host and a null id an id. Repeated rows are judged alike and count each for their host. A rate
+    that ties with the limit is not over it. Very long texts cost a sort of their own words, in one row. Other columns, whatever their names, are not read.
+    An empty table gives an empty result.
     """
     base = docs.select("doc_id", F.col(host).alias("host"), "text", F.xxhash64("text").alias("text_hash"))
     failures = materialize(rule_failures(text_measures(base)).drop("text"), "rule_failures")

@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**quality_rules.SQL, **sharding.SQL}
+    return {**quality_rules.SQL, **sharding.SQL, **ngram_join.SQL, **embedding_dedup.SQL}

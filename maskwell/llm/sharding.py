@@ -64,5 +64,24 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-#: DuckDB has no crc32, so no oracle; the tests compare the whole result with a brute-force version.
-SQL: dict[str, str] = {}
+#: DuckDB has no crc32, so the SQL works it out byte by byte from a table of 256 steps.
+_SQL = """
+WITH t AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(CAST(n AS BIGINT), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+         lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS steps),
+h AS (SELECT doc_id, source, strlen(coalesce(text, '')) + 1 AS size, string_split(hex(encode(coalesce(text, ''))), '') AS x FROM documents),
+b AS (
+  SELECT doc_id, source, size, CASE WHEN size = 1 THEN CAST([] AS BIGINT[]) ELSE list_transform(range(1, size), lambda i:
+         CAST((instr('0123456789ABCDEF', x[2 * i - 1]) - 1) * 16 + instr('0123456789ABCDEF', x[2 * i]) - 1 AS BIGINT)) END AS bytes FROM h),
+c AS (
+  SELECT doc_id, source, CAST(size AS BIGINT) AS size,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda a, b: xor(a >> 8, steps[(xor(a, b) & 255) + 1])), CAST(4294967295 AS BIGINT)) AS text_crc32 FROM b, t),
+m AS (SELECT *, md5('interleave|' || coalesce(CAST(doc_id AS VARCHAR), '~') || '|' || CAST(text_crc32 AS VARCHAR)) AS name FROM c),
+r AS (
+  SELECT *, (2 * (row_number() OVER (PARTITION BY source ORDER BY name, doc_id, text_crc32) - 1) + 1) / CAST(2 * count(*) OVER (PARTITION BY source) AS DOUBLE) AS f,
+         count(*) OVER () AS n FROM m),
+o AS (SELECT *, row_number() OVER (ORDER BY f, source NULLS LAST, name, doc_id, text_crc32) - 1 AS at_row FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(at_row * 8 // n AS INTEGER) AS shard, CAST(at_row - ((at_row * 8 // n) * n + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM o
+"""
+
+SQL = {"op6_sharding": _SQL}
