@@ -143,19 +143,21 @@ def match_table(df: DataFrame, text: str, keys: list[str], policy: Policy) -> Da
 def anonymize_sessions(df: DataFrame, session: str, order: str, text: str) -> DataFrame:
     """Code anonymized with names that each session shares, in the order of its turns.
 
-    Sessions are dealt out and sorted by Spark; a task then streams its rows and holds the names of one session, never its texts.
+    Sessions are dealt out and sorted by Spark; a task then streams its rows and holds the names of one session, never its texts. A row without a
+    session is a session of its own.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, names_of = object(), engine.Anonymizer()
+        current, names_of = None, engine.Anonymizer()
         for batch in batches:
             out = []
             for key, t in zip(batch.column(session).to_pylist(), batch.column(text).to_pylist(), strict=True):
-                if key != current:
+                if key is None or key != current:
                     current, names_of = key, engine.Anonymizer()
                 out.append(None if t is None else names_of.text(t))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == text else batch.column(n) for n in names], names)
 
-    return map_arrow(df.repartition(session).sortWithinPartitions(session, order), run, schema)
+    known = df.filter(F.col(session).isNotNull()).repartition(session).sortWithinPartitions(session, order)
+    return map_arrow(known, run, schema).unionByName(map_arrow(df.filter(F.col(session).isNull()), run, schema))

@@ -147,6 +147,37 @@ def entropy_prefilters(spark, sf_dir):
     return keys.select("k", F.expr(word).alias("word")).select("k", "word", native.high_entropy(F.col("word")).alias("high"), (arrow.entropy_masker(spark)("word") == "<HIGH_ENTROPY>").alias("masked"))
 
 
+#: White space as the entropy pass sees it.
+_WHITE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def documents_detected(spark, sf_dir):
+    """Matches of all rules in all whole documents."""
+    found = arrow.match_table(_read(spark, sf_dir, "documents"), "text", ["doc_id"], MAXIMUM)
+    return found.select("doc_id", "rule", F.col("offset").cast("long").alias("byte_offset"), F.col("length").cast("long").alias("byte_length"))
+
+
+def documents_masked_standard(spark, sf_dir):
+    """All whole documents masked at level standard."""
+    return _read(spark, sf_dir, "documents").select("doc_id", arrow.masker(spark, STANDARD)("text").alias("masked"))
+
+
+def documents_masked_maximum(spark, sf_dir):
+    """All whole documents masked at level maximum. No SQL: the words of high entropy are replaced where they stand, between any white space."""
+    return _read(spark, sf_dir, "documents").select("doc_id", arrow.masker(spark, MAXIMUM)("text").alias("masked"))
+
+
+def documents_residue(spark, sf_dir):
+    """Warnings per residue rule over all whole documents."""
+    return report.warning_counts(_read(spark, sf_dir, "documents").select(arrow.residue_scanner(spark, previews=False)("text").alias("warnings")))
+
+
+def documents_entropy(spark, sf_dir):
+    """Words of all whole documents that the entropy pass would mask; expressions only."""
+    words = _read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", native.portable(_WHITE))).alias("word"))
+    return words.filter(native.high_entropy(F.col("word")))
+
+
 _CASES = (("mail", "to a@example.org", "email", "match"), ("no_mail", "to a at example.org", "email", "no_match"), ("ssn", "id 123-45-6789", "ssn", "match"), ("not_ssn", "id 1123-45-6789", "ssn", "no_match"), ("image", "FROM org/app:1", "docker_image_ref", "match"), ("branch", "* feature/x", "git_branch_output", "match"))
 
 
@@ -197,7 +228,7 @@ def policy_checks(spark, sf_dir):
     return spark.createDataFrame(rows, "name string, parts string")
 
 
-QUERIES = {f.__name__: f for f in (masked_maximum, user_rules, applied_matches, residue_previews, residue_after_masking, fallback_masked, transcript_lines, json_documents, title_cases, code_languages, entropy_prefilters, fixture_cases, detect_table_function, unknown_rules, policy_checks)}
+QUERIES = {f.__name__: f for f in (masked_maximum, user_rules, applied_matches, residue_previews, residue_after_masking, fallback_masked, transcript_lines, json_documents, title_cases, code_languages, entropy_prefilters, fixture_cases, detect_table_function, unknown_rules, policy_checks, documents_detected, documents_masked_standard, documents_masked_maximum, documents_residue, documents_entropy)}
 
 
 def sql_texts(high: str, space: str) -> dict[str, str]:
@@ -250,7 +281,12 @@ def sql_texts(high: str, space: str) -> dict[str, str]:
     word = "CASE k % 7 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(shapes)) + " END"
     pattern = {r.id: r.pattern for r in BUILT_IN}
     found = f"({O.matches(STANDARD.active_rules, derived, 'k')})"
+    docs = "SELECT doc_id, text AS t FROM documents"
     return {
+        "documents_detected": f"SELECT doc_id, rule, o AS byte_offset, n AS byte_length FROM ({O.matches(MAXIMUM.active_rules, docs, 'doc_id')})",
+        "documents_masked_standard": f"SELECT doc_id, a.r || substr(t, a.b + 1) AS masked FROM ({O.masked(STANDARD.active_rules, docs, 'doc_id')})",
+        "documents_residue": "SELECT rule_id, n FROM (" + " UNION ALL ".join(f"SELECT {O.lit(i)} AS rule_id, CAST(sum(len(regexp_extract_all(text, {O.lit(p)}))) AS BIGINT) AS n FROM documents" for i, p in R.RESIDUE) + ") WHERE n > 0",
+        "documents_entropy": f"SELECT doc_id, word FROM (SELECT doc_id, unnest(string_split_regex(text, {O.lit(_WHITE)})) AS word FROM documents) WHERE {high}",
         "masked_maximum": split(of(MAXIMUM.active_rules, derived)),
         "user_rules": f"SELECT a.k, a.masked AS minimal, b.masked AS standard FROM ({of(users['minimal'], more)}) a JOIN ({of(users['standard'], more)}) b ON a.k = b.k",
         "applied_matches": f"SELECT k, n AS n_matches, CAST(n_applied AS BIGINT) AS n_applied FROM ({of(STANDARD.active_rules, derived)})",

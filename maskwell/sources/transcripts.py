@@ -40,5 +40,5 @@ def mask_documents(docs: DataFrame, policy: Policy) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """Text files with the lines in order inside each of them; every line ends with a newline."""
-    lines.repartition("file").sortWithinPartitions("file", "line_no").select("line").write.option("lineSep", "\n").text(path)
+    """Text files with the lines in order by file and line, inside each part and from part to part, so that a long transcript is no single task; every line ends with a newline."""
+    lines.repartitionByRange("file", "line_no").sortWithinPartitions("file", "line_no").select("line").write.option("lineSep", "\n").text(path)

@@ -41,6 +41,25 @@ def test_native_plan_has_no_python(spark, texts):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_many_matches_in_one_text_take_little_time(spark):
+    import time
+
+    text = " ".join(f"u{i}é@example.org" for i in range(4000))
+    df = spark.createDataFrame([(text,)], "text string").select(native.matches(F.col("text"), queries.PII).alias("m"))
+    began = time.perf_counter()
+    found = df.first()["m"]
+    assert time.perf_counter() - began < 20
+    assert [(m["rule"], m["offset"], m["length"], m["begin"]) for m in found] == [(m.rule.id, m.offset, m.length, m.begin) for m in E.detect(text, queries.PII)]
+
+
+def test_last_window_of_a_stream_is_there(spark, tmp_path):
+    rows = [(f"2024-01-0{d} 10:00:00", "a@b.org") for d in (1, 1, 2, 3)]
+    spark.createDataFrame(rows, "ts string, text string").selectExpr("CAST(ts AS timestamp) AS ts", "text").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, text string").parquet(str(tmp_path / "in"))
+    out = streams.run_latest(streams.hit_rates(stream, "text", "ts", STANDARD, "1 day"), ["window_start", "rule"], str(tmp_path / "out"), str(tmp_path / "state"))
+    assert sorted(r["n"] for r in out.collect()) == [1, 1, 2]
+
+
 def test_entropy_expressions(spark):
     words = ["aB3xQ9mZ7kL2pR8nT4vY6wU1sE5jC0dF", "abcdefghijklmnopqrstuvwxyz", "12345678901234567890123", "$" + "aB3x" * 9, "x" * 30, "0f" * 16, "01234567-89ab-cdef-0123-456789abcdef", "short"]
     df = spark.createDataFrame([(w,) for w in words], "w string").select("w", native.high_entropy(F.col("w")).alias("h"))
@@ -109,10 +128,10 @@ def test_fixture_cases(spark):
 
 
 def test_sessions_share_names(spark):
-    rows = [("s", 2, "```go\nbeta(alpha)\n```"), ("s", 1, "```go\nalpha()\n```"), ("t", 1, "```go\nzeta()\n```"), (None, 1, None)]
+    rows = [("s", 2, "```go\nbeta(alpha)\n```"), ("s", 1, "```go\nalpha()\n```"), ("t", 1, "```go\nzeta()\n```"), (None, 1, None), (None, 2, "```go\nbeta()\n```"), (None, 3, "```go\nzeta()\n```")]
     df = spark.createDataFrame(rows, "s string, n int, text string")
     out = {(r["s"], r["n"]): r["text"] for r in arrow.anonymize_sessions(df, "s", "n", "text").collect()}
-    assert out == {("s", 1): "```go\nid1()\n```", ("s", 2): "```go\nid2(id1)\n```", ("t", 1): "```go\nid1()\n```", (None, 1): None}
+    assert out == {("s", 1): "```go\nid1()\n```", ("s", 2): "```go\nid2(id1)\n```", ("t", 1): "```go\nid1()\n```", (None, 1): None, (None, 2): "```go\nid1()\n```", (None, 3): "```go\nid1()\n```"}
 
 
 def test_session_stream_keeps_names_between_batches(spark, tmp_path):
@@ -126,7 +145,7 @@ def test_session_stream_keeps_names_between_batches(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
-@pytest.mark.parametrize("name", ["masked_documents", "detect_all_rules", "masked_standard", "report_by_rule", "entropy_masked", "json_values", "titles", "metadata_paths", "release_tags"])
+@pytest.mark.parametrize("name", ["masked_documents", "detect_all_rules", "masked_standard", "report_by_rule", "entropy_masked", "json_values", "titles", "metadata_paths", "release_tags", "masked_maximum", "user_rules", "residue_previews", "fallback_masked", "transcript_lines", "title_cases", "hit_windows", "session_code_names", "documents_detected"])
 def test_queries_equal_their_oracle(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
