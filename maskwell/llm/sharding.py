@@ -81,7 +81,7 @@ r AS (
   SELECT *, (2 * (row_number() OVER (PARTITION BY source ORDER BY name, doc_id, text_crc32) - 1) + 1) / CAST(2 * count(*) OVER (PARTITION BY source) AS DOUBLE) AS f,
          count(*) OVER () AS n FROM m),
 o AS (SELECT *, row_number() OVER (ORDER BY f, source NULLS LAST, name, doc_id, text_crc32) - 1 AS at_row FROM r)
-SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(at_row * 8 // n AS INTEGER) AS shard, CAST(at_row - ((at_row * 8 // n) * n + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM o
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(at_row * 8 // n AS INTEGER) AS shard, CAST(at_row - ((at_row * 8 // n) * n + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS DOUBLE) AS grown_shard FROM o
 """
 
 SQL = {"op6_sharding": _SQL}
