@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -178,15 +180,10 @@ def documents_entropy(spark, sf_dir):
     return words.filter(native.high_entropy(F.col("word")))
 
 
-_CASES = (("mail", "to a@example.org", "email", "match"), ("no_mail", "to a at example.org", "email", "no_match"), ("ssn", "id 123-45-6789", "ssn", "match"), ("not_ssn", "id 1123-45-6789", "ssn", "no_match"), ("image", "FROM org/app:1", "docker_image_ref", "match"), ("branch", "* feature/x", "git_branch_output", "match"))
-
-
 def fixture_cases(spark, sf_dir):
-    """Cases from YAML with what each expects and whether its rule fires."""
-    quoted = "\n".join(f"- {{name: {n}, input: '{t}', rule: {r}, expect: {e}, level: maximum}}" for n, t, r, e in _CASES)
-    cases = fixtures.load_cases(spark, f"cases:\n{quoted}\n")
+    """The package's own cases with what each expects and whether its rule fires."""
     fired = F.exists(arrow.detector(spark, MAXIMUM)("input"), lambda m: m["rule"] == F.col("rule"))
-    return cases.select("name", "expect", fired.alias("fired"))
+    return fixtures.built_in_cases(spark).select("name", "expect", fired.alias("fired"))
 
 
 def detect_table_function(spark, sf_dir):
@@ -279,7 +276,9 @@ def sql_texts(high: str, space: str) -> dict[str, str]:
     ) + " END"
     shapes = ["substr('abcdefghijklmnopqrstuvwxyz', 1, CAST(20 + k % 7 AS INT))", "'$' || h || upper(g)", "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(g, 1, 4) || '-' || substr(g, 5, 4) || '-' || substr(g, 9, 12)", "CAST(k * 7919 AS VARCHAR) || '00000000000000000001' || CAST(k AS VARCHAR)", "h", "substr(h, 1, 10) || upper(substr(g, 1, 12)) || 'XyZ+/'", "repeat('ab', 15)"]
     word = "CASE k % 7 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(shapes)) + " END"
-    pattern = {r.id: r.pattern for r in BUILT_IN}
+    # One line of the YAML is one case.
+    parts = re.findall(r"^- \{name: (\w+), input: '((?:[^']|'')*)', rule: (\w+), expect: (\w+),", fixtures.built_in_text(), re.M)
+    listed = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t}', '{r}', '{e}')" for n, t, r, e in parts) + ") AS c(name, t, rule, expect)"
     found = f"({O.matches(STANDARD.active_rules, derived, 'k')})"
     docs = "SELECT doc_id, text AS t FROM documents"
     return {
@@ -298,7 +297,7 @@ def sql_texts(high: str, space: str) -> dict[str, str]:
         "title_cases": f"SELECT k, CASE WHEN kind IN (1, 2, 3) THEN {wrong} WHEN kind = 0 THEN {mails(f'trim({clean})')} || '|PII' WHEN kind = 6 THEN trim(turn) || '|' ELSE {capped(both)} || '|' || {categories} END AS generate, {sanitized} AS sanitize, CASE WHEN kind IN (1, 2, 3) THEN {wrong} WHEN kind = 0 THEN trim({clean}) || '|' ELSE {capped('trim(turn)')} || '|' END AS simple FROM ({kinds})",
         "code_languages": f"SELECT k, 'see ' || {code} || chr(10) || {_FENCE} || ' done ' || CAST(k AS VARCHAR) AS text FROM (SELECT o_orderkey AS k FROM orders)",
         "entropy_prefilters": f"SELECT k, word, {high} AS high, {high} AS masked FROM (SELECT k, {word} AS word FROM (SELECT c_custkey AS k, md5(CAST(c_custkey AS VARCHAR)) AS h, md5('x' || CAST(c_custkey AS VARCHAR)) AS g FROM customer))",
-        "fixture_cases": " UNION ALL ".join(f"SELECT {O.lit(n)} AS name, {O.lit(e)} AS expect, regexp_matches({O.lit(t)}, {O.lit(pattern[r])}) AS fired" for n, t, r, e in _CASES),
+        "fixture_cases": f"SELECT c.name, c.expect, EXISTS (SELECT 1 FROM ({O.matches(BUILT_IN, listed, 'name')}) m WHERE m.name = c.name AND m.rule = c.rule) AS fired FROM ({listed}) c",
         "detect_table_function": f"SELECT k, rule, category, o AS byte_offset, n AS byte_length FROM ({O.matches(STANDARD.active_rules, customers, 'k')})",
         "unknown_rules": f"SELECT CASE WHEN k % 3 = 0 THEN 'other' ELSE rule END AS rule, CASE WHEN k % 3 = 0 THEN 'secrets' ELSE category END AS category, count(*) AS n FROM {found} GROUP BY ALL",
         "policy_checks": " UNION ALL ".join(f"SELECT '{name}' AS name, '{'accepted' if good else 'what,why,where,when,means,fix' + ',cause' * (name in ('bad_pattern', 'look_ahead'))}' AS parts" for name, (_, good) in _CHECKS.items()),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import DataFrame, SparkSession
 
 from maskwell.errors import ActionableError
@@ -10,6 +12,15 @@ from maskwell.plans.policy import LEVELS
 SCHEMA = "name string, input string, rule string, expect string, level string, reason string, source string"
 
 
+def built_in_text() -> str:
+    """The YAML of the package's own cases: for each rule an input on which it fires and one on which it does not."""
+    return resources.files("maskwell.sources").joinpath("cases.yaml").read_text("utf-8")
+
+
+def built_in_cases(spark: SparkSession) -> DataFrame:
+    return load_cases(spark, built_in_text())
+
+
 def load_cases(spark: SparkSession, text: str, key: str | None = None) -> DataFrame:
     """The cases of a YAML text (a list, or a mapping with the list under ``key`` or as its only list). The level defaults to standard."""
     import yaml

@@ -127,6 +127,11 @@ def test_fixture_cases(spark):
         load_cases(spark, "- {name: a, input: x, rule: email, expect: match, level: none}\n")
 
 
+def test_built_in_cases_hold(spark):
+    rows = queries.QUERIES["fixture_cases"](spark, SF).collect()
+    assert len(rows) == 2 * len(BUILT_IN) and all(r["fired"] == (r["expect"] == "match") for r in rows)
+
+
 def test_sessions_share_names(spark):
     rows = [("s", 2, "```go\nbeta(alpha)\n```"), ("s", 1, "```go\nalpha()\n```"), ("t", 1, "```go\nzeta()\n```"), (None, 1, None), (None, 2, "```go\nbeta()\n```"), (None, 3, "```go\nzeta()\n```")]
     df = spark.createDataFrame(rows, "s string, n int, text string")
