@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from maskwell.llm.textvec import blocks, mix
 from maskwell.shipping import map_arrow
+from maskwell.sources.tables import read_table
 
 ORDER = 4
 #: About so many distinct labelled texts of a language are learned from, dealt by a hash; a tenth of them calibrate.
@@ -50,13 +51,12 @@ def letters_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(letter, codes, 32)[keep].astype(np.uint64), np.where(counted, row, -1), counted
 
 
-def grams(codes: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n codes that end at each place; places before the n-th hold what there is."""
-    h = np.zeros(len(codes), np.uint64)
+def grams(codes: np.ndarray, n: int, places: np.ndarray | None = None) -> np.ndarray:
+    """Hash of the n codes that end at each of the places, or at all; before the first code stand spaces."""
+    padded = np.concatenate([np.full(n, 32, np.uint64), codes])
+    h = np.zeros(len(codes) if places is None else len(places), np.uint64)
     for back in range(n - 1, -1, -1):
-        shifted = np.full(len(codes), 32, np.uint64)
-        shifted[back:] = codes[: len(codes) - back]
-        h = h * _SEED + shifted + _U(1)
+        h = h * _SEED + (padded[n - back : len(padded) - back] if places is None else padded[places + (n - back)]) + _U(1)
     return mix(h + _U(n))
 
 
@@ -108,6 +108,32 @@ class KneserNey:
         return np.log(p)
 
 
+class Merged:
+    """One table of several models: the keys that any of them has, sorted, and for each the models that have it with their values."""
+
+    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]], missing: float):
+        self.n, self.missing = len(tables), missing
+        keys = np.concatenate([k for k, _ in tables])
+        order = np.argsort(keys, kind="stable")
+        self.keys, begin = np.unique(keys[order], return_index=True)
+        self.begin = np.append(begin, len(keys))
+        self.model = np.repeat(np.arange(self.n), [len(k) for k, _ in tables])[order]
+        self.value = np.concatenate([v for _, v in tables])[order]
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """[key, model]: values, ``missing`` where a model does not have the key."""
+        out = np.full((len(keys), self.n), self.missing)
+        if not len(self.keys):
+            return out
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        row = np.flatnonzero(self.keys[at] == keys)
+        begin, count = self.begin[at[row]], self.begin[at[row] + 1] - self.begin[at[row]]
+        # Places begin, begin + 1, ... of each key, one after the other.
+        flat = np.arange(int(count.sum())) + np.repeat(begin - (np.cumsum(count) - count), count)
+        out[np.repeat(row, count), self.model[flat]] = self.value[flat]
+        return out
+
+
 class Limit:
     """What entropies a language's own texts have: mean and variance by length, and how many deviations above the mean are too many."""
 
@@ -143,7 +169,10 @@ class LanguageModels:
     def __init__(self, texts: dict[str, list[str]], held: dict[str, list[str]], order: int = ORDER):
         self.names = sorted(texts)
         self.order = order
-        self.models = [KneserNey(texts[k], order) for k in self.names]
+        models = [KneserNey(texts[k], order) for k in self.names]
+        self.floor = models[0].floor if models else 0.0
+        self.probability = [Merged([m.probability[n] for m in models], 0.0) for n in range(order)] if models else []
+        self.weight = [Merged([m.weight[n] for m in models], 1.0) for n in range(order)] if models else []
         self.temperature, self.limits = 10.0, [None] * len(self.names)
         scored, truth = [], []
         for k, name in enumerate(self.names):
@@ -184,15 +213,17 @@ class LanguageModels:
         first = np.empty(len(distinct), np.int64)
         first[number[::-1]] = np.arange(len(at))[::-1]
         place = at[first]
-        hashes = {n: grams(codes, n)[place] for n in range(1, self.order + 1)}
-        before = {0: np.zeros(len(place), np.uint64)} | {n: grams(codes, n)[np.maximum(place - 1, 0)] for n in range(1, self.order)}
+        hashes = {n: grams(codes, n, place) for n in range(1, self.order + 1)}
+        before = {0: np.zeros(len(place), np.uint64)} | {n: grams(codes, n, np.maximum(place - 1, 0)) for n in range(1, self.order)}
         n_codes = np.bincount(row, minlength=len(texts)).astype(np.int64)
         letters = np.bincount(row, (codes[at] != 32).astype(float), minlength=len(texts))
-        out = np.zeros((len(texts), len(self.models)))
-        keys, contexts = [hashes[n] for n in range(1, self.order + 1)], [before[n] for n in range(self.order)]
-        for k, model in enumerate(self.models):
-            values = model.log_probability(keys, contexts) if len(place) else np.zeros(0)
-            out[:, k] = -np.bincount(row, values[number], minlength=len(texts)) / np.maximum(n_codes, 1)
+        out = np.zeros((len(texts), len(self.names)))
+        p = np.full((len(place), len(self.names)), self.floor)
+        for n in range(self.order):
+            p = self.probability[n].find(hashes[n + 1]) + self.weight[n].find(before[n]) * p
+        values = np.log(p)
+        for k in range(len(self.names)):
+            out[:, k] = -np.bincount(row, values[number, k], minlength=len(texts)) / np.maximum(n_codes, 1)
         return out, np.where(letters > 0, n_codes, 0)
 
     def confidence(self, entropy: np.ndarray, temperature: float | None = None) -> np.ndarray:
@@ -252,7 +283,7 @@ def identify(docs: DataFrame, models: LanguageModels) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those outside the fifth fold."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     models = learn(docs.filter(fold(F.col("doc_id"), 5) != 0))
     out = identify(docs, models)
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
