@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from maskwell.llm.common import materialize
 from maskwell.llm.textvec import blocks, find_words, hash_keys, hash_words, lower_ascii, mix, unit_interval
 from maskwell.shipping import map_arrow
+from maskwell.sources.tables import read_table
 
 BUCKETS = 1 << 14
 #: The target model is fitted on about so many labelled rows at most, those with the smallest hashes.
@@ -22,9 +23,9 @@ SEED = 11
 #: independent ones, and so many times the mean log ratio is its log weight. 0 gives the plain sum, in which what chance did to the model's
 #: counts outweighs all else in long texts.
 CORRELATION = 0.01
-#: One of so many target rows is held out of the fit to calibrate the cut, which lies so many standard deviations below their mean, or
-#: at the smallest of them if that is lower. With fewer held-out rows than LEAST_HELD all target rows calibrate.
-HELD_OUT, DEVIATIONS, LEAST_HELD = 5, 4.0, 8
+#: One of so many target rows is held out of the fit to calibrate the cut, which lies so many standard deviations below the lowest of them: good rows that
+#: nobody labelled reach a little further down. With fewer held-out rows than LEAST_HELD all target rows calibrate.
+HELD_OUT, DEVIATIONS, LEAST_HELD = 5, 1.0, 8
 
 
 def buckets_of(data: np.ndarray, offsets: np.ndarray, n: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -129,12 +130,12 @@ def resample(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS,
     counts = count_ngrams(marked.select("text", (F.col("role") == 1).alias("is_target")), buckets).collect()
     scores = materialize(score(marked, log_ratios(counts, buckets), seed, correlation), "importance")
     if k is None:
-        target = scores.filter("role > 0 AND n_ngrams > 0").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.min("log_weight").alias("low"), F.avg("log_weight").alias("mean"), F.stddev_pop("log_weight").alias("sd"))
+        target = scores.filter("role > 0 AND n_ngrams > 0").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.min("log_weight").alias("low"), F.stddev_pop("log_weight").alias("sd"))
         found = {r["role"]: r for r in target.collect()}
         if not found:
             return scores.withColumn("kept", F.lit(True)).drop("role")
         use = [found[2]] if 2 in found and found[2]["n"] >= LEAST_HELD else found.values()
-        limit = min(min(r["low"], r["mean"] - DEVIATIONS * r["sd"]) for r in use)
+        limit = min(r["low"] - DEVIATIONS * r["sd"] for r in use)
         k = scores.filter(F.col("log_weight") >= F.lit(limit)).count()
     limit = kth_largest(scores, "gumbel_key", k)
     return scores.withColumn("kept", F.col("gumbel_key") >= F.lit(limit)).drop("role")
@@ -148,5 +149,5 @@ def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight and verdict of every document."""
-    out = resample(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = resample(read_table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.select("doc_id", "n_ngrams", "log_weight", "gumbel_key", "kept")
