@@ -19,6 +19,7 @@ from maskwell.llm.common import discard, materialize, small_batches
 from maskwell.llm.language_id import fold
 from maskwell.llm.textvec import blocks, find_words, hash_words, lower_ascii, mix
 from maskwell.shipping import map_arrow
+from maskwell.sources.tables import read_table
 
 #: The most frequent words, which move one after the other on the driver; all others move in their shard's task.
 HEAD_WORDS = 4096
@@ -783,4 +784,4 @@ def class_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
 
 def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents."""
-    return class_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return class_scores(read_table(spark, sf_dir, "documents"))

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from maskwell.llm.common import materialize, small_batches
 from maskwell.llm.components import Merging, components
 from maskwell.shipping import map_arrow
+from maskwell.sources.tables import read_table
 
 THRESHOLD = 0.98
 #: Leading principal dimensions of the grid and of the boxes; any orthonormal ones give the same result, these skip most.
@@ -326,7 +327,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, dimensions
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
 #: Exact, by all pairs of a label.

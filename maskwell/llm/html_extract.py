@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from maskwell.llm.textvec import blocks
 from maskwell.shipping import map_arrow
+from maskwell.sources.tables import read_table
 
 #: Paths are selected whose score reaches this share of the scores' standard deviation.
 THRESHOLD = 0.5
@@ -299,4 +300,4 @@ def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
-    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return extract_pages(read_table(spark, sf_dir, "pages"))

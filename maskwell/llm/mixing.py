@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from maskwell.llm.common import materialize, n_words, ranked
 from maskwell.llm.textvec import blocks, find_words, hash_keys
 from maskwell.shipping import map_arrow
+from maskwell.sources.tables import read_table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -222,7 +223,7 @@ def taken_words(docs: DataFrame) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
-    return taken_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return taken_words(read_table(spark, sf_dir, "documents"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:

@@ -15,6 +15,7 @@ from maskwell.llm.common import SPACES, discard, materialize
 from maskwell.llm.components import components
 from maskwell.llm.textvec import blocks, find_words, hash_words, mix
 from maskwell.shipping import map_arrow
+from maskwell.sources.tables import read_table
 
 THRESHOLD, N_WORDS = 0.8, 5
 #: Share of the pairs at the threshold that the bands find; more similar pairs are found more surely.
@@ -323,7 +324,7 @@ def filter_documents(docs: DataFrame) -> DataFrame:
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes and links of all documents."""
-    return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return similar_documents(read_table(spark, sf_dir, "documents"))
 
 
 #: Exact, by all pairs of documents with a common n-gram.

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from maskwell.llm.common import materialize
 from maskwell.llm.textvec import blocks
 from maskwell.shipping import group_arrow, map_arrow
+from maskwell.sources.tables import read_table
 
 CAPACITY = 1024
 #: Pieces that one task packs; each group is packed on its own, which costs at most a few part-filled
@@ -91,7 +92,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     Each item goes where the sum over gaps of the squared number of open bins with that gap becomes smallest, of equals to the tightest. As the
     aim is few bins, two placements go before the sum: an open bin that the item fills is always taken, and an item of at most half a bin opens
     no new one while an open bin has room; a longer item opens one where that makes the smaller sum. Over lengths in descending order this ends
-    within a bin or so of the least number; with the sum alone, half a percent more bins are opened.
+    within a bin or so of the least number; with the sum alone, one percent more bins are opened.
     """
     count = np.zeros(capacity + 1, np.int64)
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -153,7 +154,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_RO
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in sequences of at most 1024 tokens."""
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwell.llm.common import SPACES, materialize, words
+from maskwell.sources.tables import read_table
 
 #: Limits of the rules, as shares. A row over a firm limit fails by itself; a row over a soft limit fails
 #: where its host fails.
@@ -120,7 +121,7 @@ def filter_documents(docs: DataFrame, host: str = "source") -> DataFrame:
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict for every document."""
-    judged = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    judged = judge(read_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from maskwell.llm.common import materialize, pieces_of, ranked
+from maskwell.sources.tables import read_table
 
 
 def interleave(rows: DataFrame, n_shards: int, stratum: str = "source", ties: tuple[str, ...] = ("doc_id",), seed: str = "interleave") -> DataFrame:
@@ -59,7 +60,7 @@ def describe_documents(docs: DataFrame) -> DataFrame:
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 7 under the law ``rows``. Copies of a text are rows like any others."""
-    docs = materialize(describe_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")), "sizes")
+    docs = materialize(describe_documents(read_table(spark, sf_dir, "documents")), "sizes")
     out = interleave(docs, 8, ties=("doc_id", "text_crc32"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
