@@ -12,9 +12,10 @@ from maskwell.functions import engine
 from maskwell.functions import rules as R
 from maskwell.operators import arrow, native, report, sql
 from maskwell.plans import oracle as O
-from maskwell.plans.derived import derived_sql
+from maskwell.plans.derived import derived, derived_sql
 from maskwell.plans.policy import BUILT_IN, LEVELS, MAXIMUM_ONLY, Policy, Rule, ScannerConfig, UserPattern, XdgPaths, validate_category, validate_rules
 from maskwell.sources import fixtures, transcripts
+from maskwell.sources.tables import read_table
 
 MAXIMUM = Policy("maximum", code_mode="regex")
 STANDARD, MINIMAL = Policy("standard"), Policy("minimal")
@@ -25,52 +26,40 @@ USER = {
 _FENCE = "concat(chr(96), chr(96), chr(96))"
 
 
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def _derived(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(derived_sql("{orders}"), orders=_read(spark, sf_dir, "orders"))
-
-
-def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(derived_sql("{customer}", "c_custkey"), customer=_read(spark, sf_dir, "customer"))
-
-
 def masked_maximum(spark, sf_dir):
     """The derived texts masked at level maximum: rules, then words of high entropy."""
-    return _derived(spark, sf_dir).select("k", arrow.masker(spark, MAXIMUM)("text").alias("masked"))
+    return derived(spark, sf_dir).select("k", arrow.masker(spark, MAXIMUM)("text").alias("masked"))
 
 
 def user_rules(spark, sf_dir):
     """User patterns (of three categories, with a named class and groups) and a rule for a base directory, at two levels."""
-    texts = _derived(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" of /data/alice/share/"), F.col("k").cast("string")))
+    texts = derived(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" of /data/alice/share/"), F.col("k").cast("string")))
     return texts.select("k", *(arrow.masker(spark, USER[level])("text").alias(level) for level in ("minimal", "standard")))
 
 
 def applied_matches(spark, sf_dir):
     """Matches of each derived text, and how many changed it: overlapping ones are counted but not applied."""
-    c = _derived(spark, sf_dir).select("k", arrow.applied_counter(spark, STANDARD)("text").alias("c"))
+    c = derived(spark, sf_dir).select("k", arrow.applied_counter(spark, STANDARD)("text").alias("c"))
     return c.select("k", F.col("c.matches").cast("long").alias("n_matches"), F.col("c.applied").cast("long").alias("n_applied"))
 
 
 def residue_previews(spark, sf_dir):
     """All warnings of all residue rules as they are shown, with their masked previews."""
-    w = _customers(spark, sf_dir).select("k", F.explode(arrow.residue_scanner(spark)("text")).alias("w"))
+    w = derived(spark, sf_dir, "customer", "c_custkey").select("k", F.explode(arrow.residue_scanner(spark)("text")).alias("w"))
     shown = F.concat(F.lit("[residue:"), "w.rule_id", F.lit(" at "), F.col("w.location").cast("string"), F.lit("] "), "w.preview")
     return w.select("k", shown.alias("warning"))
 
 
 def residue_after_masking(spark, sf_dir):
     """Warnings with previews that remain after masking at level standard."""
-    r = _customers(spark, sf_dir).select("k", arrow.pipeline(spark, STANDARD)("text").alias("r"))
+    r = derived(spark, sf_dir, "customer", "c_custkey").select("k", arrow.pipeline(spark, STANDARD)("text").alias("r"))
     return r.select("k", F.explode("r.warnings").alias("w")).select("k", "w.rule_id", F.col("w.location").cast("long").alias("location"), "w.preview")
 
 
 def fallback_masked(spark, sf_dir):
     """Texts with a code fence as the fallback masks them: no filters, all levels, code hidden."""
     fenced = F.expr(f"concat(text, chr(10), {_FENCE}, 'py', chr(10), 'secret = ', CAST(k AS string), chr(10), {_FENCE}, chr(10), 'tail ', CAST(k AS string))")
-    return _customers(spark, sf_dir).select("k", arrow.fallback_masker(spark, USER["minimal"])(fenced).alias("masked"))
+    return derived(spark, sf_dir, "customer", "c_custkey").select("k", arrow.fallback_masker(spark, USER["minimal"])(fenced).alias("masked"))
 
 
 _LINES = {
@@ -88,7 +77,7 @@ _LINES = {
 def transcript_lines(spark, sf_dir):
     """Lines of transcripts of a line size below 120 bytes: returns, blank and broken lines, trailing text, half surrogates, repeated keys. A file with a longer line stays as it is."""
     case = "CASE event_id % 8 " + " ".join(f"WHEN {i} THEN {text}" for i, text in _LINES.items()) + " END"
-    raw = _read(spark, sf_dir, "events").select(F.expr("concat('f', CAST(event_id % 11 AS string))").alias("file"), F.col("event_id").alias("line_no"), F.expr(case).alias("value"))
+    raw = read_table(spark, sf_dir, "events").select(F.expr("concat('f', CAST(event_id % 11 AS string))").alias("file"), F.col("event_id").alias("line_no"), F.expr(case).alias("value"))
     lines = raw.select("file", "line_no", transcripts.without_return(F.col("value")).alias("line"))
     return transcripts.mask_lines(lines, STANDARD, most=120).select("line_no", "line", "too_long")
 
@@ -96,7 +85,7 @@ def transcript_lines(spark, sf_dir):
 def json_documents(spark, sf_dir):
     """Whole JSON documents over several lines; one that is no JSON stays as it is."""
     text = F.expr("""concat(CASE WHEN event_id % 5 = 0 THEN '{broken ' ELSE '' END, '{', chr(10), '  "user": "u', CAST(user_id AS string), '@example.org",', chr(10), '  "ids": [', CAST(event_id AS string), ', 1.0]', chr(10), '}', chr(10))""")
-    docs = _read(spark, sf_dir, "events").select("event_id", text.alias("document"))
+    docs = read_table(spark, sf_dir, "events").select("event_id", text.alias("document"))
     return transcripts.mask_documents(docs, STANDARD)
 
 
@@ -115,7 +104,7 @@ _TURNS = {
 def title_cases(spark, sf_dir):
     """Titles generated, sanitized and simple from eight shapes of turns, with their categories and the first line of the error of malformed ones."""
     case = "CASE CAST(k AS bigint) % 8 " + " ".join(f"WHEN {i} THEN {text}" for i, text in _TURNS.items()) + " END"
-    turns = _read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k")).withColumn("turn", F.expr(case))
+    turns = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k")).withColumn("turn", F.expr(case))
     project = "/home/ann/dev/app"
     made = {mode: arrow.title_maker(spark, mode, "claude-code", project)("turn") for mode in ("generate", "sanitize", "simple")}
     out = turns.select("k", *(c.alias(mode) for mode, c in made.items()))
@@ -137,7 +126,7 @@ _CODE = {
 def code_languages(spark, sf_dir):
     """Code in fences of all languages anonymized, each text by itself; languages that are not known stay."""
     case = "CASE k % 7 " + " ".join(f"WHEN {i} THEN concat({_FENCE}, '{hint}', chr(10), replace({O.lit(code)}, 'total', concat('total_', CAST(k % 50 AS string))), chr(10), {_FENCE})" for i, (hint, _, code, _) in _CODE.items()) + " END"
-    texts = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).withColumn("text", F.expr(f"concat('see ', {case}, ' done ', CAST(k AS string))"))
+    texts = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).withColumn("text", F.expr(f"concat('see ', {case}, ' done ', CAST(k AS string))"))
     return texts.select("k", arrow.code_anonymizer(spark)("text").alias("text"))
 
 
@@ -145,7 +134,7 @@ def entropy_prefilters(spark, sf_dir):
     """Long words of six shapes and whether each would be masked: runs of an alphabet, variables, identifiers, digits, hexadecimal, mixed."""
     shapes = ["substr('abcdefghijklmnopqrstuvwxyz', 1, CAST(20 + k % 7 AS int))", "concat('$', h, upper(g))", "concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-', substr(g, 1, 4), '-', substr(g, 5, 4), '-', substr(g, 9, 12))", "concat(CAST(k * 7919 AS string), '00000000000000000001', CAST(k AS string))", "h", "concat(substr(h, 1, 10), upper(substr(g, 1, 12)), 'XyZ+/')", "repeat('ab', 15)"]
     word = "CASE k % 7 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(shapes)) + " END"
-    keys = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.expr("md5(CAST(c_custkey AS string))").alias("h"), F.expr("md5(concat('x', CAST(c_custkey AS string)))").alias("g"))
+    keys = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.expr("md5(CAST(c_custkey AS string))").alias("h"), F.expr("md5(concat('x', CAST(c_custkey AS string)))").alias("g"))
     return keys.select("k", F.expr(word).alias("word")).select("k", "word", native.high_entropy(F.col("word")).alias("high"), (arrow.entropy_masker(spark)("word") == "<HIGH_ENTROPY>").alias("masked"))
 
 
@@ -155,28 +144,28 @@ _WHITE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\
 
 def documents_detected(spark, sf_dir):
     """Matches of all rules in all whole documents."""
-    found = arrow.match_table(_read(spark, sf_dir, "documents"), "text", ["doc_id"], MAXIMUM)
+    found = arrow.match_table(read_table(spark, sf_dir, "documents"), "text", ["doc_id"], MAXIMUM)
     return found.select("doc_id", "rule", F.col("offset").cast("long").alias("byte_offset"), F.col("length").cast("long").alias("byte_length"))
 
 
 def documents_masked_standard(spark, sf_dir):
     """All whole documents masked at level standard."""
-    return _read(spark, sf_dir, "documents").select("doc_id", arrow.masker(spark, STANDARD)("text").alias("masked"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", arrow.masker(spark, STANDARD)("text").alias("masked"))
 
 
 def documents_masked_maximum(spark, sf_dir):
     """All whole documents masked at level maximum. No SQL: the words of high entropy are replaced where they stand, between any white space."""
-    return _read(spark, sf_dir, "documents").select("doc_id", arrow.masker(spark, MAXIMUM)("text").alias("masked"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", arrow.masker(spark, MAXIMUM)("text").alias("masked"))
 
 
 def documents_residue(spark, sf_dir):
     """Warnings per residue rule over all whole documents."""
-    return report.warning_counts(_read(spark, sf_dir, "documents").select(arrow.residue_scanner(spark, previews=False)("text").alias("warnings")))
+    return report.warning_counts(read_table(spark, sf_dir, "documents").select(arrow.residue_scanner(spark, previews=False)("text").alias("warnings")))
 
 
 def documents_entropy(spark, sf_dir):
     """Words of all whole documents that the entropy pass would mask; expressions only."""
-    words = _read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", native.portable(_WHITE))).alias("word"))
+    words = read_table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", native.portable(_WHITE))).alias("word"))
     return words.filter(native.high_entropy(F.col("word")))
 
 
@@ -189,12 +178,12 @@ def fixture_cases(spark, sf_dir):
 def detect_table_function(spark, sf_dir):
     """Matches from the table function, called laterally."""
     name = sql.register_table_function(spark, STANDARD)
-    return spark.sql(f"SELECT k, d.rule, d.category, d.byte_offset, d.byte_length FROM {{t}}, LATERAL {name}(text) AS d", t=_customers(spark, sf_dir))
+    return spark.sql(f"SELECT k, d.rule, d.category, d.byte_offset, d.byte_length FROM {{t}}, LATERAL {name}(text) AS d", t=derived(spark, sf_dir, "customer", "c_custkey"))
 
 
 def unknown_rules(spark, sf_dir):
     """Counts by rule and category of matches of which every third is of a rule that is not known: it counts as a secret."""
-    found = arrow.match_table(_derived(spark, sf_dir), "text", ["k"], STANDARD)
+    found = arrow.match_table(derived(spark, sf_dir), "text", ["k"], STANDARD)
     odd = F.col("k") % 3 == 0
     return report.rule_counts(found.withColumn("category", F.when(~odd, F.col("category"))).withColumn("rule", F.when(odd, "other").otherwise(F.col("rule"))))
 
@@ -230,7 +219,7 @@ QUERIES = {f.__name__: f for f in (masked_maximum, user_rules, applied_matches,
 
 def sql_texts(high: str, space: str) -> dict[str, str]:
     """SQL of the queries; ``high`` is the test of a column ``word``, ``space`` a class of white space."""
-    derived, customers = (f"SELECT k, text AS t FROM ({x})" for x in (derived_sql(), derived_sql("customer", "c_custkey")))
+    of_orders, customers = (f"SELECT k, text AS t FROM ({x})" for x in (derived_sql(), derived_sql("customer", "c_custkey")))
     of = lambda rules, source: f"SELECT k, a.r || substr(t, a.b + 1) AS masked, a.c AS n_applied, n FROM ({O.masked(rules, source, 'k')})"
     split = lambda source: f"SELECT k, string_agg(CASE WHEN {high} THEN '<HIGH_ENTROPY>' ELSE word END, ' ' ORDER BY i) AS masked FROM (SELECT k, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM (SELECT k, string_split(masked, ' ') AS w FROM ({source}))) GROUP BY k"
     every = (*MAXIMUM_ONLY, *(r for r in BUILT_IN if r.minimum != "maximum"))
@@ -279,16 +268,16 @@ def sql_texts(high: str, space: str) -> dict[str, str]:
     # One line of the YAML is one case.
     parts = re.findall(r"^- \{name: (\w+), input: '((?:[^']|'')*)', rule: (\w+), expect: (\w+),", fixtures.built_in_text(), re.M)
     listed = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t}', '{r}', '{e}')" for n, t, r, e in parts) + ") AS c(name, t, rule, expect)"
-    found = f"({O.matches(STANDARD.active_rules, derived, 'k')})"
+    found = f"({O.matches(STANDARD.active_rules, of_orders, 'k')})"
     docs = "SELECT doc_id, text AS t FROM documents"
     return {
         "documents_detected": f"SELECT doc_id, rule, o AS byte_offset, n AS byte_length FROM ({O.matches(MAXIMUM.active_rules, docs, 'doc_id')})",
         "documents_masked_standard": f"SELECT doc_id, a.r || substr(t, a.b + 1) AS masked FROM ({O.masked(STANDARD.active_rules, docs, 'doc_id')})",
         "documents_residue": "SELECT rule_id, n FROM (" + " UNION ALL ".join(f"SELECT {O.lit(i)} AS rule_id, CAST(sum(len(regexp_extract_all(text, {O.lit(p)}))) AS BIGINT) AS n FROM documents" for i, p in R.RESIDUE) + ") WHERE n > 0",
         "documents_entropy": f"SELECT doc_id, word FROM (SELECT doc_id, unnest(string_split_regex(text, {O.lit(_WHITE)})) AS word FROM documents) WHERE {high}",
-        "masked_maximum": split(of(MAXIMUM.active_rules, derived)),
+        "masked_maximum": split(of(MAXIMUM.active_rules, of_orders)),
         "user_rules": f"SELECT a.k, a.masked AS minimal, b.masked AS standard FROM ({of(users['minimal'], more)}) a JOIN ({of(users['standard'], more)}) b ON a.k = b.k",
-        "applied_matches": f"SELECT k, n AS n_matches, CAST(n_applied AS BIGINT) AS n_applied FROM ({of(STANDARD.active_rules, derived)})",
+        "applied_matches": f"SELECT k, n AS n_matches, CAST(n_applied AS BIGINT) AS n_applied FROM ({of(STANDARD.active_rules, of_orders)})",
         "residue_previews": f"SELECT k, '[residue:' || rule || ' at ' || CAST(o AS VARCHAR) || '] ' || preview AS warning FROM ({warnings(customers)})",
         "residue_after_masking": f"SELECT k, rule AS rule_id, o AS location, preview FROM ({warnings(f'SELECT k, masked AS t FROM ({of(STANDARD.active_rules, customers)})')})",
         "fallback_masked": split(spent),

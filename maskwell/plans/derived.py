@@ -5,6 +5,10 @@ The tables hold only a few kinds of sensitive text, so most rules are shown on t
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from maskwell.sources.tables import read_table
+
 #: Per template: the SQL of a token, from h and g (two md5 texts of the key) and their upper-case forms u and v.
 TOKENS = (
     "concat('sk-ant-api03-', h)",
@@ -79,3 +83,8 @@ def derived_sql(table: str = "orders", key: str = "o_orderkey") -> str:
         f"SELECT k, concat('entry ', CAST(k AS string), ' is ', CASE k % {n} {cases} END, CASE WHEN k % 5 = 0 THEN concat(' and ', CASE k % {n} {again} END) ELSE '' END, ' end') AS text "
         f"FROM (SELECT {key} AS k, md5(CAST({key} AS string)) AS h, md5(concat('x', CAST({key} AS string))) AS g, upper(md5(CAST({key} AS string))) AS u, upper(md5(concat('x', CAST({key} AS string)))) AS v FROM {table}) d"
     )
+
+
+def derived(spark: SparkSession, sf_dir: str, table: str = "orders", key: str = "o_orderkey") -> DataFrame:
+    """The texts of a table's keys. The SQL names its table through a parameter, so no view stays in the session's catalog."""
+    return spark.sql(derived_sql("{source}", key), source=read_table(spark, sf_dir, table).select(key))

@@ -10,8 +10,9 @@ from maskwell.functions.documents import TAG_PATTERN, TITLE_PATTERN
 from maskwell.operators import arrow, metadata, native, report
 from maskwell.plans import cases
 from maskwell.plans import oracle as O
-from maskwell.plans.derived import derived_sql
+from maskwell.plans.derived import derived, derived_sql
 from maskwell.plans.policy import BUILT_IN, CATEGORIES, LEVELS, Policy, level_ordinal
+from maskwell.sources.tables import read_table
 from maskwell.streaming import streams
 
 PII = tuple(r for r in BUILT_IN if r.category == "pii")
@@ -21,42 +22,33 @@ _DOCS = "SELECT doc_id, text AS t FROM documents"
 _DERIVED = f"SELECT k, text AS t FROM ({derived_sql()})"
 
 
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def _derived(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The SQL names its table through a parameter, so no view stays in the session's catalog.
-    return spark.sql(derived_sql("{orders}"), orders=_read(spark, sf_dir, "orders"))
-
-
 def masked_documents(spark, sf_dir):
     """PII masked in all documents by expressions alone, and how many matches each had."""
-    docs = _read(spark, sf_dir, "documents").withColumn("m", native.matches(F.col("text"), PII))
+    docs = read_table(spark, sf_dir, "documents").withColumn("m", native.matches(F.col("text"), PII))
     return docs.select("doc_id", native.masked(F.col("text"), F.col("m"), PII).alias("masked"), F.size("m").cast("long").alias("n_matches"))
 
 
 def pii_match_table(spark, sf_dir):
     """Every PII match of the documents with its byte offset and length; expressions only."""
-    docs = _read(spark, sf_dir, "documents").select("doc_id", F.explode(native.matches(F.col("text"), PII)).alias("m"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.explode(native.matches(F.col("text"), PII)).alias("m"))
     return docs.select("doc_id", F.col("m.rule").alias("rule"), F.col("m.offset").cast("long").alias("byte_offset"), F.col("m.length").cast("long").alias("byte_length"))
 
 
 def detect_all_rules(spark, sf_dir):
     """All 56 rules over the derived texts through Arrow batches."""
-    found = arrow.match_table(_derived(spark, sf_dir), "text", ["k"], _P["maximum"])
+    found = arrow.match_table(derived(spark, sf_dir), "text", ["k"], _P["maximum"])
     return found.select("k", "rule", F.col("offset").cast("long").alias("byte_offset"), F.col("length").cast("long").alias("byte_length"))
 
 
 def detect_all_rules_native(spark, sf_dir):
     """The same rows from expressions."""
-    found = _derived(spark, sf_dir).select("k", F.explode(native.matches(F.col("text"), BUILT_IN)).alias("m"))
+    found = derived(spark, sf_dir).select("k", F.explode(native.matches(F.col("text"), BUILT_IN)).alias("m"))
     return found.select("k", F.col("m.rule").alias("rule"), F.col("m.offset").cast("long").alias("byte_offset"), F.col("m.length").cast("long").alias("byte_length"))
 
 
 def _masked_at(level):
     def query(spark, sf_dir):
-        texts = _derived(spark, sf_dir)
+        texts = derived(spark, sf_dir)
         return texts.select("k", arrow.masker(spark, _P[level])(F.col("text")).alias("masked"))
 
     query.__doc__ = f"The derived texts masked at level {level}."
@@ -65,19 +57,19 @@ def _masked_at(level):
 
 def report_by_rule(spark, sf_dir):
     """Matches per rule and category of the derived texts at level standard."""
-    found = arrow.match_table(_derived(spark, sf_dir), "text", ["k"], _P["standard"])
+    found = arrow.match_table(derived(spark, sf_dir), "text", ["k"], _P["standard"])
     return report.rule_counts(found).select("rule", native.rendered(F.col("category")).alias("category"), "n")
 
 
 def report_totals(spark, sf_dir):
     """One row: total, number of rules that fired, rendered categories."""
-    out = report.report(arrow.match_table(_derived(spark, sf_dir), "text", ["k"], _P["standard"]))
+    out = report.report(arrow.match_table(derived(spark, sf_dir), "text", ["k"], _P["standard"]))
     return out.select("total", F.size("counts").cast("long").alias("n_rules"), F.array_join("categories", ",").alias("categories"))
 
 
 def level_matrix(spark, sf_dir):
     """Matches per level and category: one detection at level maximum, each rule counted for the levels it is active at."""
-    counts = report.rule_counts(arrow.match_table(_derived(spark, sf_dir), "text", ["k"], _P["maximum"]))
+    counts = report.rule_counts(arrow.match_table(derived(spark, sf_dir), "text", ["k"], _P["maximum"]))
     levels = F.lit(None).cast("array<string>")
     for level in LEVELS:
         active = [r.id for r in BUILT_IN if r.effective_minimum == level]
@@ -86,18 +78,18 @@ def level_matrix(spark, sf_dir):
 
 
 def hits_by_lang(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").select("lang", F.explode(native.matches(F.col("text"), PII)).alias("m"))
+    docs = read_table(spark, sf_dir, "documents").select("lang", F.explode(native.matches(F.col("text"), PII)).alias("m"))
     return docs.groupBy("lang", F.col("m.rule").alias("rule")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_sources_by_hits(spark, sf_dir):
     """The five sources with the most PII matches."""
-    docs = _read(spark, sf_dir, "documents").select("source", F.size(native.matches(F.col("text"), PII)).alias("n"))
+    docs = read_table(spark, sf_dir, "documents").select("source", F.size(native.matches(F.col("text"), PII)).alias("n"))
     return docs.groupBy("source").agg(F.sum("n").cast("long").alias("hits")).orderBy(F.desc("hits"), "source").limit(5)
 
 
 def documents_without_hits(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents")
+    docs = read_table(spark, sf_dir, "documents")
     return docs.filter(F.size(native.matches(F.col("text"), PII)) == 0).select("doc_id")
 
 
@@ -106,41 +98,41 @@ def credit_card_filter(spark, sf_dir):
     rule = next(r for r in PII if r.id == "credit_card")
     raw = F.size(F.regexp_extract_all("text", F.lit(native.portable(rule.pattern)), F.lit(0)))
     kept = F.size(native.matches(F.col("text"), (rule,)))
-    return _derived(spark, sf_dir).agg(F.sum(raw).cast("long").alias("raw"), F.sum(kept).cast("long").alias("kept"))
+    return derived(spark, sf_dir).agg(F.sum(raw).cast("long").alias("raw"), F.sum(kept).cast("long").alias("kept"))
 
 
 def aws_context_filter(spark, sf_dir):
     """40-character keys that have AWS context within 200 bytes."""
     rule = next(r for r in BUILT_IN if r.id == "aws_secret_key")
-    return _derived(spark, sf_dir).select("k", F.explode(native.matches(F.col("text"), (rule,))).alias("m")).select("k", F.col("m.offset").cast("long").alias("byte_offset"))
+    return derived(spark, sf_dir).select("k", F.explode(native.matches(F.col("text"), (rule,))).alias("m")).select("k", F.col("m.offset").cast("long").alias("byte_offset"))
 
 
 def home_path_filter(spark, sf_dir):
     """Home paths, single and spaced, with the filter that leaves the first words of spaced names to the other rule."""
     rules = tuple(r for r in BUILT_IN if r.id.endswith(("home_path", "home_path_spaced")))
-    return _derived(spark, sf_dir).select("k", F.explode(native.matches(F.col("text"), rules)).alias("m")).select("k", F.col("m.rule").alias("rule"), F.col("m.matched").alias("matched"))
+    return derived(spark, sf_dir).select("k", F.explode(native.matches(F.col("text"), rules)).alias("m")).select("k", F.col("m.rule").alias("rule"), F.col("m.matched").alias("matched"))
 
 
 def residue_counts(spark, sf_dir):
     """Warnings per residue rule over the unmasked derived texts."""
-    scanned = _derived(spark, sf_dir).select(arrow.residue_scanner(spark, previews=False)(F.col("text")).alias("warnings"))
+    scanned = derived(spark, sf_dir).select(arrow.residue_scanner(spark, previews=False)(F.col("text")).alias("warnings"))
     return report.warning_counts(scanned)
 
 
 def residue_locations(spark, sf_dir):
     """Place of each warning of all residue rules."""
-    scanned = _derived(spark, sf_dir).select("k", F.explode(arrow.residue_scanner(spark, previews=False)(F.col("text"))).alias("w"))
+    scanned = derived(spark, sf_dir).select("k", F.explode(arrow.residue_scanner(spark, previews=False)(F.col("text"))).alias("w"))
     return scanned.select("k", F.col("w.rule_id").alias("rule_id"), F.col("w.location").cast("long").alias("location"))
 
 
 def entropy_words(spark, sf_dir):
     """Words of the derived texts that the entropy pass would mask; expressions only."""
-    word = _derived(spark, sf_dir).select("k", F.explode(F.split("text", " ")).alias("word"))
+    word = derived(spark, sf_dir).select("k", F.explode(F.split("text", " ")).alias("word"))
     return word.filter(native.high_entropy(F.col("word")))
 
 
 def entropy_masked(spark, sf_dir):
-    return _derived(spark, sf_dir).select("k", arrow.entropy_masker(spark)(F.col("text")).alias("masked"))
+    return derived(spark, sf_dir).select("k", arrow.entropy_masker(spark)(F.col("text")).alias("masked"))
 
 
 def rule_activation(spark, sf_dir):
@@ -156,25 +148,25 @@ def rule_set_version(spark, sf_dir):
 def json_values(spark, sf_dir):
     """String values of JSON masked, keys and numbers untouched, keys sorted."""
     mail = "concat('{\"zeta\": ', CAST(event_id AS string), ', \"user\": \"u', CAST(user_id AS string), '@example.org\", \"props\": ', props, '}')"
-    events = _read(spark, sf_dir, "events").select("event_id", F.expr(mail).alias("j"))
+    events = read_table(spark, sf_dir, "events").select("event_id", F.expr(mail).alias("j"))
     return events.select("event_id", arrow.json_masker(spark, _P["standard"])(F.col("j")).alias("line"))
 
 
 def titles(spark, sf_dir):
     """Titles of first user turns, from texts without anything to mask: cut at the last space within 80 code points."""
-    first = _read(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", arrow.title_maker(spark)(F.col("text")).alias("t"))
+    first = read_table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", arrow.title_maker(spark)(F.col("text")).alias("t"))
     return first.select("conv_id", "turn", F.col("t.text").alias("title"), F.size("t.categories").cast("long").alias("n_categories"))
 
 
 def title_paths(spark, sf_dir):
     """Home paths in titles collapse below the user."""
-    texts = _read(spark, sf_dir, "customer").select("c_custkey", F.expr("concat('open /home/u', CAST(c_custkey AS string), '/dev/app', CAST(c_custkey % 9 AS string), '/main.py now')").alias("text"))
+    texts = read_table(spark, sf_dir, "customer").select("c_custkey", F.expr("concat('open /home/u', CAST(c_custkey AS string), '/dev/app', CAST(c_custkey % 9 AS string), '/main.py now')").alias("text"))
     return texts.select("c_custkey", arrow.title_maker(spark)(F.col("text")).alias("t")).select("c_custkey", F.col("t.text").alias("title"), F.array_join("t.categories", ",").alias("categories"))
 
 
 def metadata_paths(spark, sf_dir):
     """Session metadata with the user and the folders above the project replaced in paths and slugs."""
-    c = _read(spark, sf_dir, "customer")
+    c = read_table(spark, sf_dir, "customer")
     user = F.concat(F.lit("u"), F.col("c_custkey").cast("string"))
     home = F.concat(F.lit("/home/"), user)
     null = F.lit(None).cast("string")
@@ -195,27 +187,27 @@ _FENCED = "concat('see ', chr(96), chr(96), chr(96), 'py', chr(10), 'total_', CA
 
 def code_blocks(spark, sf_dir):
     """Fenced blocks with their language and byte range."""
-    texts = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).withColumn("text", F.expr(_FENCED))
+    texts = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).withColumn("text", F.expr(_FENCED))
     b = texts.select("k", F.explode(arrow.code_extractor(spark)(F.col("text"))).alias("b"))
     return b.select("k", "b.lang", "b.content", F.col("b.start_byte").cast("long").alias("start_byte"), F.col("b.end_byte").cast("long").alias("end_byte"))
 
 
 def code_anonymized(spark, sf_dir):
-    texts = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).withColumn("text", F.expr(_FENCED))
+    texts = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).withColumn("text", F.expr(_FENCED))
     return texts.select("k", arrow.code_anonymizer(spark)(F.col("text")).alias("text"))
 
 
 def session_code_names(spark, sf_dir):
     """Names that all turns of a conversation share."""
     code = F.concat(F.lit("```go\nfunc "), F.concat(F.lit("name"), (F.col("turn") % 3).cast("string")), F.lit("() { call"), F.col("turn").cast("string"), F.lit("() }\n```"))
-    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", code.alias("text"))
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", code.alias("text"))
     return arrow.anonymize_sessions(turns, "conv_id", "turn", "text")
 
 
 def release_tags(spark, sf_dir):
     """Kind and version of release tags, null for what is no tag."""
     tag = "concat('v', CAST(p_partkey % 4 AS string), '.', CAST(p_size AS string), '.0', CASE WHEN p_partkey % 3 = 0 THEN concat('-rc', CAST(p_partkey % 5 AS string)) ELSE '' END)"
-    t = _read(spark, sf_dir, "part").select("p_partkey", F.expr(tag).alias("tag"))
+    t = read_table(spark, sf_dir, "part").select("p_partkey", F.expr(tag).alias("tag"))
     ok = F.regexp_like("tag", F.lit(native.portable(TAG_PATTERN)))
     rc = F.regexp_extract("tag", native.portable(TAG_PATTERN), 2)
     return t.select("p_partkey", "tag", F.when(ok, F.when(rc != "", "prerelease").otherwise("final")).alias("kind"), F.when(ok, F.concat(F.lit("v"), F.regexp_extract("tag", native.portable(TAG_PATTERN), 1))).alias("version"))
@@ -223,7 +215,7 @@ def release_tags(spark, sf_dir):
 
 def release_titles(spark, sf_dir):
     title = "concat('release(v', CAST(p_partkey % 4 AS string), '.', CAST(p_size AS string), CASE WHEN p_partkey % 7 = 0 THEN '' ELSE '.1' END, '): ', p_name)"
-    t = _read(spark, sf_dir, "part").select("p_partkey", F.expr(title).alias("title"))
+    t = read_table(spark, sf_dir, "part").select("p_partkey", F.expr(title).alias("title"))
     p = native.portable(TITLE_PATTERN)
     return t.select("p_partkey", F.when(F.regexp_like("title", F.lit(p)), F.regexp_extract("title", p, 1)).alias("version"))
 
@@ -231,7 +223,7 @@ def release_titles(spark, sf_dir):
 def hit_windows(spark, sf_dir):
     """Matches per rule and day of event texts in a stream with a watermark (an addition of this engine); the last day is there as well."""
     root = _scratch(spark)
-    schema = _read(spark, sf_dir, "events").schema
+    schema = read_table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     texts = stream.select(F.col("ts").cast("timestamp").alias("ts"), F.expr("concat('u', CAST(user_id AS string), '@example.org from 10.0.0.', CAST(event_id % 250 AS string))").alias("text"))
     rates = streams.hit_rates(texts, "text", "ts", _P["standard"], "1 day", "1 hour")
@@ -242,7 +234,7 @@ def hit_windows(spark, sf_dir):
 def masked_stream(spark, sf_dir):
     """Conversations masked as a stream."""
     root = _scratch(spark)
-    schema = _read(spark, sf_dir, "conversations").schema
+    schema = read_table(spark, sf_dir, "conversations").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
     return streams.run_available(streams.mask_stream(stream, "text", _P["standard"]), f"{root}/out", f"{root}/state").select("conv_id", "turn", "text")
 
