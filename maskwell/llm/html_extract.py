@@ -17,8 +17,8 @@ from maskwell.sources.tables import read_table
 
 #: Paths are selected whose score reaches this share of the scores' standard deviation.
 THRESHOLD = 0.5
-#: What a name or a kind of element multiplies a path's ratio by: names that speak against an article, elements that speak for one.
-AGAINST, FOR = 0.1, 3.0
+#: What multiplies a path's ratio: a name that speaks against an article; an article element, or a first-order heading in the same container, that speaks for one.
+AGAINST, FOR = 0.1, 10.0
 #: Lengths of a path's steps: elements of running text and containers named like an article's, plain containers and lists with a class or id, other containers with one.
 FLOW_STEP, PLAIN_STEP, NAMED_STEP = 0.25, 0.75, 2.0
 
@@ -58,12 +58,13 @@ _PUNCT = re.compile(r"[.,;:!?、。，！？…]")
 
 
 class Path:
-    """A tag path: its step's length, whether a name on it speaks against an article and whether it is in one, and what its blocks add up to."""
+    """A tag path: its step's length, whether it is a container's, whether a name on it speaks against an article and whether it is in one, and what its blocks
+    add up to."""
 
-    __slots__ = ("parent", "step", "against", "article", "blocks", "chars", "marks", "links", "below")
+    __slots__ = ("parent", "step", "container", "against", "article", "blocks", "chars", "marks", "links", "below")
 
-    def __init__(self, parent: Path | None, step: float, against: bool, article: bool):
-        self.parent, self.step, self.against, self.article = parent, step, against, article
+    def __init__(self, parent: Path | None, step: float, container: bool, against: bool, article: bool):
+        self.parent, self.step, self.container, self.against, self.article = parent, step, container, against, article
         self.blocks = self.chars = self.marks = self.links = 0
         self.below: dict[str, Path] = {}
 
@@ -120,12 +121,17 @@ class _Reader:
     """One pass over a page. Open elements are also kept by name, so no tag walks up the page."""
 
     def __init__(self, page: str):
-        self.root = self.node = _Node("", None, Path(None, 0.0, False, False), False, False)
+        self.root = self.node = _Node("", None, Path(None, 0.0, True, False, False), False, False)
         self.open: dict[str, list[_Node]] = {}
         self.found: list[tuple[Path, str]] = []
+        self.titled: list[Path] = []
         self.parts: list[str] = []
         self.link_chars, self.holder = 0, self.root
         self.read(page)
+        for path in self.titled:
+            while not path.container:
+                path = path.parent
+            path.article = True
 
     def flush(self) -> None:
         if self.parts:
@@ -137,6 +143,8 @@ class _Reader:
                 path.marks += len(_PUNCT.findall(text))
                 path.links += min(self.link_chars, len(text))
                 self.found.append((path, text))
+                if self.holder.name == "h1":
+                    self.titled.append(path)
             self.parts, self.link_chars = [], 0
 
     def add(self, raw: str) -> None:
@@ -162,7 +170,7 @@ class _Reader:
         above = self.node.path
         path = above.below.get(label)
         if path is None:
-            path = above.below[label] = Path(above, step, above.against or against, above.article or article)
+            path = above.below[label] = Path(above, step, name in CONTAINER, above.against or against, above.article or article)
         self.node = _Node(name, self.node, path, out, self.node.link or name == "a")
         self.open.setdefault(name, []).append(self.node)
 
@@ -233,7 +241,9 @@ def path_scores(root: Path) -> dict[int, float]:
     while stack:
         path = stack.pop()
         order.append(path)
-        stack.extend(path.below.values())
+        for below in path.below.values():
+            below.article = below.article or path.article
+            stack.append(below)
     peak = {id(p): p.ratio for p in order}
     mass = {id(p): p.chars * (AGAINST if p.against else 1.0) for p in order}
     for p in reversed(order):
@@ -265,7 +275,7 @@ def extract(page: str | None) -> str:
     """The text of the blocks on the page's content paths, joined by newlines.
 
     1. Per root-to-leaf tag path: text and punctuation for each block on it, and the share of text in links. A name that speaks against an
-       article, or an element that speaks for one, multiplies the ratio; what HTML defines as menus, forms, footers and the like is no text here.
+       article, or an element or a first-order heading that speaks for one, multiplies the ratio; what HTML defines as menus, forms, footers and the like is no text here.
     2. The ratios are smoothed over the tree of the page's paths and fused with the share of the page's text around them (:func:`path_scores`).
     3. Paths whose score reaches a share of the scores' standard deviation are the content; their blocks are the result.
     """

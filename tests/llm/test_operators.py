@@ -799,7 +799,9 @@ def _brute_extract(page):
     chars = {p: sum(len(t) for _, t, *_ in own[p]) for p in paths}
     links = {p: sum(k for _, _, k, _ in own[p]) / chars[p] for p in paths}
     marks = {p: sum(c in ".,;:!?" for _, t, *_ in own[p] for c in t) / len(own[p]) for p in paths}
-    ratio = {p: chars[p] / len(own[p]) * (1 + marks[p]) * (1 - links[p]) * (0.1 if against(p) else 1) for p in paths}
+    titled = [p[: max(k for k, x in enumerate(p) if x[0] in html_extract.CONTAINER) + 1] for p in paths if p[-1][0] == "h1"]
+    inside = lambda p: any(p[: len(t)] == t for t in titled)
+    ratio = {p: chars[p] / len(own[p]) * (1 + marks[p]) * (1 - links[p]) * (0.1 if against(p) else 1) * (10 if inside(p) else 1) for p in paths}
     mass = {p: chars[p] * (0.1 if against(p) else 1) for p in paths}
     score = {}
     for p in paths:
