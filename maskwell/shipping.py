@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -20,7 +22,10 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="maskwell-src-")) / "maskwell_src.zip"
+    # Spark's file server reads it from here for as long as the driver lives.
+    folder = tempfile.mkdtemp(prefix="maskwell-src-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "maskwell_src.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
         for path in sorted(package.rglob("*")):
             if path.is_file() and "__pycache__" not in path.parts:
