@@ -21,8 +21,8 @@ THRESHOLD = 0.98
 DIMENSIONS = 16
 #: Vectors the principal dimensions are fitted on, those with the smallest hashes.
 FIT_ROWS = 4096
-#: Vectors of an interval that is moved as a whole, of a block inside it, and of an interval where there are few vectors for each core.
-INTERVAL_ROWS, BLOCK_ROWS, LEAST_INTERVAL = 32768, 256, 4096
+#: Vectors of an interval that is moved as a whole, and of a block inside it.
+INTERVAL_ROWS, BLOCK_ROWS = 65536, 256
 #: Intervals that one interval of the next level joins, and how many of a stratum may meet at the topmost level.
 FAN, TOP = 16, 64
 
@@ -70,8 +70,8 @@ def grid_intervals(points: DataFrame, axes: dict[int, np.ndarray], epsilon: floa
     """The vectors in epsilon grid order, cut into intervals: interval (ascending in that order), stratum (label and width), width, the corners lo0.. and
     hi0.. of its box on the leading axes, and its points, copies and vectors.
 
-    The grid's cells have the side epsilon on the leading axes. Sorting by cells is by range over all tasks, with a
-    hash as the last key, so that one crowded cell is cut as well.
+    The grid's cells have the side epsilon on the leading axes. A label with at most ``interval_rows`` vectors is one interval, dealt out as a whole. Larger
+    ones are sorted by cells by range over all tasks, with a hash as the last key, so that one crowded cell is cut as well.
     """
     spark = points.sparkSession
     shared = spark.sparkContext.broadcast(axes)
@@ -90,13 +90,18 @@ def grid_intervals(points: DataFrame, axes: dict[int, np.ndarray], epsilon: floa
 
     kind = f"array<{element}>"
     named = points.select("point", "copies", "label", "width", F.col("embedding").cast(kind).alias("embedding"))
-    n = named.count()
-    n_parts = max(1, -(-n // interval_rows), min(spark.sparkContext.defaultParallelism, n // min(LEAST_INTERVAL, interval_rows)))
+    # At most one large label for each interval_rows vectors.
+    sizes = materialize(named.groupBy(F.col("label").alias("_l"), F.col("width").alias("_w")).agg(F.count(F.lit(1)).alias("n")), "label_sizes")
+    large = sizes.filter(F.col("n") > interval_rows)
+    n_all, n_large = (x or 0 for x in sizes.agg(F.sum("n"), F.sum(F.when(F.col("n") > interval_rows, F.col("n")))).first())
+    n_parts = max(spark.sparkContext.defaultParallelism, n_all // (4 * interval_rows))
     order = ["label", "width", "cells", "_h"]
     with small_batches(spark, 2048):
         # Written, as sorting by range samples its input first.
         placed = materialize(map_arrow(named, place, f"point long, copies long, label string, width int, embedding {kind}, cells binary").withColumn("_h", F.xxhash64("point")), "grid")
-    placed = placed.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+    marked = placed.join(F.broadcast(large), (F.col("label") == F.col("_l")) & (F.col("width") == F.col("_w")), "left")
+    whole = marked.filter("_l IS NULL").repartition(n_parts, "label", "width").sortWithinPartitions(*order)
+    ranges = marked.filter("_l IS NOT NULL").repartitionByRange(max(1, -(-n_large // interval_rows)), *order).sortWithinPartitions(*order)
     held = np.float32 if element == "float" else np.float64
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,8 +143,13 @@ def grid_intervals(points: DataFrame, axes: dict[int, np.ndarray], epsilon: floa
             yield emit()
 
     schema = "interval long, stratum string, width int, " + ", ".join(f"{c}{i} double" for c in ("lo", "hi") for i in range(k)) + ", points binary, copies binary, vectors binary"
+    columns = ["point", "copies", "label", "width", "embedding"]
     with small_batches(spark, 2048):
-        return materialize(map_arrow(placed.select("point", "copies", "label", "width", "embedding"), cut, schema), "intervals")
+        found = map_arrow(whole.select(*columns), cut, schema)
+        if n_large:
+            cut_up = map_arrow(ranges.select(*columns), cut, schema).withColumn("interval", F.col("interval") + F.lit(1 << 61))
+            found = found.unionByName(cut_up)
+        return materialize(found, "intervals")
 
 
 def _apart(k: int) -> Column:

@@ -627,7 +627,8 @@ def test_foreign_texts_are_rejected(spark):
     assert sum(out[i]["rejected"] for i in held) <= len(held) / 50 and sum(out[i]["score"] > 0.9 for i in held) > 0.9 * len(held)
 
 
-def test_vector_links_match_brute_force(spark):
+@pytest.mark.parametrize("interval_rows", [65536, 40])
+def test_vector_links_match_brute_force(spark, interval_rows):
     rng = np.random.default_rng(6)
     rows, n = [], 0
     for label in (0, 1, None):
@@ -639,7 +640,7 @@ def test_vector_links_match_brute_force(spark):
     rows += [(n + i, rows[0][1], 0) for i in range(20)]
     n += 20
     rows += [(n, None, 0), (n + 1, [0.0] * 8, 0), (n + 2, [1.0, None] + [0.0] * 6, 0), (n + 3, [float("nan")] + [1.0] * 7, 0), (n + 4, [float("inf")] + [1.0] * 7, 0), (n + 5, [1.0, 2.0], 0), (n + 6, [2.0, 4.0], 0), (n + 7, [], 0)]
-    out = {r["vec_id"]: r for r in rows_of(embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), block_rows=16))}
+    out = {r["vec_id"]: r for r in rows_of(embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), interval_rows=interval_rows, block_rows=16))}
     links, parent = Counter(), {r[0]: r[0] for r in rows}
     good = {i: np.asarray(v, np.float64) for i, v, l in rows if l is not None and v and None not in v and np.isfinite(v).all() and any(v)}
     label = {r[0]: r[2] for r in rows}
@@ -683,6 +684,25 @@ def test_skipped_blocks_hold_no_pair():
     assert {(i, j - 10) for i, j in near if i < 10 <= j} <= set(embedding_dedup.near_pairs(*half, False, 0.3))
 
 
+def test_vectors_of_a_label_are_moved_as_often_however_many(spark, capsys):
+    rng = np.random.default_rng(14)
+    moved = {}
+    for n in (500, 5000):
+        x = rng.normal(size=(2 * n, 16)).astype(np.float32)
+        rows = spark.createDataFrame([(i, 1, str(i % 2), 16, v.tolist()) for i, v in enumerate(x)], "point long, copies long, label string, width int, embedding array<float>")
+        axes = embedding_dedup.principal_axes(rows, 8)
+        intervals = embedding_dedup.grid_intervals(rows, axes, 0.2, 8, 6554, "float")
+        sizes = {r["interval"]: r["n"] for r in rows_of(intervals.select("interval", (F.octet_length("points") / 8).cast("long").alias("n")))}
+        pairs = rows_of(embedding_dedup.interval_pairs(intervals, 0.2, 8))
+        moved[n] = sum(sizes[r["left"]] + sizes[r["right"]] for r in pairs) / (2 * n)
+        print(f"{n} vectors a label: {len(sizes)} intervals, {len(pairs)} pairs, each vector moved {moved[n]} times for pairs")
+        assert sum(sizes.values()) == 2 * n
+    assert moved[5000] <= moved[500] + 0.3
+    # Beyond an interval's size a label is cut, and pairs that may be near are moved.
+    cut_up = embedding_dedup.grid_intervals(rows, axes, 0.2, 8, 1000, "float")
+    assert cut_up.count() >= 10 and embedding_dedup.interval_pairs(cut_up, 0.2, 8).count() > 0
+
+
 @pytest.mark.parametrize("top", [64, 2])
 def test_interval_pairs_are_found_at_every_level(spark, top):
     rng = np.random.default_rng(12)
