@@ -104,6 +104,17 @@ def _array(batch: pa.RecordBatch, column: str, i: int, kind: type) -> np.ndarray
     return np.frombuffer(batch.column(column)[i].as_buffer(), kind)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Integers of 32 bits, all lower halves and then all upper ones, which are mostly alike and so compress to little."""
+    values = values.astype(np.uint32)
+    return (values & np.uint32(0xFFFF)).astype(np.uint16).tobytes() + (values >> np.uint32(16)).astype(np.uint16).tobytes()
+
+
+def _from_planes(data) -> np.ndarray:
+    low, high = np.frombuffer(data, np.uint16).reshape(2, -1).astype(np.int64)
+    return low + (high << 16)
+
+
 _SENT = "kind int, shard int, key long, start long, words binary, shapes binary, counts binary, docs binary, nulls binary, learned binary, lengths binary, codes binary"
 _ANSWER = "kind int, shard int, key long, start long, words binary, shapes binary, counts binary"
 _WHOLE = "kind int, key long, start long, words binary, counts binary, docs binary, nulls binary, learned binary, lengths binary, codes binary"
@@ -132,7 +143,7 @@ def send(docs: DataFrame, n_shards: int) -> DataFrame:
             ids = batch.column(0)
             nulls = np.asarray(ids.is_null().to_pylist(), np.uint8)
             lengths = np.bincount(row, minlength=n).astype(np.int64)
-            out = [(0, 0, key, 0, None, None, None, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), nulls.tobytes(), learned.tobytes(), lengths.tobytes(), place[where].tobytes())]
+            out = [(0, 0, key, 0, None, None, None, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), nulls.tobytes(), learned.tobytes(), lengths.tobytes(), _planes(place[where]))]
             some, begin = np.unique(shard[order], return_index=True)
             for s, b, e in zip(some, begin, _ends(begin, len(order)), strict=True):
                 at = order[b:e]
@@ -145,8 +156,8 @@ def send(docs: DataFrame, n_shards: int) -> DataFrame:
 
 
 def number(sent: DataFrame, n_shards: int) -> DataFrame:
-    """Per shard its vocabulary (kind 0: words, shapes and counts of learned words from the most frequent on) and an answer to each list (kind 1: ids
-    in ``words``, counts). The k-th word of shard s has the id k * n_shards + s; a word that no learned text has gets -1 - shape."""
+    """Per shard its vocabulary (kind 0: words, shapes and counts of learned words from the most frequent on) and an answer to each list (ids
+    in ``words``, counts; kind 1 in 64 bits, kind 2 in 32 where they fit). The k-th word of shard s has the id k * n_shards + s; a word that no learned text has gets -1 - shape."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, lists = -1, []
@@ -162,9 +173,11 @@ def number(sent: DataFrame, n_shards: int) -> DataFrame:
             known = order[: int((n > 0).sum())]
             yield _records(_ANSWER, [(0, of, 0, 0, distinct[known].tobytes(), shapes[first[known]].tobytes(), n[known].tobytes())])
             ids, n, begin = ids[where], n[where], 0
+            narrow = max(ids.max(initial=0), n.max(initial=0)) < 1 << 31
+            kind, wire = (2, np.int32) if narrow else (1, np.int64)
             for key, start, have, *_ in lists:
                 end = begin + len(have)
-                yield _records(_ANSWER, [(1, of, key, start, ids[begin:end].tobytes(), None, n[begin:end].tobytes())])
+                yield _records(_ANSWER, [(kind, of, key, start, ids[begin:end].astype(wire).tobytes(), None, n[begin:end].astype(wire).tobytes())])
                 begin = end
 
         for batch in batches:
@@ -194,7 +207,7 @@ def assemble(sent: DataFrame, answers: DataFrame) -> DataFrame:
         def done() -> pa.RecordBatch:
             parts.sort(key=lambda x: x[0])
             ids, n = (np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64) for c in (1, 2))
-            codes, lengths = np.frombuffer(texts["codes"], np.int32), np.frombuffer(texts["lengths"], np.int64)
+            codes, lengths = _from_planes(texts["codes"]), np.frombuffer(texts["lengths"], np.int64)
             of = np.repeat(np.arange(len(lengths)), lengths)
             base = np.bincount(of, np.log10(n + DELTA)[codes], minlength=len(lengths))
             known = np.bincount(of, (n > 0)[codes], minlength=len(lengths)).astype(np.int64)
@@ -208,13 +221,14 @@ def assemble(sent: DataFrame, answers: DataFrame) -> DataFrame:
                         yield done()
                     texts, parts = {c: batch.column(c)[i].as_py() for c in ("key", "docs", "nulls", "learned", "lengths", "codes")}, []
                 else:
-                    parts.append((start[i], _array(batch, "words", i, np.int64).copy(), _array(batch, "counts", i, np.int64).copy()))
+                    wire = np.int64 if kind[i] == 1 else np.int32
+                    parts.append((start[i], *(_array(batch, c, i, wire).astype(np.int64) for c in ("words", "counts"))))
         if texts:
             yield done()
 
     none = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
     own = sent.filter("kind = 0").select("kind", "key", "start", *none("words", "counts"), "docs", "nulls", "learned", "lengths", "codes")
-    back = answers.filter("kind = 1").select("kind", "key", "start", "words", "counts", *none("docs", "nulls", "learned", "lengths", "codes"))
+    back = answers.filter("kind > 0").select("kind", "key", "start", "words", "counts", *none("docs", "nulls", "learned", "lengths", "codes"))
     with small_batches(sent.sparkSession, 16):
         whole = own.unionByName(back).repartition("key").sortWithinPartitions("key", "kind")
         return materialize(map_arrow(whole, run, _CODED), "coded_texts", "zstd")
@@ -500,7 +514,7 @@ def move_tail(coded: DataFrame, head: Head, classes: Classes, state: DataFrame |
         some, begin = np.unique(shard, return_index=True)
         for s, b, e in zip(some, begin, _ends(begin, len(keys)), strict=True):
             local = keys[b:e] // (2 * k) // n_shards
-            yield _records(_CONTEXT, [(1, int(s), local.astype(np.int32).tobytes(), (keys[b:e] % (2 * k)).astype(np.uint8).tobytes(), n[b:e].astype(np.int32).tobytes())])
+            yield _records(_CONTEXT, [(1, int(s), _planes(local), (keys[b:e] % (2 * k)).astype(np.uint8).tobytes(), n[b:e].astype(np.int32).tobytes())])
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, of, now = shared.value
@@ -546,7 +560,7 @@ def move_tail(coded: DataFrame, head: Head, classes: Classes, state: DataFrame |
                 if kind[i] == 0:
                     rare = _array(batch, "words", i, np.int8).copy()
                 else:
-                    lists.append((_array(batch, "words", i, np.int32).astype(np.int64) * (2 * k) + _array(batch, "cells", i, np.uint8), _array(batch, "counts", i, np.int32).copy()))
+                    lists.append((_from_planes(batch.column("words")[i].as_buffer()) * (2 * k) + _array(batch, "cells", i, np.uint8), _array(batch, "counts", i, np.int32).copy()))
         if shard >= 0:
             yield done()
 
@@ -724,23 +738,24 @@ def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame, DataFrame]:
     vocabulary = materialize(answers.filter("kind = 0"), "words")
     coded = assemble(sent, answers)
     discard(sent, answers)
-    sizes = [(r["shard"], r["types"]) for r in vocabulary.select("shard", (F.octet_length("counts") / 8).cast("long").alias("types")).collect()]
+    found = vocabulary.select("shard", (F.octet_length("counts") / 8).cast("long").alias("types")).toArrow()
+    types = np.zeros(n_shards, np.int64)
+    types[found.column("shard").to_numpy()] = found.column("types").to_numpy()
     with small_batches(docs.sparkSession, 16):
         top = word_rows(vocabulary, n_shards, HEAD_WORDS).orderBy(F.desc("n"), "word").limit(HEAD_WORDS).select("id").toArrow()
     head = Head(top.column("id").to_numpy().astype(np.int64))
     # The head's words are the first of their shards, so they are among those whose classes are broadcast.
-    rows = max((n for _, n in sizes), default=0)
+    rows = int(types.max())
     first = min(rows, max(-(-BROADCAST_WORDS // n_shards), int(head.ids.max()) // n_shards + 1 if len(head.ids) else 0))
-    low = np.full(first * n_shards, -1, np.int8)
-    for s, n in sizes:
-        low[s::n_shards][:n] = CLASSES - 1
+    low = np.full((first, n_shards), -1, np.int8)
+    low[np.arange(first)[:, None] < types] = CLASSES - 1
     state = None
     if rows > first:
         start = F.expr(f"repeat('{CLASSES - 1:02x}', CAST(greatest(0, octet_length(counts) div 8 - {first}) AS int))")
         state = vocabulary.select("shard", F.unhex(start).alias("state"))
-    coded, classes, state, matrix, values = cluster(coded, head, Classes(low, CLASSES), state, sum(n for _, n in sizes), n_shards)
+    coded, classes, state, matrix, values = cluster(coded, head, Classes(low.ravel(), CLASSES), state, int(types.sum()), n_shards)
     kinds, shapes = class_sizes(vocabulary, classes, state, len(matrix), n_shards)
-    n_tokens, n_types = int(matrix.sum()), sum(n for _, n in sizes) + (n_ends > 0)
+    n_tokens, n_types = int(matrix.sum()), int(types.sum()) + (n_ends > 0)
     model = ClassModel(Classes(classes.low, CLASSES, shapes), matrix, kinds, n_ends, n_tokens, n_types, values)
     return model, word_rows(vocabulary, n_shards), coded
 
