@@ -115,6 +115,11 @@ def _from_planes(data) -> np.ndarray:
     return low + (high << 16)
 
 
+def _partitions(spark: SparkSession, n_shards: int) -> int:
+    """Tasks of a shuffle by shard or by run of texts: the session's number, more where the shards outgrow it, so that a task's share stays the same."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_shards // 4))
+
+
 _SENT = "kind int, shard int, key long, start long, words binary, shapes binary, counts binary, docs binary, nulls binary, learned binary, lengths binary, codes binary"
 _ANSWER = "kind int, shard int, key long, start long, words binary, shapes binary, counts binary"
 _WHOLE = "kind int, key long, start long, words binary, counts binary, docs binary, nulls binary, learned binary, lengths binary, codes binary"
@@ -192,12 +197,12 @@ def number(sent: DataFrame, n_shards: int) -> DataFrame:
         if lists:
             yield from done()
 
-    asked = sent.filter("kind = 1").select("shard", "key", "start", "words", "shapes", "counts").repartition("shard").sortWithinPartitions("shard")
+    asked = sent.filter("kind = 1").select("shard", "key", "start", "words", "shapes", "counts").repartition(_partitions(sent.sparkSession, n_shards), "shard").sortWithinPartitions("shard")
     with small_batches(sent.sparkSession, 64):
         return materialize(map_arrow(asked, run, _ANSWER), "vocabulary", "zstd")
 
 
-def assemble(sent: DataFrame, answers: DataFrame) -> DataFrame:
+def assemble(sent: DataFrame, answers: DataFrame, n_shards: int) -> DataFrame:
     """The runs of texts with ids, and for each text the sum of log10(count + 0.1) of its words and how many of them are known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +235,7 @@ def assemble(sent: DataFrame, answers: DataFrame) -> DataFrame:
     own = sent.filter("kind = 0").select("kind", "key", "start", *none("words", "counts"), "docs", "nulls", "learned", "lengths", "codes")
     back = answers.filter("kind > 0").select("kind", "key", "start", "words", "counts", *none("docs", "nulls", "learned", "lengths", "codes"))
     with small_batches(sent.sparkSession, 16):
-        whole = own.unionByName(back).repartition("key").sortWithinPartitions("key", "kind")
+        whole = own.unionByName(back).repartition(_partitions(sent.sparkSession, n_shards), "key").sortWithinPartitions("key", "kind")
         return materialize(map_arrow(whole, run, _CODED), "coded_texts", "zstd")
 
 
@@ -569,7 +574,7 @@ def move_tail(coded: DataFrame, head: Head, classes: Classes, state: DataFrame |
         if state is not None:
             none = F.lit(None).cast("binary")
             sent = sent.unionByName(state.select(F.lit(0).alias("kind"), "shard", F.col("state").alias("words"), none.alias("cells"), none.alias("counts")))
-        moved = map_arrow(sent.repartition("shard").sortWithinPartitions("shard", "kind"), move, _MOVED)
+        moved = map_arrow(sent.repartition(_partitions(coded.sparkSession, n_shards), "shard").sortWithinPartitions("shard", "kind"), move, _MOVED)
         moved = moved if state is None else materialize(moved, "moved_words")
         found = moved.select("shard", "words", "classes").toArrow()
     out = classes.of.copy()
@@ -631,10 +636,10 @@ def carry(coded: DataFrame, state: DataFrame, limit: int, n_shards: int) -> Data
     with small_batches(coded.sparkSession, 16):
         asked = map_arrow(coded.select("key", "ids"), ask, "kind int, shard int, key long, ids binary, state binary")
         held = state.select(F.lit(0).alias("kind"), "shard", F.lit(0).cast("long").alias("key"), *none("ids"), "state")
-        answers = map_arrow(held.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind"), answer, "key long, asked binary, classes binary")
+        answers = map_arrow(held.unionByName(asked).repartition(_partitions(coded.sparkSession, n_shards), "shard").sortWithinPartitions("shard", "kind"), answer, "key long, asked binary, classes binary")
         own = coded.select(F.lit(0).alias("kind"), *names, *none("asked", "classes"))
         back = answers.select(F.lit(1).alias("kind"), "key", *none(*names[1:]), "asked", "classes")
-        whole = own.unionByName(back).repartition("key").sortWithinPartitions("key", "kind")
+        whole = own.unionByName(back).repartition(_partitions(coded.sparkSession, n_shards), "key").sortWithinPartitions("key", "kind")
         return materialize(map_arrow(whole, put, schema), "coded_texts", "zstd")
 
 
@@ -736,7 +741,7 @@ def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame, DataFrame]:
     sent = send(docs, n_shards)
     answers = number(sent, n_shards)
     vocabulary = materialize(answers.filter("kind = 0"), "words")
-    coded = assemble(sent, answers)
+    coded = assemble(sent, answers, n_shards)
     discard(sent, answers)
     found = vocabulary.select("shard", (F.octet_length("counts") / 8).cast("long").alias("types")).toArrow()
     types = np.zeros(n_shards, np.int64)
