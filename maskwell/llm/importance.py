@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwell.llm.common import materialize
+from maskwell.llm.common import materialize, only_kept
 from maskwell.llm.textvec import blocks, find_words, hash_keys, hash_words, lower_ascii, mix, unit_interval
 from maskwell.shipping import map_arrow
 from maskwell.sources.tables import read_table
@@ -143,8 +143,7 @@ def resample(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS,
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`resample` keeps, with all their columns."""
-    kept = resample(docs, labels).filter("kept").select(F.col("doc_id").alias("__mw_id"), F.col("text_hash").alias("__mw_hash")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__mw_id")) & (F.xxhash64("text") == F.col("__mw_hash")), "left_semi")
+    return only_kept(docs, resample(docs, labels))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

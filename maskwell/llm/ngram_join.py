@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from maskwell.llm.common import SPACES, discard, materialize
+from maskwell.llm.common import SPACES, discard, materialize, maybe_in
 from maskwell.llm.components import components
 from maskwell.llm.textvec import blocks, find_words, hash_words, mix
 from maskwell.shipping import map_arrow
@@ -23,8 +23,6 @@ RECALL = 0.9999
 MOST_HASHES = 96
 #: Members of a bucket that meet in one step; a larger bucket is cut into chunks and every pair of chunks meets.
 CHUNK = 256
-#: Size of the filter that stands for the ids of documents with candidates (8 MB).
-FILTER_BITS = 26
 _U = np.uint64
 
 
@@ -290,18 +288,9 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
     return out.select("doc_id", "class_id", "n_links", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
-def only_ids(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id may be in ``ids`` (doc): a filter of ``1 << bits`` bits, so of a fixed size, is broadcast in place of
-    the ids, and no text is shuffled. It lets some other rows pass, which a join on the id then leaves out."""
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
-    maps = ids.select(at(F.col("doc").cast("long")).alias("h")).groupBy(F.shiftright("h", 15).alias("_part"))
-    maps = maps.agg(F.bitmap_construct_agg(F.col("h").bitwiseAND(F.lit(32767))).alias("_bits"))
-    h = at(F.col("doc_id").cast("long"))
-    place = h.bitwiseAND(F.lit(32767))
-    byte = F.conv(F.hex(F.expr("substring(_bits, CAST((_at div 8) + 1 AS int), 1)")), 16, 10).cast("int")
-    marked = docs.withColumn("_at", place).join(F.broadcast(maps), F.shiftright(h, 15) == F.col("_part"))
-    hit = F.expr("shiftright(_byte, CAST(_at % 8 AS int)) & 1") == 1
-    return marked.withColumn("_byte", byte).filter(hit).select(*docs.columns)
+def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids`` (doc), and some others; no text is shuffled."""
+    return maybe_in(docs, F.col("doc_id").cast("long"), ids, F.col("doc").cast("long")).filter("__mw_maybe").select(*docs.columns)
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwell.llm.common import SPACES, materialize, words
+from maskwell.llm.common import SPACES, materialize, only_kept, words
 from maskwell.sources.tables import read_table
 
 #: Limits of the rules, as shares. A row over a firm limit fails by itself; a row over a soft limit fails
@@ -114,9 +114,7 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
 
 def filter_documents(docs: DataFrame, host: str = "source") -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps, with all their columns."""
-    kept = judge(docs, host).filter("kept").select(F.col("doc_id").alias("__mw_id"), F.col("text_hash").alias("__mw_hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__mw_id")) & (F.xxhash64("text") == F.col("__mw_hash"))
-    return docs.join(kept, same, "left_semi")
+    return only_kept(docs, judge(docs, host))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,6 +51,20 @@ def test_rules_keep_all_columns_and_repeats(spark):
     assert quality_rules.filter_documents(docs.limit(0)).count() == 0
 
 
+def test_filters_keep_what_is_judged_kept(spark):
+    docs = table(spark)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)], "doc_id long, quality int")
+    for verdicts, kept in ((quality_rules.judge(docs), quality_rules.filter_documents(docs)), (importance.resample(docs, labels, k=30), importance.resample(docs, labels, k=30))):
+        if "text" not in kept.columns:
+            from maskwell.llm.common import only_kept
+
+            kept = only_kept(docs, verdicts)
+        want = {(r["doc_id"], r["text_hash"]) for r in rows_of(verdicts) if r["kept"]}
+        rows = [(r["doc_id"], r["h"]) for r in rows_of(docs.withColumn("h", F.xxhash64("text")))]
+        got = Counter((r["doc_id"], r["h"]) for r in rows_of(kept.withColumn("h", F.xxhash64("text"))))
+        assert got == Counter(r for r in rows if r in want) and kept.columns == docs.columns and 0 < len(got) < len(set(rows))
+
+
 def test_importance_keeps_the_target_and_drops_the_rest(spark):
     import random
 
