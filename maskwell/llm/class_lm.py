@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwell.llm.common import discard, materialize, small_batches
+from maskwell.llm.common import discard, materialize, release, small_batches
 from maskwell.llm.language_id import fold
 from maskwell.llm.textvec import blocks, find_words, hash_words, lower_ascii, mix
 from maskwell.shipping import map_arrow
@@ -105,14 +105,17 @@ def _array(batch: pa.RecordBatch, column: str, i: int, kind: type) -> np.ndarray
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Integers of 32 bits, all lower halves and then all upper ones, which are mostly alike and so compress to little."""
+    """Integers of 32 bits compressed, all lower halves and then all upper ones, which are mostly alike. The number of bytes comes first."""
     values = values.astype(np.uint32)
-    return (values & np.uint32(0xFFFF)).astype(np.uint16).tobytes() + (values >> np.uint32(16)).astype(np.uint16).tobytes()
+    data = (values & np.uint32(0xFFFF)).astype(np.uint16).tobytes() + (values >> np.uint32(16)).astype(np.uint16).tobytes()
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(data, asbytes=True)
 
 
 def _from_planes(data) -> np.ndarray:
-    low, high = np.frombuffer(data, np.uint16).reshape(2, -1).astype(np.int64)
-    return low + (high << 16)
+    size = int.from_bytes(memoryview(data)[:8], "little")
+    data = pa.decompress(memoryview(data)[8:], decompressed_size=size, codec="zstd")
+    low, high = np.frombuffer(data, np.uint16).reshape(2, -1).astype(np.uint32)
+    return (low | (high << np.uint32(16))).view(np.int32).astype(np.int64)
 
 
 def _partitions(spark: SparkSession, n_shards: int) -> int:
@@ -122,7 +125,7 @@ def _partitions(spark: SparkSession, n_shards: int) -> int:
 
 _SENT = "kind int, shard int, key long, start long, words binary, shapes binary, counts binary, docs binary, nulls binary, learned binary, lengths binary, codes binary"
 _ANSWER = "kind int, shard int, key long, start long, words binary, shapes binary, counts binary"
-_WHOLE = "kind int, key long, start long, words binary, counts binary, docs binary, nulls binary, learned binary, lengths binary, codes binary"
+_ALL = "key long, docs binary, nulls binary, learned binary, lengths binary, ids binary, base binary, known binary, shard int, words binary, shapes binary, counts binary"
 _CODED = "key long, docs binary, nulls binary, learned binary, lengths binary, ids binary, base binary, known binary"
 
 
@@ -162,7 +165,7 @@ def send(docs: DataFrame, n_shards: int) -> DataFrame:
 
 def number(sent: DataFrame, n_shards: int) -> DataFrame:
     """Per shard its vocabulary (kind 0: words, shapes and counts of learned words from the most frequent on) and an answer to each list (ids
-    in ``words``, counts; kind 1 in 64 bits, kind 2 in 32 where they fit). The k-th word of shard s has the id k * n_shards + s; a word that no learned text has gets -1 - shape."""
+    in ``words``, counts; kind 1 in 64 bits, kind 2 in 32 where they fit). The key of a vocabulary is -1 - shard. Nothing is written here: the rows go on to :func:`assemble`. The k-th word of shard s has the id k * n_shards + s; a word that no learned text has gets -1 - shape."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, lists = -1, []
@@ -176,13 +179,13 @@ def number(sent: DataFrame, n_shards: int) -> DataFrame:
             ids[order] = np.arange(len(order)) * n_shards + of
             ids = np.where(n > 0, ids, -1 - shapes[first].astype(np.int64))
             known = order[: int((n > 0).sum())]
-            yield _records(_ANSWER, [(0, of, 0, 0, distinct[known].tobytes(), shapes[first[known]].tobytes(), n[known].tobytes())])
+            yield _records(_ANSWER, [(0, of, -1 - of, 0, distinct[known].tobytes(), shapes[first[known]].tobytes(), n[known].tobytes())])
             ids, n, begin = ids[where], n[where], 0
             narrow = max(ids.max(initial=0), n.max(initial=0)) < 1 << 31
-            kind, wire = (2, np.int32) if narrow else (1, np.int64)
+            kind, wire = (2, _planes) if narrow else (1, np.ndarray.tobytes)
             for key, start, have, *_ in lists:
                 end = begin + len(have)
-                yield _records(_ANSWER, [(kind, of, key, start, ids[begin:end].astype(wire).tobytes(), None, n[begin:end].astype(wire).tobytes())])
+                yield _records(_ANSWER, [(kind, of, key, start, wire(ids[begin:end]), None, wire(n[begin:end]))])
                 begin = end
 
         for batch in batches:
@@ -198,12 +201,12 @@ def number(sent: DataFrame, n_shards: int) -> DataFrame:
             yield from done()
 
     asked = sent.filter("kind = 1").select("shard", "key", "start", "words", "shapes", "counts").repartition(_partitions(sent.sparkSession, n_shards), "shard").sortWithinPartitions("shard")
-    with small_batches(sent.sparkSession, 64):
-        return materialize(map_arrow(asked, run, _ANSWER), "vocabulary", "zstd")
+    return map_arrow(asked, run, _ANSWER)
 
 
-def assemble(sent: DataFrame, answers: DataFrame, n_shards: int) -> DataFrame:
-    """The runs of texts with ids, and for each text the sum of log10(count + 0.1) of its words and how many of them are known."""
+def assemble(sent: DataFrame, answers: DataFrame, n_shards: int) -> tuple[DataFrame, DataFrame]:
+    """(coded texts, vocabulary): the runs of texts with ids, and for each text the sum of log10(count + 0.1) of its words and how many of them are known; and
+    shard, words, shapes and counts of each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict = {}
@@ -216,27 +219,31 @@ def assemble(sent: DataFrame, answers: DataFrame, n_shards: int) -> DataFrame:
             of = np.repeat(np.arange(len(lengths)), lengths)
             base = np.bincount(of, np.log10(n + DELTA)[codes], minlength=len(lengths))
             known = np.bincount(of, (n > 0)[codes], minlength=len(lengths)).astype(np.int64)
-            return _records(_CODED, [(texts["key"], texts["docs"], texts["nulls"], texts["learned"], texts["lengths"], ids[codes].tobytes(), base.astype(np.float64).tobytes(), known.tobytes())])
+            return _records(_ALL, [(texts["key"], texts["docs"], texts["nulls"], texts["learned"], texts["lengths"], ids[codes].tobytes(), base.astype(np.float64).tobytes(), known.tobytes(), *(None,) * 4)])
 
         for batch in batches:
-            kind, start = batch.column("kind").to_numpy(), batch.column("start").to_numpy()
+            kind, key, start = (batch.column(c).to_numpy() for c in ("kind", "key", "start"))
             for i in range(batch.num_rows):
-                if kind[i] == 0:
+                if key[i] < 0:
+                    yield _records(_ALL, [(key[i], *(None,) * 7, int(-1 - key[i]), *(batch.column(c)[i].as_py() for c in ("words", "shapes", "counts")))])
+                elif kind[i] == 0:
                     if texts:
                         yield done()
                     texts, parts = {c: batch.column(c)[i].as_py() for c in ("key", "docs", "nulls", "learned", "lengths", "codes")}, []
                 else:
-                    wire = np.int64 if kind[i] == 1 else np.int32
-                    parts.append((start[i], *(_array(batch, c, i, wire).astype(np.int64) for c in ("words", "counts"))))
+                    read = (lambda b: np.frombuffer(b, np.int64).copy()) if kind[i] == 1 else _from_planes
+                    parts.append((start[i], *(read(batch.column(c)[i].as_buffer()) for c in ("words", "counts"))))
         if texts:
             yield done()
 
     none = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
-    own = sent.filter("kind = 0").select("kind", "key", "start", *none("words", "counts"), "docs", "nulls", "learned", "lengths", "codes")
-    back = answers.filter("kind > 0").select("kind", "key", "start", "words", "counts", *none("docs", "nulls", "learned", "lengths", "codes"))
+    own = sent.filter("kind = 0").select("kind", "key", "start", *none("words", "shapes", "counts"), "docs", "nulls", "learned", "lengths", "codes")
+    back = answers.select("kind", "key", "start", "words", "shapes", "counts", *none("docs", "nulls", "learned", "lengths", "codes"))
     with small_batches(sent.sparkSession, 16):
         whole = own.unionByName(back).repartition(_partitions(sent.sparkSession, n_shards), "key").sortWithinPartitions("key", "kind")
-        return materialize(map_arrow(whole, run, _CODED), "coded_texts", "zstd")
+        out = materialize(map_arrow(whole, run, _ALL), "coded_texts", "zstd")
+    names = [f.split()[0] for f in _CODED.split(", ")]
+    return out.filter("key >= 0").select(*names), out.filter("key < 0").select("shard", "words", "shapes", "counts")
 
 
 #: The id of the end. Ids below 0 are places from the end of the array of classes: those of the shapes, and before them that of the end.
@@ -519,7 +526,7 @@ def move_tail(coded: DataFrame, head: Head, classes: Classes, state: DataFrame |
         some, begin = np.unique(shard, return_index=True)
         for s, b, e in zip(some, begin, _ends(begin, len(keys)), strict=True):
             local = keys[b:e] // (2 * k) // n_shards
-            yield _records(_CONTEXT, [(1, int(s), _planes(local), (keys[b:e] % (2 * k)).astype(np.uint8).tobytes(), n[b:e].astype(np.int32).tobytes())])
+            yield _records(_CONTEXT, [(1, int(s), _planes(local), (keys[b:e] % (2 * k)).astype(np.uint8).tobytes(), _planes(n[b:e]))])
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, of, now = shared.value
@@ -565,7 +572,7 @@ def move_tail(coded: DataFrame, head: Head, classes: Classes, state: DataFrame |
                 if kind[i] == 0:
                     rare = _array(batch, "words", i, np.int8).copy()
                 else:
-                    lists.append((_from_planes(batch.column("words")[i].as_buffer()) * (2 * k) + _array(batch, "cells", i, np.uint8), _array(batch, "counts", i, np.int32).copy()))
+                    lists.append((_from_planes(batch.column("words")[i].as_buffer()) * (2 * k) + _array(batch, "cells", i, np.uint8), _from_planes(batch.column("counts")[i].as_buffer())))
         if shard >= 0:
             yield done()
 
@@ -675,6 +682,7 @@ def cluster(coded: DataFrame, head: Head, classes: Classes, state: DataFrame | N
             classes, state = move_tail(coded, head, classes, state, matrix, n_shards, None if turn == 0 else turn)
             low = classes.low
             coded = coded if state is None else carry(coded, state, classes.limit, n_shards)
+            release(coded.sparkSession)
     return *best, values
 
 
@@ -730,7 +738,7 @@ def word_rows(vocabulary: DataFrame, n_shards: int, most: int | None = None) ->
                 word, n = _array(batch, "words", i, np.int64)[:most], _array(batch, "counts", i, np.int64)[:most]
                 yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.arange(len(word)) * n_shards + batch.column("shard")[i].as_py()), pa.array(n)], ["word", "id", "n"])
 
-    return map_arrow(vocabulary.filter("kind = 0").select("shard", "words", "counts"), run, "word long, id long, n long")
+    return map_arrow(vocabulary.select("shard", "words", "counts"), run, "word long, id long, n long")
 
 
 def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame, DataFrame]:
@@ -739,10 +747,9 @@ def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame, DataFrame]:
     n_ends = int(n_ends or 0)
     n_shards = max(LEAST_SHARDS, -(-int(n_bytes or 0) // SHARD_BYTES))
     sent = send(docs, n_shards)
-    answers = number(sent, n_shards)
-    vocabulary = materialize(answers.filter("kind = 0"), "words")
-    coded = assemble(sent, answers, n_shards)
-    discard(sent, answers)
+    coded, vocabulary = assemble(sent, number(sent, n_shards), n_shards)
+    discard(sent)
+    release(docs.sparkSession)
     found = vocabulary.select("shard", (F.octet_length("counts") / 8).cast("long").alias("types")).toArrow()
     types = np.zeros(n_shards, np.int64)
     types[found.column("shard").to_numpy()] = found.column("types").to_numpy()

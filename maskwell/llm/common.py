@@ -9,6 +9,7 @@ Conventions that every operator keeps:
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -61,6 +62,13 @@ def discard(*tables: DataFrame) -> None:
         _delete(table.sparkSession, table._scratch_path.rpartition("/")[0])
 
 
+def release(spark: SparkSession) -> None:
+    """Free the shuffle files of plans that are done. Spark does so when the driver happens to collect its garbage, which with few objects and large
+    shuffles may be never; an operator of many rounds asks for it between them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application; call it when the results are written."""
     _delete(spark, _run_root(spark))
