@@ -12,7 +12,7 @@ from maskwell.plans import cases
 from maskwell.plans import oracle as O
 from maskwell.plans.derived import derived, derived_sql
 from maskwell.plans.policy import BUILT_IN, CATEGORIES, LEVELS, Policy, level_ordinal
-from maskwell.sources.tables import read_table
+from maskwell.sources.tables import read_table, stream_table
 from maskwell.streaming import streams
 
 PII = tuple(r for r in BUILT_IN if r.category == "pii")
@@ -223,9 +223,7 @@ def release_titles(spark, sf_dir):
 def hit_windows(spark, sf_dir):
     """Matches per rule and day of event texts in a stream with a watermark (an addition of this engine); the last day is there as well."""
     root = _scratch(spark)
-    schema = read_table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    texts = stream.select(F.col("ts").cast("timestamp").alias("ts"), F.expr("concat('u', CAST(user_id AS string), '@example.org from 10.0.0.', CAST(event_id % 250 AS string))").alias("text"))
+    texts = stream_table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.expr("concat('u', CAST(user_id AS string), '@example.org from 10.0.0.', CAST(event_id % 250 AS string))").alias("text"))
     rates = streams.hit_rates(texts, "text", "ts", _P["standard"], "1 day", "1 hour")
     found = streams.run_latest(rates, ["window_start", "rule"], f"{root}/out", f"{root}/state")
     return found.select((F.unix_seconds("window_start") / 86400).cast("long").alias("day"), "rule", "n")
@@ -234,8 +232,7 @@ def hit_windows(spark, sf_dir):
 def masked_stream(spark, sf_dir):
     """Conversations masked as a stream."""
     root = _scratch(spark)
-    schema = read_table(spark, sf_dir, "conversations").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    stream = stream_table(spark, sf_dir, "conversations")
     return streams.run_available(streams.mask_stream(stream, "text", _P["standard"]), f"{root}/out", f"{root}/state").select("conv_id", "turn", "text")
 
 

@@ -9,6 +9,20 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
+def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The same table as a stream of its files, whether it is a folder or a single file.
+
+    A stream reads folders only, and a filter of names sees the files in them, not the folders. So a single file is read as the only one of its name
+    in the folder of tables.
+    """
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table of fewer files than cores dealt out over all cores.
 

@@ -60,6 +60,26 @@ def test_last_window_of_a_stream_is_there(spark, tmp_path):
     assert sorted(r["n"] for r in out.collect()) == [1, 1, 2]
 
 
+@pytest.mark.parametrize("layout", ["file", "files", "partitions"])
+def test_streams_read_whole_tables(spark, tmp_path, layout):
+    def put(df, name, by):
+        to = str(tmp_path / f"{name}.parquet")
+        if layout == "partitions":
+            return df.write.partitionBy(by).parquet(to)
+        df.repartition(1 if layout == "file" else 3).write.parquet(to if layout == "files" else str(tmp_path / name))
+        if layout == "file":
+            next((tmp_path / name).glob("part-*.parquet")).rename(to)
+
+    turns = [(c, n, "user", TEXTS[(c + n) % len(TEXTS)]) for c in range(6) for n in range(3)]
+    put(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), "conversations", "turn")
+    put(spark.createDataFrame([(i, i, f"2024-01-0{i % 3 + 1} 10:00:00") for i in range(9)], "event_id long, user_id long, ts string").selectExpr("event_id", "user_id", "CAST(ts AS timestamp) AS ts"), "events", "user_id")
+    put(spark.createDataFrame([(1, "a@b.org")], "doc_id long, text string"), "documents", "doc_id")
+    out = queries.masked_stream(spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect())) == sorted((c, n, None if t is None else E.mask_text(t, STANDARD).text) for c, n, _, t in turns)
+    found = {(r["day"], r["rule"]): r["n"] for r in queries.hit_windows(spark, str(tmp_path)).collect()}
+    assert {day for day, _ in found} == {19723, 19724, 19725} and {n for (_, rule), n in found.items() if rule == "email"} == {3}
+
+
 def test_entropy_expressions(spark):
     words = ["aB3xQ9mZ7kL2pR8nT4vY6wU1sE5jC0dF", "abcdefghijklmnopqrstuvwxyz", "12345678901234567890123", "$" + "aB3x" * 9, "x" * 30, "0f" * 16, "01234567-89ab-cdef-0123-456789abcdef", "short"]
     df = spark.createDataFrame([(w,) for w in words], "w string").select("w", native.high_entropy(F.col("w")).alias("h"))
